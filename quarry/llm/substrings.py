@@ -6,13 +6,14 @@ The strings that count are those of LENGTH bytes at every position of every text
    alone. Neighbouring positions share it, so a text falls into runs of some 85 positions with one bucket, and only runs
    are dealt out. A bucket with a single occurrence of its q-gram over the whole corpus is settled: nothing repeats.
 2. Runs with the same bytes fall into one window. If a bucket's windows are all one, its members are settled: all repeat.
-3. The other buckets' distinct windows are refined by their strings. Bucket identifiers of all positions start from 8-byte
-   grams and are refined by sorting on the pair (identifier here, identifier at a later offset): 8, 16, 32, ... bytes, each
+3. The other buckets' distinct windows are refined by their strings. Bucket identifiers of all positions start from q-grams
+   and are refined by sorting on the pair (identifier here, identifier at a later offset): q, 2q, 4q, ... bytes, each
    refinement reusing the identifiers of the last one; positions alone in their bucket leave at once. What is left when
    the strings are LENGTH long repeats.
 4. A bucket with more than CROWD distinct windows (one q-gram in very many contexts) isn't refined in one task. There the
-   identifiers are names: 128-bit hashes made by the same doubling, each from two of the last, and counted by a shuffle
-   with partial aggregation, so no bucket's size matters.
+   identifiers are 128-bit names and are refined by shuffles with partial aggregation, so no bucket's size matters: first
+   those of whole cells (positions that are up to CELL steps apart, counted from the q-gram, so that equal texts have equal
+   cells), then, of one cell for each name, those of its strings. A cell that repeats settles all its strings.
 
 Runs are cut at MAX_RUN positions, so windows stay short whatever the text.
 """
@@ -31,7 +32,7 @@ from pyspark.sql import types as T
 from .common import cut, drop, map_batches, mix
 
 LENGTH, GRAM = 200, 32
-MAX_RUN, CROWD = 512, 256
+MAX_RUN, CROWD, CELL = 512, 4096, 16
 #: Bytes of windows that are refined together.
 BLOCK = 4 << 20
 
@@ -80,33 +81,25 @@ def text_runs(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nd
     return low[edge], edge, size, values, counts
 
 
-def names(data: np.ndarray, length: int, seed: int) -> np.ndarray:
-    """A 64-bit name of the string of ``length`` bytes at each position, made by doubling."""
-    h, have = mix(data.astype(np.uint64) + np.uint64(seed)), 1
-    while have < length:
-        step = min(have, length - have)
-        h = mix(h[: len(h) - step] * np.uint64(0x9E3779B97F4A7C15) + (h[step:] ^ np.uint64(seed + step)))
-        have += step
-    return h
-
-
 def refine(windows: list[bytes], length: int) -> list[np.ndarray]:
     """For each window the starts of its strings of ``length`` bytes that start elsewhere in these windows too."""
     data = np.frombuffer(b"".join(windows), np.uint8)
     sizes = np.array([len(w) for w in windows])
     ends = np.cumsum(sizes)
     # Positions whose string lies inside their window; only they are wanted, all later offsets they need are inside too.
-    inside = np.repeat(ends, sizes) - np.arange(len(data)) >= length
-    grams = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, np.uint8)]), 8)[: len(data)]
-    bucket = np.unique(np.ascontiguousarray(grams).view(np.uint64).ravel(), return_inverse=True)[1].astype(np.int64)
-    have, room = 8, np.repeat(ends, sizes) - np.arange(len(data))
+    room = np.repeat(ends, sizes) - np.arange(len(data))
+    inside = room >= length
+    have = 1
+    while 2 * have <= min(length, GRAM):
+        have *= 2
+    first = np.concatenate([gram_hashes(data, have), np.zeros(have - 1, np.uint64)])
+    bucket = np.unique(first, return_inverse=True)[1].astype(np.int64)
     while have < length:
         step = min(have, length - have)
         # A position alone in its bucket is settled: its identifier stays, and stays good as a pointer.
         due = np.flatnonzero((np.bincount(bucket)[bucket] > 1) & (room >= have + step))
         top = bucket.max() + 1
         bucket[due] = top + np.unique(bucket[due] * top + bucket[due + step], return_inverse=True)[1]
-        bucket = np.unique(bucket, return_inverse=True)[1]
         have += step
     mine = np.flatnonzero(inside)
     again = mine[np.bincount(bucket[mine])[bucket[mine]] > 1]
@@ -126,6 +119,64 @@ def ranges(starts: np.ndarray) -> list[dict]:
 RANGES = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("count", T.IntegerType())]))
 
 
+def cells(raw: bytes, bucket: int, length: int) -> list[tuple[int, int]]:
+    """(first, count) of a window's cells. They lie by their distance to the window's q-gram; where it occurs several times,
+    each position is a cell of its own."""
+    count = len(raw) - length + 1
+    at = np.flatnonzero(gram_hashes(np.frombuffer(raw, np.uint8), GRAM).view(np.int64) == bucket)
+    if len(at) != 1:
+        return [(p, 1) for p in range(count)]
+    cell = (at[0] - np.arange(count)) // CELL
+    edge = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+    return list(zip(edge.tolist(), np.diff(np.concatenate([edge, [count]])).tolist()))
+
+
+def _by_cells(pieces: DataFrame, length: int, found: T.StructType) -> DataFrame:
+    """bucket, window, ranges of the windows (bucket, window, n, bytes) of crowded buckets."""
+    as_long = lambda v: np.array(v, np.uint64).view(np.int64)
+
+    def name(raw: bytes) -> tuple[int, int]:
+        both = xxhash.xxh3_128_intdigest(raw)
+        return both >> 64, both & 0xFFFFFFFFFFFFFFFF
+
+    def cut_cells():
+        def step(batch):
+            rows = []
+            for bucket, window, n, raw in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                rows += [(bucket, window, n, first, count, *name(part), part) for first, count in cells(raw, bucket, length) for part in (raw[first : first + count + length - 1],)]
+            c = list(zip(*rows)) or [[]] * 8
+            return {"bucket": c[0], "window": c[1], "n": c[2], "first": c[3], "count": c[4], "a": as_long(c[5]), "b": as_long(c[6]), "bytes": c[7]}
+
+        return step
+
+    made = cut(map_batches(pieces, "bucket long, window long, n long, first int, count int, a long, b long, bytes binary", cut_cells))
+    kinds = cut(made.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min(F.struct("bucket", "window", "first", "count", "bytes")).alias("one")).select("a", "b", "n", "one.*"))
+    whole = made.join(kinds.where("n > 1").select("a", "b"), ["a", "b"], "left_semi").select("bucket", "window", F.array(F.struct("first", "count")).alias("ranges"))
+
+    def cut_strings():
+        def step(batch):
+            out = {k: [] for k in ("bucket", "window", "at", "n", "alone", "a", "b")}
+            for n, bucket, window, first, count, raw in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                got = [name(raw[i : i + length]) for i in range(count)]
+                out["a"] += [a for a, _ in got]
+                out["b"] += [b for _, b in got]
+                out["at"] += range(first, first + count)
+                for k, v in (("bucket", bucket), ("window", window), ("n", n), ("alone", n == 1)):
+                    out[k] += [v] * count
+            return out | {"a": as_long(out["a"]), "b": as_long(out["b"])}
+
+        return step
+
+    strings = map_batches(kinds.select("n", "bucket", "window", "first", "count", "bytes"), "bucket long, window long, at int, n long, alone boolean, a long, b long", cut_strings)
+    again = strings.groupBy("a", "b").agg(F.sum("n").alias("m")).where("m > 1").select("a", "b")
+    hits = strings.where("alone").join(again, ["a", "b"], "left_semi").groupBy("bucket", "window").agg(F.array_sort(F.collect_list("at")).alias("at"))
+
+    def ranger():
+        return lambda batch: {"bucket": batch.column(0), "window": batch.column(1), "ranges": [ranges(np.array(x, np.int64)) for x in batch.column(2).to_pylist()]}
+
+    return whole.unionByName(map_batches(hits, found, ranger))
+
+
 def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """row_key (hash of doc_id and text), ranges: positions at which a string begins that begins elsewhere too.
 
@@ -212,29 +263,7 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     found_type = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("window", T.LongType()), T.StructField("ranges", RANGES)])
     small = pieces.where("not crowded").select("bucket", "window", "n", "bytes").repartition("bucket").sortWithinPartitions("bucket", "window").mapInArrow(refiner, found_type)
 
-    def namer():
-        def step(batch):
-            out = {k: [] for k in ("bucket", "window", "at", "a", "b", "n")}
-            for bucket, window, n, data in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                raw = np.frombuffer(data, np.uint8)
-                a, b = names(raw, length, 1), names(raw, length, 0x51ED27)
-                out["a"].append(a.view(np.int64))
-                out["b"].append(b.view(np.int64))
-                out["at"].append(np.arange(len(a)))
-                for k, v in (("bucket", bucket), ("window", window), ("n", n)):
-                    out[k].append(np.full(len(a), v, np.int64))
-            return {k: np.concatenate([np.empty(0, np.int64), *v]) for k, v in out.items()}
-
-        return step
-
-    strings = map_batches(pieces.where("crowded").select("bucket", "window", "n", "bytes"), "bucket long, window long, at int, a long, b long, n long", namer)
-    again = strings.groupBy("a", "b").agg(F.sum("n").alias("m")).where("m > 1").select("a", "b")
-    hits = strings.join(again, ["a", "b"]).groupBy("bucket", "window").agg(F.array_sort(F.collect_list("at")).alias("at"))
-
-    def ranger():
-        return lambda batch: {"bucket": batch.column(0), "window": batch.column(1), "ranges": [ranges(np.array(x, np.int64)) for x in batch.column(2).to_pylist()]}
-
-    large = map_batches(hits, found_type, ranger)
+    large = _by_cells(pieces.where("crowded").select("bucket", "window", "n", "bytes"), length, found_type)
     found = small.unionByName(large)
     mixed = live.select("bucket", "window", "row_key", F.col("first").alias("base")).join(found, ["bucket", "window"])
     mixed = mixed.select("row_key", F.explode("ranges").alias("r"), "base").select("row_key", (F.col("base") + F.col("r.first")).alias("first"), F.col("r.count").alias("count"))
