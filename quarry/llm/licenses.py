@@ -63,8 +63,8 @@ CC_VERSIONS = ("1 0", "2 0", "2 5", "3 0", "4 0")
 #: label and an expression that needs no version.
 PLAIN = (
     ("mit", r"(?:mit|expat|x11) licen[cs]ed?(?: terms)?"), ("mit", r"licen[cs]ed? (?:under|with) (?:the )?(?:terms of the )?(?:mit|expat)"), ("mit", r"permission is hereby granted free of charge to any person obtaining a copy(?: \S+){0,40}? licen[cs]e"),
-    ("bsd", r"bsd(?: style| like)? licen[cs]ed?"), ("bsd-0", r"(?:0|zero) clause bsd(?: licen[cs]e)?|0bsd licen[cs]e"), ("bsd-2", r"(?:2|two) clause (?:bsd|licen[cs]e)|simplified bsd licen[cs]e|freebsd licen[cs]e|bsd 2 clause licen[cs]e"),
-    ("bsd-3", r"(?:3|three) clause (?:bsd|licen[cs]e)|(?:new|modified|revised) bsd licen[cs]e|bsd 3 clause licen[cs]e"), ("bsd-4", r"(?:4|four) clause (?:bsd|licen[cs]e)|(?:old|original) bsd licen[cs]e|bsd 4 clause licen[cs]e"),
+    ("bsd", r"bsd(?: style| like)? licen[cs]ed?"), ("bsd-0", r"(?:0|zero) clause bsd(?: licen[cs]e)?|0bsd licen[cs]e"), ("bsd-2", r"(?:2|two) clause (?:(?:bsd )?licen[cs]e|bsd)|simplified bsd licen[cs]e|freebsd licen[cs]e|bsd 2 clause licen[cs]e"),
+    ("bsd-3", r"(?:3|three) clause (?:(?:bsd )?licen[cs]e|bsd)|(?:new|modified|revised) bsd licen[cs]e|bsd 3 clause licen[cs]e"), ("bsd-4", r"(?:4|four) clause (?:(?:bsd )?licen[cs]e|bsd)|(?:old|original) bsd licen[cs]e|bsd 4 clause licen[cs]e"),
     ("isc", r"isc licen[cs]ed?"), ("zlib", r"zlib(?: libpng)? licen[cs]ed?"), ("unlicense", r"(?:the )?unlicen[cs]e"), ("wtfpl", r"do what the \S+ you want to public licen[cs]e"),
     ("cc0", r"cc0(?: 1 0)?(?: universal)?"), ("cc0", r"creative commons (?:zero|cc0)(?: 1 0)?"), ("cc-by", r"creative commons licen[cs]ed?"), ("public-domain", r"(?:dedicated to|placed (?:in|into)|released (?:in|into)|in) the public domain"),
     ("openssl", r"openssl licen[cs]e"), ("ruby", r"ruby licen[cs]e"), ("vim", r"vim licen[cs]e"), ("beerware", r"beerware licen[cs]e|beer ware licen[cs]e"), ("postgresql", r"postgresql licen[cs]e"), ("ncsa", r"(?:university of illinois )?ncsa(?: open source)? licen[cs]e"),
@@ -91,8 +91,8 @@ def rules() -> list[tuple[int, str, str, str, float]]:
         for v in vs:
             label = f"{name}-{v.replace(' 0', '').replace(' ', '.')}"
             ver = versions(v)
-            out.append((1, f"{label}-or-later", key, rf"{long} {lic}(?: version| v)? {ver} or(?: \(?at your option\)?)?(?: any)? later(?: version)?", 0.95))
-            out.append((1, f"{label}-only", key, rf"{long} {lic}(?: version| v)? {ver} only", 0.95))
+            out.append((1, f"{label}-or-later", key, rf"{long} {lic}(?: version| v)? ?{ver} or(?: \(?at your option\)?)?(?: any)? later(?: version)?", 0.95))
+            out.append((1, f"{label}-only", key, rf"{long} {lic}(?: version| v)? ?{ver} only", 0.95))
             out.append((2, label, key, rf"{long} {lic}(?: version| v)? ?{ver}", 0.9))
             for s in shorts:
                 out.append((3, label, s, rf"{s}(?: {lic})?(?: version| v|v)? ?{ver}(?: {lic})?" if s not in ("apache", "mozilla", "eclipse", "artistic", "php", "boost") else rf"{s} {lic} ?{ver}", 0.8))
