@@ -65,7 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 #: The words of a text in SQL: A-Z lowered, split at ASCII signs that are neither letters nor digits.
-_SQL_WORDS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), w -> w <> '')"
+_SQL_WORDS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
 
 _OP2 = f"""
 WITH i AS (SELECT item_id, {_SQL_WORDS} AS w FROM benchmark),
@@ -81,7 +81,7 @@ GROUP BY c.doc_id, s.item_id HAVING 10 * count(*) >= 8 * any_value(z.size)
 """
 
 _OP6 = """
-WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), w -> w <> '') AS w FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
      s AS (SELECT DISTINCT doc_id, array_to_string(w[k : k + 2], ' ') AS g FROM d, unnest(range(1, greatest(2, len(w) - 1))) AS t(k) WHERE len(w) > 0),
      z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
      p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS same FROM s AS x JOIN s AS y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
