@@ -15,6 +15,7 @@ cluster: when the compatible bins are none, it is known without a walk.
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -77,7 +78,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE
     done = items.where(F.col("n_words") == capacity)
     rest = items.where(F.col("n_words") < capacity).withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", "copy", "part"), F.lit(shards)))
 
-    def place(key, df: pd.DataFrame) -> pd.DataFrame:
+    def place(key: tuple[Any, ...], df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values(["n_words", "doc_id", "cluster", "copy", "part"], ascending=[False, True, True, True, True], kind="stable", na_position="last").reset_index(drop=True)
         at = pack_shard(df.n_words.tolist(), pd.factorize(df.source, use_na_sentinel=False)[0].tolist(), pd.factorize(df.cluster)[0].tolist(), capacity, per_source)
         df["bin"] = [f"s{key[0]}-{b}" for b, _ in at]
