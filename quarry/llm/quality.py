@@ -35,6 +35,9 @@ BITS = 22
 #: Documents are sampled with so much of their text at most, by whole texts: longer ones aren't drawn for training.
 TRAIN_CHARS = 50_000
 
+#: Entries of each of a worker's caches before it starts afresh.
+CACHE = 200_000
+
 LETTERS = bytes(c if chr(c).isalpha() or c >= 128 else 32 for c in range(256))
 SYMBOLS = frozenset(b"#$%&*|@^~=<>{}[]\\_+")
 DROP_SYMBOLS = bytes(SYMBOLS)
@@ -120,7 +123,7 @@ class Hasher:
     def hashed(self, key: bytes) -> int:
         got = self.cache.get(key)
         if got is None:
-            if len(self.cache) > 500_000:
+            if len(self.cache) > CACHE:
                 self.cache.clear()
             got = self.cache[key] = xxhash.xxh3_64_intdigest(key) & ((1 << BITS) - 1)
         return got
@@ -129,7 +132,7 @@ class Hasher:
         """A word's closing signs, or whether it is all capitals."""
         got = self.shapes.get(word)
         if got is None:
-            if len(self.shapes) > 500_000:
+            if len(self.shapes) > CACHE:
                 self.shapes.clear()
             body = word.rstrip(b".,;:!?#$%&*|@^~=<>{}[]\\_+\"')(")
             got = self.shapes[word] = (b"A" if len(body) > 1 and body.isupper() else b"a") + word[len(body) :][:4]
