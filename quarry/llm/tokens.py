@@ -23,8 +23,8 @@ from .common import map_batches
 MARK = "▁"
 PIECES = re.compile("[ ▁]+[^ ▁]*")
 LIMIT = 4096
-#: Entries a worker's cache may hold before it starts afresh: about 100 MB of short words.
-CACHE = 600_000
+#: Entries a worker's cache may hold before it starts afresh: about 60 MB of short words.
+CACHE = 300_000
 #: Longer pre-tokens are encoded each time and not kept.
 LONGEST = 64
 
@@ -50,22 +50,23 @@ def counter(path: str, table: dict[str, int] | None):
     sp = load(path)
     if table is None:
         return lambda texts: [len(x) for x in sp.encode(texts, num_threads=1)]
-    cache: dict[str, int] = {}
+    cache = dict(table)
     alone = len(sp.encode("a ")) - len(sp.encode("a"))
 
     def one(text: str) -> int:
         pieces = PIECES.findall(" " + text) if text else []
-        new = [p for p in set(pieces) if p not in table and p not in cache]
+        new = [p for p in set(pieces) if p not in cache]
         if new:
             # The library puts a mark of its own before what it encodes; it stands for the piece's first one.
             for p, ids in zip(new, sp.encode([p[1:] for p in new], num_threads=1)):
                 cache[p] = len(ids) if len(p) > 1 else alone
-        n = sum(table[p] if p in table else cache[p] for p in pieces)
-        if len(cache) > CACHE:
-            cache.clear()
+        n = sum(map(cache.__getitem__, pieces))
         for p in new:
             if len(p) > LONGEST:
-                cache.pop(p, None)
+                del cache[p]
+        if len(cache) > CACHE:
+            cache.clear()
+            cache.update(table)
         return n
 
     def count(texts: list[str]) -> list[int]:
