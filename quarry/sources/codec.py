@@ -230,7 +230,7 @@ def write_mvt_value(value) -> bytes:
     return bytes(out)
 
 
-def geometry_commands(feature: dict, mapbox: bool) -> list[int]:
+def geometry_commands(feature: dict, plain: bool) -> list[int]:
     out, x, y = [], 0, 0
 
     def go(points) -> None:
@@ -257,20 +257,20 @@ def geometry_commands(feature: dict, mapbox: bool) -> list[int]:
                 go(body[1:])
             if kind == 3:
                 out.append(1 << 3 | 7)
-        if kind == 3 and not mapbox:
+        if kind == 3 and not plain:
             out.append(1 << 3 | 4)
     return out
 
 
-def write_mvt_layer(layer: dict, mapbox: bool) -> bytes:
-    """A layer of 2D features; values that are no scalars become JSON texts. mapbox: the plain format, else the flat one."""
+def write_mvt_layer(layer: dict, plain: bool) -> bytes:
+    """A layer of 2D features; values that are no scalars become JSON texts. plain: MVT, else its flat extension."""
     out = bytearray()
-    put(out, 15, 1 if mapbox else 5)
+    put(out, 15, 1 if plain else 5)
     put_text(out, 1, layer["layer"] or "")
     put(out, 5, layer["extent"] or 4096)
     keys: dict[str, int] = {}
     values: dict[tuple, int] = {}
-    at = (1, 2, 3, 4, 5, 6) if mapbox else (15, 1, 2, 3, 4, 5)
+    at = (1, 2, 3, 4, 5, 6) if plain else (15, 1, 2, 3, 4, 5)
     for f in layer["features"]:
         body, pairs = bytearray(), []
         if f.get("id") is not None:
@@ -281,8 +281,8 @@ def write_mvt_layer(layer: dict, mapbox: bool) -> bytes:
             pairs += [keys.setdefault(k, len(keys)), values.setdefault((type(v) is bool, type(v) is str, v), len(values))]
         put_packed(body, at[1], pairs)
         kind = (f["type"] - 1) % 3 + 1
-        put(body, at[2], kind if mapbox or kind < 3 else 4)
-        put_packed(body, at[3], geometry_commands(f, mapbox))
+        put(body, at[2], kind if plain or kind < 3 else 4)
+        put_packed(body, at[3], geometry_commands(f, plain))
         if f.get("indices"):
             put_packed(body, at[4], deltas(f["indices"]))
         if f.get("tessellation"):

@@ -235,7 +235,7 @@ def rows(spark):
 def test_files_source_stream_and_table_function(spark, tmp_path):
     made = encode.encode_tiles(rows(spark), "open").collect()
     for r in made:
-        f = tmp_path / "tiles" / (r.tile_id + ".ovt")
+        f = tmp_path / "tiles" / (r.tile_id + ".tile")
         f.parent.mkdir(parents=True, exist_ok=True)
         f.write_bytes(bytes(r.content))
     path = str(tmp_path / "tiles")
