@@ -61,11 +61,16 @@ def _at_end(application: str) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut: written as a table in the shared folder, from where every executor can read it again."""
+    """df with its lineage cut: written as a table in the shared folder, from where every executor can read it again.
+
+    The driver then collects its garbage, upon which Spark removes the shuffle files of what is done; else they stay on
+    the executors' disks until the driver's heap happens to fill.
+    """
     spark = df.sparkSession
     path = f"{_folder(spark)}/{uuid.uuid4().hex}"
     _at_end(spark.sparkContext.applicationId)
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -76,10 +81,15 @@ def drop(df: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
-def map_batches(df: DataFrame, schema: T.StructType | str, make: Callable[[], Callable[[pa.RecordBatch], dict]]) -> DataFrame:
+#: Rows whose Python objects a worker holds at once.
+ROWS = 512
+
+
+def map_batches(df: DataFrame, schema: T.StructType | str, make: Callable[[], Callable[[pa.RecordBatch], dict]], rows: int = ROWS) -> DataFrame:
     """mapInArrow with a function built once per task (caches and automata live as long as the task's batches).
 
-    ``make()`` gives a function from a batch to columns (lists, numpy or Arrow arrays) in the order of ``schema``.
+    ``make()`` gives a function from a batch to columns (lists, numpy or Arrow arrays) by the names of ``schema``. It is
+    called on at most ``rows`` rows at a time, and their results go out at once, which bounds a worker's memory.
     """
     if isinstance(schema, str):
         schema = T._parse_datatype_string(schema)
@@ -89,9 +99,7 @@ def map_batches(df: DataFrame, schema: T.StructType | str, make: Callable[[], Ca
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
+        for batch in (b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows)):
             got = step(batch)
             arrays = [x.cast(f.type) if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, type=f.type) for x, f in zip((got[f.name] for f in arrow), arrow)]
             yield pa.RecordBatch.from_arrays([a.combine_chunks() if isinstance(a, pa.ChunkedArray) else a for a in arrays], schema=arrow)
