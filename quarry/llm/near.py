@@ -2,14 +2,18 @@
 
 A document's set holds the 64-bit hashes of its distinct n-word shingles. All sets share one order of their elements:
 hashes ascending, but the most frequent ones last (a table of at most HEAVY hashes, counted over all documents batch by
-batch; any order gives the same links, this one keeps posting lists short). Sets of Jaccard similarity t or more share an
-element among their first |x| - ceil(t |x|) + 1, and their sizes differ by a factor of 1/t at most.
-
-1. Documents with equal sets become one member; members with equal prefixes and sizes become one group. Only groups are
-   indexed, so copies and many near copies cost one posting each.
-2. Posting lists name candidate pairs of groups that pass the size filter; candidates are expanded to members and verified
-   on whole sets.
-3. Components are all that is wanted of a list's members, not all their pairs. So a list is first searched as a star (each
+batch; any order gives the same links, this one keeps posting lists short). Of two sets that link, the first
+|x| - ceil(t |x|) + l elements of each share l at least, and sizes differ by a factor of 1/t at most.
+
+1. Documents with equal sets become one member; members with equal prefixes (of l = SHARED, fewer for small sets) and sizes
+   become one group. Only groups are indexed, so copies and many near copies cost one posting each.
+2. How many groups hold an element of their prefixes is counted. A group with fewer than l elements that others hold too
+   has no partner and is done. The others drop their l - 1 most frequent elements: by the order of those counts the
+   shared elements' first is still there. So common words rarely make a posting, and no pair was made to learn this.
+3. Posting lists name candidate pairs of groups that pass the size filter. Candidates are expanded to members and must
+   share l elements of their prefixes, by 16-bit fingerprints (equal elements have equal ones, so none is lost). What is
+   left is verified on whole sets, which are read again for those members alone.
+4. Components are all that is wanted of a list's members, not all their pairs. So a list is first searched as a star (each
    member against one hub of about its size, another hub in each round); pairs inside a component are then settled, and
    only pairs across components are expanded further. Links between different texts that could join two components are
    never lost; pairs within one component aren't all listed.
@@ -19,57 +23,113 @@ Sets are told apart by (size, 64-bit hash of the set).
 
 from __future__ import annotations
 
+import functools
 import math
+import re
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, map_batches, mix
+from .common import cut, is_small, map_batches, mix
 from .components import components
 
-#: Bound of the broadcast table of frequent hashes (8 bytes each), and of a worker's word cache.
-HEAVY, CACHE = 1 << 15, 1_000_000
+#: Bound of the broadcast table of frequent hashes (8 bytes each).
+HEAVY = 1 << 16
+#: Elements that partners' prefixes share at least; fewer for small sets.
+SHARED = 16
+#: Keys of members that are broadcast to find their texts, at most (16 bytes each); beyond, texts and keys shuffle.
+KEYS = 1 << 18
 #: A hash counts towards the frequent ones from so many sets of one batch on.
-BATCH_MIN = 4
-#: Rounds of stars before pairs across components are expanded, and the pairs a document that call for one more.
-ROUNDS, MORE_ROUNDS, CROSS = 1, 8, 4
+BATCH_MIN, BATCH_ROWS = 4, 4096
+#: Another round of stars follows while pairs across components would be more than so many a member, and the last round
+#: linked at least that share of the members; rounds at most.
+CROSS, USEFUL, ROUNDS = 512, 0.01, 10
+#: Members of a component in one list up to which they are few.
+FEW = 8
+
+
+#: Whether a byte is ASCII white space; a random number for each byte; the base of the words' polynomial and its inverse.
+SPACE = np.isin(np.arange(256), np.frombuffer(b"\t\n\x0b\x0c\r ", np.uint8))
+BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
+BASE = 0xE7037ED1A0B428DB
+GAP = re.compile(rb"[\t-\r ]")
+PIECE = 1 << 20
+
+
+@functools.cache
+def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE to the powers 0 .. size - 1, and the inverses, modulo 2^64."""
+    out = []
+    for base in (BASE, pow(BASE, -1, 1 << 64)):
+        factors = np.full(size, base, np.uint64)
+        factors[0] = 1
+        out.append(np.multiply.accumulate(factors))
+    return tuple(out)
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """A hash of each word (run of bytes that are no white space): a polynomial over its bytes, from prefix sums, mixed."""
+    out, at = [], 0
+    while at < len(raw):
+        end = at + PIECE
+        if end < len(raw):  # pieces end at white space, so no word is cut
+            gap = GAP.search(raw, end)
+            end = gap.start() if gap else len(raw)
+        data = np.frombuffer(raw[at:end], np.uint8)
+        solid = np.zeros(len(data) + 2, bool)
+        solid[1:-1] = ~SPACE[data]
+        edge = np.flatnonzero(solid[1:] != solid[:-1])
+        first, last = edge[::2], edge[1::2]
+        up, down = powers(1 << max(16, len(data).bit_length()))
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(BYTES[data] * up[: len(data)], out=sums[1:])
+        out.append(mix((sums[last] - sums[first]) * down[first]))
+        at = end
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
 def hasher(n: int) -> Callable[[str | None], np.ndarray]:
     """A function from a text to its sorted distinct shingle hashes."""
-    cache: dict[bytes, int] = {}
     factor = np.uint64(0x9E3779B97F4A7C15)
 
-    def word(w: bytes) -> int:
-        got = cache.get(w)
-        if got is None:
-            if len(cache) > CACHE:
-                cache.clear()
-            got = cache[w] = xxhash.xxh3_64_intdigest(w)
-        return got
-
     def shingles(text: str | None) -> np.ndarray:
-        words = (text or "").encode().lower().split()  # bytes: A-Z only, and ASCII white space only
-        if not words:
-            return np.empty(0, np.uint64)
-        ids = np.fromiter(map(word, words), np.uint64, len(words))
+        ids = word_hashes((text or "").encode().lower())  # of bytes, lower() takes A-Z only
+        if not len(ids):
+            return ids
         width = min(n, len(ids))
-        h = np.full(len(ids) - width + 1, width, np.uint64)
-        for k in range(width):
-            h = mix(h * factor + ids[k : len(ids) - width + 1 + k])
-        return np.unique(h)
+        h = ids[: len(ids) - width + 1] + np.uint64(width)
+        for k in range(1, width):
+            h = h * factor + ids[k : len(ids) - width + 1 + k]
+        h = mix(h)
+        h.sort()
+        first = np.empty(len(h), bool)
+        first[0] = True
+        np.not_equal(h[1:], h[:-1], out=first[1:])
+        return h[first]
 
     return shingles
 
 
 def prefix_length(size: int, percent: int) -> int:
-    """Elements of a set among which a partner must share one: size - ceil(percent/100 * size) + 1."""
-    return size - -(-percent * size // 100) + 1
+    """Elements of a set's prefix, of which partners share shared(length) at least."""
+    first = size - -(-percent * size // 100) + 1
+    return min(size, first - 1 + min(SHARED, first))
+
+
+def shared(size: int, length: int, other: int, other_length: int, percent: int) -> int:
+    """What the prefixes of two sets that link share at least, by their sizes and the prefixes' lengths.
+
+    They share same = ceil(percent (size + other) / (100 + percent)) elements. Of the shared ones the l-th by the order lies
+    among the first size - same + l of either set.
+    """
+    same = -(-percent * (size + other) // (100 + percent))
+    return min(length - size + same, other_length - other + same)
 
 
 def heavy_hashes(docs: DataFrame, n: int, bound: int = HEAVY) -> np.ndarray:
@@ -86,13 +146,23 @@ def heavy_hashes(docs: DataFrame, n: int, bound: int = HEAVY) -> np.ndarray:
 
         return step
 
-    counts = map_batches(docs.select("text"), "h long, c long", make).groupBy("h").agg(F.sum("c").alias("c"))
+    counts = map_batches(docs.select("text"), "h long, c long", make, rows=BATCH_ROWS).groupBy("h").agg(F.sum("c").alias("c"))
     top = counts.orderBy(F.desc("c"), "h").limit(bound).select("h").toPandas()["h"].to_numpy(np.int64)
     return np.sort(top.view(np.uint64))
 
 
+def ordered(x: np.ndarray, often: np.ndarray, count: int) -> np.ndarray:
+    """The first ``count`` elements of the sorted set x in the order of all sets: frequent ones last."""
+    if not len(often):
+        return x[:count]
+    late = often[np.minimum(np.searchsorted(often, x), len(often) - 1)] == x
+    first = x[~late][:count]
+    return first if len(first) == count else np.concatenate([first, x[late][: count - len(first)]])
+
+
 def sketch(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """A row per row of docs: doc_id, row_key, size, sid (its set), gid (its group: size and prefix), prefix (hashes)."""
+    """A row per row of docs: doc_id, row_key, size, sid (its set), gid (its group: size and prefix), prefix (hashes),
+    prints (the size, and 16-bit fingerprints of the prefix)."""
     heavy = docs.sparkSession.sparkContext.broadcast(heavy_hashes(docs, n))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -100,44 +170,62 @@ def sketch(docs: DataFrame, n: int, percent: int) -> DataFrame:
         shingles, often = hasher(n), heavy.value
 
         def step(batch):
-            sizes, sids, gids, prefixes = [], [], [], []
+            sizes, sids, gids, prefixes, prints = [], [], [], [], []
             for t in batch.column(2).to_pylist():
                 x = shingles(t)
-                p = prefix_length(len(x), percent) if len(x) else 0
-                first = x[:0]
-                if p:
-                    late = np.isin(x, often, assume_unique=True) if len(often) else np.zeros(len(x), bool)
-                    first = np.concatenate([x[~late][:p], x[late][: max(0, p - int((~late).sum()))]])
+                first = ordered(x, often, prefix_length(len(x), percent))
                 sizes.append(len(x))
                 sids.append(xxhash.xxh3_64_intdigest(x.tobytes(), seed=len(x)))
                 gids.append(xxhash.xxh3_64_intdigest(first.tobytes(), seed=len(x)))
                 prefixes.append(first.view(np.int64))
+                prints.append(np.int64(len(x)).tobytes() + (first >> np.uint64(20)).astype(np.uint16).tobytes())
             as_long = lambda v: np.array(v, np.uint64).view(np.int64)
-            return {"doc_id": batch.column(0), "row_key": batch.column(1), "size": sizes, "sid": as_long(sids), "gid": as_long(gids), "prefix": prefixes}
+            return {"doc_id": batch.column(0), "row_key": batch.column(1), "size": sizes, "sid": as_long(sids), "gid": as_long(gids), "prefix": prefixes, "prints": prints}
 
         return step
 
     slim = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text")
-    return map_batches(slim, f"doc_id {kind}, row_key long, size long, sid long, gid long, prefix array<long>", make)
+    return map_batches(slim, f"doc_id {kind}, row_key long, size long, sid long, gid long, prefix array<long>, prints binary", make)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b) of members those that link; sets: sid, hs (its hashes as bytes, sorted)."""
-    both = pairs.join(sets.select(F.col("sid").alias("a"), F.col("hs").alias("x")), "a").join(sets.select(F.col("sid").alias("b"), F.col("hs").alias("y")), "b")
+def _pair_filter(pairs: DataFrame, test: Callable[[np.ndarray, np.ndarray], bool], dtype: type) -> DataFrame:
+    """Of pairs (a, b, x, y) those whose arrays x and y, as bytes, pass a test: a, b."""
 
     def make():
         def step(batch):
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                same = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * same >= percent * (len(x) + len(y) - same))
+            keep = [test(np.frombuffer(x.as_buffer(), dtype), np.frombuffer(y.as_buffer(), dtype)) for x, y in zip(batch.column(2), batch.column(3))]
             rows = batch.filter(pa.array(keep, pa.bool_()))
             return {"a": rows.column(0), "b": rows.column(1)}
 
         return step
 
-    return map_batches(both.select("a", "b", "x", "y"), "a long, b long", make)
+    return map_batches(pairs.select("a", "b", "x", "y"), "a long, b long", make)
+
+
+def _with_both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    return pairs.join(table.select(F.col("sid").alias("a"), F.col(column).alias("x")), "a").join(table.select(F.col("sid").alias("b"), F.col(column).alias("y")), "b")
+
+
+def plausible(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members that may link, by the prints of their prefixes (the set's size is put before them)."""
+
+    def test(x: np.ndarray, y: np.ndarray) -> bool:
+        (n, m), (x, y) = (int(x[:4].view(np.int64)[0]), int(y[:4].view(np.int64)[0])), (x[4:], y[4:])
+        least = shared(n, len(x), m, len(y), percent)
+        # A print that several elements share counts for each of them: never less than what the prefixes share.
+        return np.isin(x, y).sum() >= least and np.isin(y, x).sum() >= least
+
+    return _pair_filter(_with_both(pairs, members, "prints"), test, np.uint16)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b) of members those that link; sets: sid, hs (its hashes as bytes, sorted)."""
+
+    def test(x: np.ndarray, y: np.ndarray) -> bool:
+        same = len(np.intersect1d(x, y, assume_unique=True))
+        return 100 * same >= percent * (len(x) + len(y) - same)
+
+    return _pair_filter(_with_both(pairs, sets, "hs"), test, np.uint64)
 
 
 def member_sets(docs: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
@@ -147,8 +235,9 @@ def member_sets(docs: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
         shingles = hasher(n)
         return lambda batch: {"sid": batch.column(0), "hs": [shingles(t).tobytes() for t in batch.column(1).to_pylist()]}
 
-    texts = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "text").join(chosen, "row_key").dropDuplicates(["row_key"]).select("sid", "text")
-    return map_batches(texts, T.StructType([T.StructField("sid", T.LongType()), T.StructField("hs", T.BinaryType())]), make)
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "text")
+    texts = keyed.join(F.broadcast(chosen) if is_small(chosen, KEYS) else chosen, "row_key")
+    return map_batches(texts.select("sid", "text"), T.StructType([T.StructField("sid", T.LongType()), T.StructField("hs", T.BinaryType())]), make).dropDuplicates(["sid"])
 
 
 def classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
@@ -159,93 +248,112 @@ def classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     100 * intersection >= percent * union. component_id is the least doc_id reachable, its own included (nulls last);
     n_links counts the verified links of its set in the spanning search, not all pairs. Extra columns are ignored.
     """
+    if not 50 <= percent <= 100:
+        raise ValueError("percent is from 50 to 100")
     made = cut(sketch(docs, n, percent))
-    members = cut(made.where("size > 0").groupBy("sid", "size").agg(F.min("row_key").alias("row_key"), F.min("gid").alias("gid")))
-    groups = made.where("size > 0").groupBy("gid", "size").agg(F.first("prefix").alias("prefix"))
-    post = groups.select("gid", "size", F.explode("prefix").alias("h"))
+    full = made.where("size > 0")
+    members = cut(full.groupBy("sid", "size").agg(F.min("row_key").alias("row_key"), F.first("gid").alias("gid"), F.first("prints").alias("prints")))
+    post = full.groupBy("gid", "size").agg(F.first("prefix").alias("prefix"))
+    least = F.least(F.lit(SHARED), F.floor((F.size("prefix") + 1) / 2).cast("int"))
+    post = post.select("gid", F.col("size").cast("int").alias("size"), least.alias("least"), F.explode("prefix").alias("h"))
     # Lists of one group are dropped before any join; the counts are summed before the shuffle.
-    lists = post.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    lists = post.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
+    post = cut(post.join(lists, "h"))
+    # Of its shared elements any least - 1 may be left out: a partner is still met by another. The most frequent ones are.
+    group = W.partitionBy("gid")
+    post = post.withColumn("held", F.count("*").over(group)).where("held >= least").withColumn("rank", F.row_number().over(group.orderBy("c", "h"))).where("rank <= held - least + 1")
     # Geometric size bands: partners are in the same band or the next.
-    band = F.floor(F.log(F.col("size").cast("double")) / math.log(100 / percent) + 1e-9).cast("int")
-    post = cut(post.join(lists, "h").withColumn("band", band))
-    inner = members.groupBy("gid").agg(F.count("*").alias("c")).where("c > 1").select("gid")
-
-    fits = lambda p, q: (F.col(p) * 100 >= F.col(q) * percent) & (F.col(q) * 100 >= F.col(p) * percent)
+    band = F.floor(F.log(F.col("size").cast("double")) / math.log(100 / min(percent, 99)) + 1e-9).cast("int")
+    post = cut(post.select("h", band.alias("band"), "gid", "held", "rank"))
+    crowds = members.groupBy("gid").agg(F.count("*").alias("c")).where("c > 1").select("gid")
     # Postings without a second one in their band or a neighbouring one can meet nothing.
     near = post.groupBy("h", "band").agg(F.count("*").alias("c"))
     near = near.select("h", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), "c").groupBy("h", "band").agg(F.sum("c").alias("c")).where("c > 1").select("h", "band")
     post = cut(post.join(near, ["h", "band"]))
-    active = cut(members.join(post.select("gid").unionByName(inner).distinct(), "gid", "left_semi"))
-    sets = cut(member_sets(docs, active.select("sid", "row_key"), n))
+    held = post.select("gid", "held").unionByName(crowds.select("gid", F.lit(0).cast("long").alias("held"))).groupBy("gid").agg(F.max("held").alias("held"))
+    active = cut(members.select("sid", "size", "gid").join(held, "gid"))
+    n_active = active.count()
+    crowds = cut(crowds)
+    post = post.select("h", "band", "gid", "rank")
+
+    first = lambda n: n - F.ceil(n * percent / 100).cast("long") + 1
+    length = lambda n: F.least(n, first(n) - 1 + F.least(F.lit(SHARED).cast("long"), first(n)))
+    x, y = F.col("size"), F.col("size2")
+    same = F.ceil((x + y) * percent / (100 + percent)).cast("long")
+    #: As shared() has it, of (size) and (size2).
+    both_hold = F.least(length(x) - x + same, length(y) - y + same)
+    fits = (x * 100 >= y * percent) & (y * 100 >= x * percent)
+    # Neither has too few elements that others hold; what a group holds as a whole, its members share.
+    may_link = fits & ((F.col("gid") == F.col("gid2")) | (F.least("held", "held2") >= both_hold))
+    # The first element that a pair shares comes early enough, on either side, for the others to follow.
+    early = (F.col("rank") <= F.col("held") - both_hold + 1) & (F.col("rank2") <= F.col("held2") - both_hold + 1)
 
-    label = None  # sid, label of members in a component of more than one
-    edges = None
-    rank = 0
-
-    def labelled(df: DataFrame, sid: str, out: str) -> DataFrame:
-        if label is None:
-            return df.withColumn(out, F.col(sid))
-        return df.join(label.select(F.col("node").alias(sid), F.col("label").alias(out)), sid, "left").withColumn(out, F.coalesce(out, sid))
+    second = lambda df: df.select(*[F.col(c).alias(f"{c}2") for c in df.columns])
+    label = edges = None  # node and label of members in components of more than one; a and b of links
+    owned = active.withColumn("comp", F.col("sid"))
 
     def take(pairs: DataFrame) -> int:
-        """Verifies pairs and joins what links; the number of new links."""
-        nonlocal edges, label
-        new = cut(verified(pairs, sets, percent))
+        """Verifies pairs (sid, sid2), joins what links; the number of new links."""
+        nonlocal edges, label, owned
+        pairs = pairs.select(F.least("sid", "sid2").alias("a"), F.greatest("sid", "sid2").alias("b")).distinct()
+        pairs = cut(plausible(pairs, members, percent))
+        chosen = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct().join(members.select("sid", "row_key"), "sid")
+        new = cut(verified(pairs, cut(member_sets(docs, chosen, n)), percent))
         found = new.count()
         if found:
             edges = new if edges is None else edges.unionByName(new)
-            label = cut(components(edges))
+            label = components(edges)
+            owned = cut(active.join(label.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("label", "sid")).drop("label"))
         return found
 
-    while True:
+    for rank in range(ROUNDS):
         # A star for each list and band, and one within each crowded group; hubs change from round to round.
-        owned = cut(labelled(active, "sid", "comp"))
-        order = F.xxhash64(F.col("sid"), F.lit(rank))
-        head = owned.groupBy("gid").agg(F.min_by(F.struct("sid", "comp", "size"), order).alias("head"))
-        head = head.select("gid", F.col("head.sid").alias("hub"), F.col("head.comp").alias("hub_comp"), F.col("head.size").alias("hub_size"))
-        hubs = post.groupBy("h", "band").agg(F.min_by("gid", F.xxhash64("gid", F.lit(rank))).alias("hub_gid"))
-        stars = post.join(hubs, ["h", "band"]).select("gid", "hub_gid").unionByName(inner.select("gid", F.col("gid").alias("hub_gid"))).distinct()
-        stars = stars.join(head.withColumnRenamed("gid", "hub_gid"), "hub_gid")
-        pairs = owned.join(stars, "gid").where((F.col("comp") != F.col("hub_comp")) & fits("size", "hub_size"))
-        pairs = pairs.select(F.least("sid", "hub").alias("a"), F.greatest("sid", "hub").alias("b")).distinct()
+        heads = owned.groupBy("gid").agg(F.min_by(F.struct("sid", "comp", "size", "held"), F.xxhash64("sid", F.lit(rank))).alias("h")).select("gid", "h.*")
+        # The first hubs are those with the most elements that others hold: what the others were copied from.
+        spread = F.struct((-F.col("held") if rank == 0 else F.lit(0)).alias("held"), F.xxhash64("gid", F.lit(rank)).alias("rank"))
+        hubs = post.join(heads.select("gid", "held"), "gid").groupBy("h", "band").agg(F.min_by("gid", spread).alias("gid2"))
+        stars = post.join(hubs, ["h", "band"]).select("gid", "gid2").unionByName(crowds.select("gid", F.col("gid").alias("gid2"))).distinct()
+        pairs = stars.join(second(heads), "gid2").join(owned, "gid").where((F.col("comp") != F.col("comp2")) & may_link)
         found = take(pairs)
-        rank += 1
         # What is left to compare: members of different components in one list, or in one group.
-        owned = cut(labelled(active, "sid", "comp"))
         parts = owned.groupBy("gid", "comp").agg(F.count("*").alias("m"))
-        left = post.select("h", "band", "gid").join(parts, "gid")
+        left = post.join(parts, "gid")
         mixed = left.groupBy("h").agg(F.min("comp").alias("l"), F.max("comp").alias("r")).where("l <> r").select("h")
         left = cut(left.join(mixed, "h"))
-        inside = parts.join(inner, "gid")
+        inside = cut(parts.join(crowds, "gid"))
         by_comp = left.groupBy("h", "band", "comp").agg(F.sum("m").alias("m"))
-        if rank >= ROUNDS:
-            # How many pairs that would be is known before any is made.
-            square = F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))
-            n_pairs = sum(x.groupBy(*k).agg(square.alias("p")).agg(F.sum("p")).first()[0] or 0 for x, k in ((by_comp, ("h", "band")), (inside, ("gid",))))
-            if not found or rank >= MORE_ROUNDS or n_pairs <= CROSS * owned.count():
-                break
-    # Pairs of components first, so that a list's members of one component are never set against each other.
-    second = lambda df: df.select(*[F.col(c).alias(f"{c}2") for c in df.columns])
-    facing = by_comp.select("h", "comp", "band", F.explode(F.array("band", F.col("band") + 1)).alias("band2")).join(second(by_comp.select("h", "comp", "band")).withColumnRenamed("h2", "h"), ["h", "band2"]).where((F.col("comp") != F.col("comp2")) & ((F.col("band") != F.col("band2")) | (F.col("comp") < F.col("comp2"))))
-    cross = left.select("h", "band", "gid", "comp").join(facing, ["h", "band", "comp"]).join(second(left.select("h", "band", "gid", "comp")).withColumnRenamed("h2", "h"), ["h", "band2", "comp2"])
+        # How many pairs that would be is known before any is made.
+        square = F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))
+        n_pairs = sum(x.groupBy(*k).agg(square.alias("p")).agg(F.sum("p")).first()[0] or 0 for x, k in ((by_comp, ("h", "band")), (inside, ("gid",)))) // 2
+        if n_pairs <= CROSS * n_active or found < USEFUL * n_active:
+            break
+    # Two components of few members in a list are set against each other as they are; a large one is first paired with the
+    # list's other components, so that members of one component are never compared.
+    about = owned.groupBy("gid", "comp").agg(F.first("size").alias("size"), F.first("held").alias("held"))
+    rows = left.select("h", "band", "gid", "comp", "rank").join(about, ["gid", "comp"])
+    rows = cut(rows.join(by_comp.select("h", "band", "comp", (F.col("m") > FEW).alias("large")), ["h", "band", "comp"]))
+    other = second(rows).withColumnRenamed("h2", "h")
+    apart = (F.col("comp") != F.col("comp2")) & (F.col("gid") != F.col("gid2")) & fits & early
+    forward = (F.col("band") != F.col("band2")) | (F.col("gid") < F.col("gid2"))
+    few = rows.where("not large").withColumn("band2", F.explode(F.array("band", F.col("band") + 1))).join(other.where("not large2"), ["h", "band2"]).where(forward & apart)
+    comps = rows.groupBy("h", "band", "comp").agg(F.first("large").alias("large"))
+    facing = comps.where("large").withColumn("band2", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1))).join(second(comps).withColumnRenamed("h2", "h"), ["h", "band2"]).where((F.col("comp") != F.col("comp2")) & (~F.col("large2") | (F.col("comp") < F.col("comp2"))))
+    # The other components' members come first: only the last join meets those of the large one, with all conditions.
+    many = facing.select("h", "band", "comp", "band2", "comp2").join(other, ["h", "band2", "comp2"]).join(rows, ["h", "band", "comp"]).where(apart)
     within = inside.select("gid", "comp").join(inside.select("gid", F.col("gid").alias("gid2"), F.col("comp").alias("comp2")), "gid").where("comp < comp2")
-    both = cross.select("gid", "comp", "gid2", "comp2").unionByName(within.select("gid", "comp", "gid2", "comp2")).distinct()
-    each = owned.select("gid", "comp", "sid", "size")
-    pairs = both.join(each, ["gid", "comp"]).join(second(each), ["gid2", "comp2"]).where(fits("size", "size2"))
-    take(pairs.select(F.least("sid", "sid2").alias("a"), F.greatest("sid", "sid2").alias("b")).distinct())
-
-    rows = made.select("doc_id", "row_key", "size", "sid")
-    links = edges.select("a").unionByName(edges.select(F.col("b").alias("a"))).groupBy("a").agg(F.count("*").alias("n_links")).withColumnRenamed("a", "sid") if edges is not None else None
-    owned = labelled(members.select("sid"), "sid", "comp")
-    least = made.where("size > 0").groupBy("sid").agg(F.min("doc_id").alias("least"))
-    owned = owned.join(least, "sid")
-    ids = owned.groupBy("comp").agg(F.min("least").alias("component_id"))
-    owned = owned.join(ids, "comp").select("sid", "component_id")
-    if links is not None:
-        owned = owned.join(links, "sid", "left")
+    both = few.select("gid", "comp", "gid2", "comp2").unionByName(many.select("gid", "comp", "gid2", "comp2")).unionByName(within.select("gid", "comp", "gid2", "comp2")).distinct()
+    each = owned.select("gid", "comp", "sid", "size", "held")
+    take(both.join(each, ["gid", "comp"]).join(second(each), ["gid2", "comp2"]).where(may_link))
+
+    # A component's name is the least doc_id of all documents with one of its sets.
+    least = full.groupBy("sid").agg(F.min("doc_id").alias("least"))
+    if edges is None:
+        named = least.select("sid", F.col("least").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     else:
-        owned = owned.withColumn("n_links", F.lit(0).cast("long"))
-    out = rows.join(owned, "sid", "left")
+        known = least.join(label.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+        links = edges.select(F.col("a").alias("sid")).unionByName(edges.select(F.col("b").alias("sid"))).groupBy("sid").agg(F.count("*").alias("n_links"))
+        named = known.join(known.groupBy("label").agg(F.min("least").alias("component_id")), "label").join(links, "sid", "left").select("sid", "component_id", "n_links")
+    out = made.select("doc_id", "row_key", "size", "sid").join(named, "sid", "left")
     return out.select("doc_id", "row_key", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
