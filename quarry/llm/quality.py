@@ -185,6 +185,8 @@ def train(rows: list[np.ndarray], target: np.ndarray, l2: float = 0.5, rounds: i
     spread = (hit - total * rate) / np.sqrt(np.maximum(total * rate * (1 - rate), 1e-9))
     good = np.flatnonzero((total >= least) & (np.abs(spread) >= z))
     good = np.sort(good[np.argsort(-np.abs(spread[good]), kind="stable")[:FEATURES]])
+    if not len(good):  # nothing tells the classes apart: every document has the sample's rate
+        return ids[:0], np.empty(0), math.log((rate + 1e-6) / (1 - rate + 1e-6))
     column = np.full(len(ids), -1)
     column[good] = np.arange(len(good))
     at = column[inverse]

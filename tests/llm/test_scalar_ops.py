@@ -307,6 +307,12 @@ def test_quality_on_odd_texts_and_empty_tables(spark):
     assert quality.classify(df, none).count() == len(ODD)
 
 
+def test_scorer_without_features_keeps_the_rate():
+    rows = [np.array([i], np.int32) for i in range(40)]
+    model = quality.train(rows, np.array([1.0] * 4 + [0.0] * 36))
+    assert not len(model[0]) and quality.scorer(model)(rows[0]) == pytest.approx(0.1, abs=1e-3)
+
+
 def test_em_recovers_labellers():
     rng = np.random.default_rng(7)
     truth = rng.random(4000) < 0.7
