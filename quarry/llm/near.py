@@ -6,7 +6,7 @@ batch; any order gives the same links, this one keeps posting lists short). Of t
 |x| - ceil(t |x|) + l elements of each share l at least, and sizes differ by a factor of 1/t at most.
 
 1. Documents with equal sets become one member; members with equal prefixes (of l = SHARED, fewer for small sets) and sizes
-   become one group. Only groups are indexed, so copies and many near copies cost one posting each.
+   become one group. The l of a group is the least over all partners' sizes. Only groups are indexed, so copies and many near copies cost one posting each.
 2. How many groups hold an element of their prefixes is counted. A group with fewer than l elements that others hold too
    has no partner and is done. The others drop their l - 1 most frequent elements: by the order of those counts the
    shared elements' first is still there. So common words rarely make a posting, and no pair was made to learn this.
@@ -132,6 +132,22 @@ def shared(size: int, length: int, other: int, other_length: int, percent: int)
     return min(length - size + same, other_length - other + same)
 
 
+def least_shared(percent: int) -> list[int]:
+    """What the prefixes of a set and of any partner share at least (SHARED at most), by the set's size; larger sizes are as the last.
+
+    A partner may be smaller and have a shorter prefix, so this may be less than what sets of one size share.
+    """
+    out = [0]
+    while True:
+        size = len(out)
+        low, high = -(-percent * size // 100), 100 * size // percent
+        mine = prefix_length(size, percent)
+        out.append(min(SHARED, *(shared(size, mine, y, prefix_length(y, percent), percent) for y in range(low, high + 1))))
+        # From here on no partner's prefix is shortened by its size; at 100 percent all prefixes are of one element.
+        if percent == 100 or (low - -(-percent * low // 100) + 1 >= SHARED and prefix_length(low, percent) < low):
+            return out
+
+
 def heavy_hashes(docs: DataFrame, n: int, bound: int = HEAVY) -> np.ndarray:
     """At most ``bound`` hashes that many sets hold, sorted; equal sets of one batch count once."""
 
@@ -254,7 +270,8 @@ def classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     full = made.where("size > 0")
     members = cut(full.groupBy("sid", "size").agg(F.min("row_key").alias("row_key"), F.first("gid").alias("gid"), F.first("prints").alias("prints")))
     post = full.groupBy("gid", "size").agg(F.first("prefix").alias("prefix"))
-    least = F.least(F.lit(SHARED), F.floor((F.size("prefix") + 1) / 2).cast("int"))
+    table = least_shared(percent)
+    least = F.get(F.lit(table), F.least(F.col("size"), F.lit(len(table) - 1)).cast("int"))
     post = post.select("gid", F.col("size").cast("int").alias("size"), least.alias("least"), F.explode("prefix").alias("h"))
     # Lists of one group are dropped before any join; the counts are summed before the shuffle.
     lists = post.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")

@@ -94,6 +94,25 @@ def test_near_when_every_bound_is_small(spark, monkeypatch):
     assert got == brute_components(rows, 5, 80)
 
 
+@pytest.mark.parametrize(("n", "percent", "words"), [(3, 90, 12), (5, 80, 9), (3, 90, 22), (5, 80, 14)])
+def test_near_smaller_partner(spark, n, percent, words):
+    """A text and the same one without its last word link, though the shorter one's prefix is shorter; so do their copies."""
+    long = [[f"w{k}x{i}" for i in range(words)] for k in range(12)]
+    rows = list(enumerate([" ".join(w[: words - j]) for w in long for j in (0, 1, 1)]))
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in near.classes(docs(spark, rows), n, percent).orderBy("doc_id").collect()]
+    assert got == brute_components(rows, n, percent)
+    assert len({c for *_, c in got}) == len(long)
+
+
+def test_least_shared_brute():
+    for percent in (50, 66, 80, 90, 99, 100):
+        table = near.least_shared(percent)
+        for x in range(1, 2 * len(table) + 50):
+            sizes = [y for y in range(1, 2 * x + 1) if 100 * min(x, y) >= percent * max(x, y)]
+            low = min(near.shared(x, near.prefix_length(x, percent), y, near.prefix_length(y, percent), percent) for y in sizes)
+            assert 1 <= table[min(x, len(table) - 1)] == min(near.SHARED, low), (percent, x)
+
+
 def test_near_hot_group(spark):
     """A third of the rows are one text, another third near copies of one: all in their components, no pairs of copies."""
     rng = random.Random(3)
