@@ -72,8 +72,12 @@ PLAIN = (
     ("copyright", r"copyright(?: c)? (?:19|20)\d\d(?: \d\d\d\d)*"), ("unknown-license", r"(?:released|licen[cs]ed|distributed|available|published) under (?:the |an? )?(?:\S+ ){1,6}?licen[cs]e(?:(?: version)? v?\d+(?: \d+)?)?"), ("unknown-license", r"terms (?:and conditions )?of (?:the|this|an?) (?:\S+ ){0,6}?licen[cs]e(?:(?: version)? v?\d+(?: \d+)?)?"), ("unknown-license", r"see (?:the )?licen[cs]e(?: file)?"),
 )
 
-#: One of these is in every text that a rule or base phrase can match; single words, as separators vary.
-GATE = r"(?i)licen[cs]|copyright|gpl|cc0|commons|domain|rights|(?<![0-9a-z])cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+by|spdx|gfdl|agpl"
+#: A separator in a text as it is written.
+SEP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+#: One of these is in every text that a rule or base phrase can match: a word that the rule can't do without, or a short
+#: name with the first digit of its version. Separators vary.
+SHORT_NAMES = "|".join(s.replace(" ", f"{SEP}+") for *_, shorts, _ in VERSIONED for s in shorts)
+GATE = rf"(?i)licen[cs]|copyright|commons|domain|rights|cc0|clause{SEP}+bsd|(?<![0-9a-z])(?:cc{SEP}+by|(?:{SHORT_NAMES})(?:{SEP}+version|{SEP}*v)?{SEP}*[0-9])"
 
 
 def versions(v: str) -> str:

@@ -115,6 +115,48 @@ def test_license_rules_are_many_and_gated():
     assert all(re.search(r"licen|copyright|gpl|cc0|commons|domain|rights|cc by|gfdl", rx) or rank < 3 or re.search(licenses.GATE, keyword) for rank, (_, _, keyword, rx, _) in enumerate(rules))
 
 
+def matches(parsed):
+    """Shortest texts that an expression matches, at least one for each of its alternatives."""
+    out = [""]
+    for op, arg in parsed:
+        name = str(op)
+        if name == "BRANCH":
+            more = [t for branch in arg[1] for t in matches(branch)]
+        elif name == "SUBPATTERN":
+            more = matches(arg[3])
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            more = [t * arg[0] for t in matches(arg[2])] if arg[0] else [""]
+        elif name == "LITERAL":
+            more = [chr(arg)]
+        else:  # one of a class: a letter of the set, a digit or what is no space
+            more = [next((chr(v) for o, v in arg if str(o) == "LITERAL"), "7") if name == "IN" else "7"]
+        out = [a + b for a in out for b in more]
+    return list(dict.fromkeys(out))
+
+
+def rule_matches():
+    """(rule, a text) for each alternative of each rule."""
+    from re import _parser
+
+    for rule in licenses.rules():
+        for t in matches(_parser.parse(rule[3])):
+            assert re.fullmatch(rule[3], t), (rule, t)
+            yield rule, t
+
+
+def test_license_gate_passes_what_rules_match():
+    for rule, t in rule_matches():
+        for text in (t, t.upper(), f"x\n{t.replace(' ', '-')}.", f"({t.replace(' ', chr(10) + '  ')})"):
+            assert re.search(licenses.GATE, text), (rule, text)
+
+
+def test_license_short_names(spark):
+    texts = ["Source is under MPL 2.0", "OFL 1.1", "EUPL-1.2", "EPL-2.0", "CDDL v1.1", "GNU FDL 1.2", "MS-PL 1.0", "CeCILL 2.1", "2-clause BSD", "Released as SSPLv1", "no MPL, no AFL here"]
+    got = [r.labels for r in licenses.digest(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert got[:8] == ["mpl-2", "ofl-1.1", "eupl-1.2", "epl-2", "cddl-1.1", "fdl-1.2", "ms-pl-1", "cecill-2.1"]
+    assert got[9:] == ["sspl-1", ""]
+
+
 PHRASES = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
 
 
