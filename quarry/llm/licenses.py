@@ -60,16 +60,18 @@ CLAUSES = (
     ("by-sa", r"attribution share ?alike"), ("by-nd", r"attribution no ?deriv\S*"), ("by", r"attribution"),
 )
 CC_VERSIONS = ("1 0", "2 0", "2 5", "3 0", "4 0")
-#: label and an expression that needs no version.
+#: label, a keyword that every match contains, and an expression that needs no version.
 PLAIN = (
-    ("mit", r"(?:mit|expat|x11) licen[cs]ed?(?: terms)?"), ("mit", r"licen[cs]ed? (?:under|with) (?:the )?(?:terms of the )?(?:mit|expat)"), ("mit", r"permission is hereby granted free of charge to any person obtaining a copy(?: \S+){0,40}? licen[cs]e"),
-    ("bsd", r"bsd(?: style| like)? licen[cs]ed?"), ("bsd-0", r"(?:0|zero) clause bsd(?: licen[cs]e)?|0bsd licen[cs]e"), ("bsd-2", r"(?:2|two) clause (?:(?:bsd )?licen[cs]e|bsd)|simplified bsd licen[cs]e|freebsd licen[cs]e|bsd 2 clause licen[cs]e"),
-    ("bsd-3", r"(?:3|three) clause (?:(?:bsd )?licen[cs]e|bsd)|(?:new|modified|revised) bsd licen[cs]e|bsd 3 clause licen[cs]e"), ("bsd-4", r"(?:4|four) clause (?:(?:bsd )?licen[cs]e|bsd)|(?:old|original) bsd licen[cs]e|bsd 4 clause licen[cs]e"),
-    ("isc", r"isc licen[cs]ed?"), ("zlib", r"zlib(?: libpng)? licen[cs]ed?"), ("unlicense", r"(?:the )?unlicen[cs]e"), ("wtfpl", r"do what the \S+ you want to public licen[cs]e"),
-    ("cc0", r"cc0(?: 1 0)?(?: universal)?"), ("cc0", r"creative commons (?:zero|cc0)(?: 1 0)?"), ("cc-by", r"creative commons licen[cs]ed?"), ("public-domain", r"(?:dedicated to|placed (?:in|into)|released (?:in|into)|in) the public domain"),
-    ("openssl", r"openssl licen[cs]e"), ("ruby", r"ruby licen[cs]e"), ("vim", r"vim licen[cs]e"), ("beerware", r"beerware licen[cs]e|beer ware licen[cs]e"), ("postgresql", r"postgresql licen[cs]e"), ("ncsa", r"(?:university of illinois )?ncsa(?: open source)? licen[cs]e"),
-    ("curl", r"curl licen[cs]e"), ("json", r"json licen[cs]e"), ("icu", r"icu licen[cs]e"), ("unicode", r"unicode(?: inc)? licen[cs]e(?: agreement)?"), ("proprietary", r"all rights reserved"), ("proprietary", r"proprietary licen[cs]e|commercial licen[cs]e"),
-    ("copyright", r"copyright(?: c)? (?:19|20)\d\d(?: \d\d\d\d)*"), ("unknown-license", r"(?:released|licen[cs]ed|distributed|available|published) under (?:the |an? )?(?:\S+ ){1,6}?licen[cs]e(?:(?: version)? v?\d+(?: \d+)?)?"), ("unknown-license", r"terms (?:and conditions )?of (?:the|this|an?) (?:\S+ ){0,6}?licen[cs]e(?:(?: version)? v?\d+(?: \d+)?)?"), ("unknown-license", r"see (?:the )?licen[cs]e(?: file)?"),
+    ("mit", "licen", r"(?:mit|expat|x11) licen[cs]ed?(?: terms)?"), ("mit", "licen", r"licen[cs]ed? (?:under|with) (?:the )?(?:terms of the )?(?:mit|expat)"), ("mit", "licen", r"permission is hereby granted free of charge to any person obtaining a copy(?: \S+){0,40}? licen[cs]e"),
+    ("bsd", "bsd", r"bsd(?: style| like)? licen[cs]ed?"), ("bsd-0", "bsd", r"(?:0|zero) clause bsd(?: licen[cs]e)?|0bsd licen[cs]e"),
+    ("bsd-2", "licen", r"(?:2|two) clause licen[cs]e"), ("bsd-2", "bsd", r"(?:2|two) clause bsd(?: licen[cs]e)?|simplified bsd licen[cs]e|freebsd licen[cs]e|bsd 2 clause licen[cs]e"),
+    ("bsd-3", "licen", r"(?:3|three) clause licen[cs]e"), ("bsd-3", "bsd", r"(?:3|three) clause bsd(?: licen[cs]e)?|(?:new|modified|revised) bsd licen[cs]e|bsd 3 clause licen[cs]e"),
+    ("bsd-4", "licen", r"(?:4|four) clause licen[cs]e"), ("bsd-4", "bsd", r"(?:4|four) clause bsd(?: licen[cs]e)?|(?:old|original) bsd licen[cs]e|bsd 4 clause licen[cs]e"),
+    ("isc", "licen", r"isc licen[cs]ed?"), ("zlib", "licen", r"zlib(?: libpng)? licen[cs]ed?"), ("unlicense", "licen", r"(?:the )?unlicen[cs]e"), ("wtfpl", "licen", r"do what the \S+ you want to public licen[cs]e"),
+    ("cc0", "cc0", r"cc0(?: 1 0)?(?: universal)?"), ("cc0", "commons", r"creative commons (?:zero|cc0)(?: 1 0)?"), ("cc-by", "commons", r"creative commons licen[cs]ed?"), ("public-domain", "domain", r"(?:dedicated to|placed (?:in|into)|released (?:in|into)|in) the public domain"),
+    ("openssl", "licen", r"openssl licen[cs]e"), ("ruby", "licen", r"ruby licen[cs]e"), ("vim", "licen", r"vim licen[cs]e"), ("beerware", "licen", r"beerware licen[cs]e|beer ware licen[cs]e"), ("postgresql", "licen", r"postgresql licen[cs]e"), ("ncsa", "licen", r"(?:university of illinois )?ncsa(?: open source)? licen[cs]e"),
+    ("curl", "licen", r"curl licen[cs]e"), ("json", "licen", r"json licen[cs]e"), ("icu", "licen", r"icu licen[cs]e"), ("unicode", "licen", r"unicode(?: inc)? licen[cs]e(?: agreement)?"), ("proprietary", "rights", r"all rights reserved"), ("proprietary", "licen", r"proprietary licen[cs]e|commercial licen[cs]e"),
+    ("copyright", "copyright", r"copyright(?: c)? (?:19|20)\d\d(?: \d\d\d\d)*"), ("unknown-license", "licen", r"(?:released|licen[cs]ed|distributed|available|published) under (?:the |an? )?(?:\S+ ){1,6}?licen[cs]e(?:(?: version)? v?\d+(?: \d+)?)?"), ("unknown-license", "licen", r"terms (?:and conditions )?of (?:the|this|an?) (?:\S+ ){0,6}?licen[cs]e(?:(?: version)? v?\d+(?: \d+)?)?"), ("unknown-license", "licen", r"see (?:the )?licen[cs]e(?: file)?"),
 )
 
 #: A separator in a text as it is written.
@@ -109,8 +111,7 @@ def rules() -> list[tuple[int, str, str, str, float]]:
             out.append((2, label, "cc", rf"cc {short} {versions(v)}", 0.9))
         out.append((3, f"cc-{code}", "commons", rf"creative commons {words}(?: {lic})?", 0.8))
         out.append((4, f"cc-{code}", "cc", rf"cc {short}", 0.7))
-    for label, rx in PLAIN:
-        keyword = next((k for k in ("copyright", "rights", "domain", "cc0", "commons") if k in rx), "licen")
+    for label, keyword, rx in PLAIN:
         out.append((6 if label in ("unknown-license", "copyright") else 5, label, keyword, rx, 0.3 if label in ("unknown-license", "copyright") else 0.7))
     return out
 

@@ -150,6 +150,17 @@ def test_license_gate_passes_what_rules_match():
             assert re.search(licenses.GATE, text), (rule, text)
 
 
+def test_license_keywords_are_in_all_matches():
+    for (_, _, keyword, *_), t in rule_matches():
+        assert keyword in f" {t} ", (keyword, t)
+
+
+def test_license_keywords_of_alternatives(spark):
+    texts = ["Released under Creative Commons Zero 1.0", "Copyright 2020 A. Author, 2-clause BSD", "3-Clause BSD", "four clause BSD", "Zero-clause BSD", "the 2-clause license", "BSD 2-clause license"]
+    got = [r.labels for r in licenses.digest(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert got == ["cc0", "bsd-2,copyright", "bsd-3", "bsd-4", "bsd-0", "bsd-2", "bsd-2"]
+
+
 def test_license_short_names(spark):
     texts = ["Source is under MPL 2.0", "OFL 1.1", "EUPL-1.2", "EPL-2.0", "CDDL v1.1", "GNU FDL 1.2", "MS-PL 1.0", "CeCILL 2.1", "2-clause BSD", "Released as SSPLv1", "no MPL, no AFL here"]
     got = [r.labels for r in licenses.digest(docs(spark, texts)).orderBy("doc_id").collect()]
