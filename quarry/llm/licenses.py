@@ -62,7 +62,7 @@ CLAUSES = (
 CC_VERSIONS = ("1 0", "2 0", "2 5", "3 0", "4 0")
 #: label, a keyword that every match contains, and an expression that needs no version.
 PLAIN = (
-    ("mit", "licen", r"(?:mit|expat|x11) licen[cs]ed?(?: terms)?"), ("mit", "licen", r"licen[cs]ed? (?:under|with) (?:the )?(?:terms of the )?(?:mit|expat)"), ("mit", "licen", r"permission is hereby granted free of charge to any person obtaining a copy(?: \S+){0,40}? licen[cs]e"),
+    ("mit", "licen", r"(?:mit|expat|x11) licen[cs]ed?(?: terms)?"), ("mit", "licen", r"licen[cs]ed? (?:under|with) (?:the )?(?:terms of the )?(?:mit|expat)"), ("mit", "hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy(?: of this software(?: and associated documentation files?)?|(?: \S+){0,40}? licen[cs]e)"),
     ("bsd", "bsd", r"bsd(?: style| like)? licen[cs]ed?"), ("bsd-0", "bsd", r"(?:0|zero) clause bsd(?: licen[cs]e)?|0bsd licen[cs]e"),
     ("bsd-2", "licen", r"(?:2|two) clause licen[cs]e"), ("bsd-2", "bsd", r"(?:2|two) clause bsd(?: licen[cs]e)?|simplified bsd licen[cs]e|freebsd licen[cs]e|bsd 2 clause licen[cs]e"),
     ("bsd-3", "licen", r"(?:3|three) clause licen[cs]e"), ("bsd-3", "bsd", r"(?:3|three) clause bsd(?: licen[cs]e)?|(?:new|modified|revised) bsd licen[cs]e|bsd 3 clause licen[cs]e"),
@@ -79,7 +79,7 @@ SEP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 #: One of these is in every text that a rule or base phrase can match: a word that the rule can't do without, or a short
 #: name with the first digit of its version. Separators vary.
 SHORT_NAMES = "|".join(s.replace(" ", f"{SEP}+") for *_, shorts, _ in VERSIONED for s in shorts)
-GATE = rf"(?i)licen[cs]|copyright|commons|domain|rights|cc0|clause{SEP}+bsd|(?<![0-9a-z])(?:cc{SEP}+by|(?:{SHORT_NAMES})(?:{SEP}+version|{SEP}*v)?{SEP}*[0-9])"
+GATE = rf"(?i)licen[cs]|copyright|commons|domain|rights|cc0|clause{SEP}+bsd|hereby{SEP}+granted|(?<![0-9a-z])(?:cc{SEP}+by|(?:{SHORT_NAMES})(?:{SEP}+version|{SEP}*v)?{SEP}*[0-9])"
 
 
 def versions(v: str) -> str:

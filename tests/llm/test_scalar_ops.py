@@ -161,6 +161,23 @@ def test_license_keywords_of_alternatives(spark):
     assert got == ["cc0", "bsd-2,copyright", "bsd-3", "bsd-4", "bsd-0", "bsd-2", "bsd-2"]
 
 
+MIT_NOTICE = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to
+whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the
+Software.
+"""
+
+
+def test_license_mit_notice(spark):
+    start = MIT_NOTICE.split(" (the")[0]
+    texts = [MIT_NOTICE, MIT_NOTICE.replace("\n", "\n// "), start, start.split(" and associated")[0], "Copyright (c) 2020 A. Author\n\n" + MIT_NOTICE, start.replace("this software", "the work") + " under this license", start.replace("this software", "the work")]
+    got = [r.labels for r in licenses.digest(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert got == ["mit", "mit", "mit", "mit", "copyright,mit", "mit", ""]
+
+
 def test_license_short_names(spark):
     texts = ["Source is under MPL 2.0", "OFL 1.1", "EUPL-1.2", "EPL-2.0", "CDDL v1.1", "GNU FDL 1.2", "MS-PL 1.0", "CeCILL 2.1", "2-clause BSD", "Released as SSPLv1", "no MPL, no AFL here"]
     got = [r.labels for r in licenses.digest(docs(spark, texts)).orderBy("doc_id").collect()]
