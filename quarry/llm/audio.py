@@ -1,7 +1,7 @@
 """Media columns: texts or samples kept losslessly as 8-bit WAV, with audio features computed from the stored bytes.
 
 Features of one recording: samples are resampled by a polyphase filter from 16 kHz to 12 kHz (3/4), cut into overlapping
-Hann frames of 256 samples every 192, taken through a mel filterbank and a logarithm, and segmented by energy with two
+Hann frames of 256 samples every 192 (the last one filled up with silence), taken through a mel filterbank and a logarithm, and segmented by energy with two
 thresholds (a segment opens above the high one and closes below the low one). The log-mel frames become one Arrow array
 of fixed-shape tensors (blocks of 16 frames x 20 bands, the last one padded with the floor), the segments a list of time
 spans. Long recordings are worked through in pieces; only the frames of one recording are held.
@@ -91,8 +91,8 @@ def log_mel(payload: bytes) -> np.ndarray:
     """frames x BANDS of one recording (at least one frame), worked through in pieces of PIECE frames' samples."""
     x = (np.frombuffer(payload, np.uint8).astype(np.float32) - 128) / 128
     y = resample(x)
-    if len(y) < FRAME:
-        y = np.concatenate([y, np.zeros(FRAME - len(y), np.float32)])
+    # The last frame covers the end.
+    y = np.concatenate([y, np.zeros(FRAME + max(0, -(-(len(y) - FRAME) // HOP)) * HOP - len(y), np.float32)])
     window, bank = np.hanning(FRAME).astype(np.float32), mel_bank()
     view = np.lib.stride_tricks.sliding_window_view(y, FRAME)[::HOP]
     step = max(1, PIECE // FRAME)

@@ -261,6 +261,19 @@ def test_tone_segments_and_tensors():
     assert (audio.from_ipc(audio.to_ipc(array)).reshape(-1, audio.BANDS)[: len(mel)] == mel).all()
 
 
+def test_frames_cover_the_end():
+    for n in (192, 384, 576, 768, 960, 1920):
+        x = np.full(n, 128, np.uint8)
+        quiet = audio.log_mel(x.tobytes())
+        size = -(-n * audio.UP // audio.DOWN)
+        assert len(quiet) == max(1, 1 + -(-(size - audio.FRAME) // audio.HOP))
+        x[-60:] = 128 + 100 * np.sin(np.arange(60))
+        assert not np.array_equal(audio.log_mel(x.tobytes())[-1], quiet[-1])
+    x = np.full(16_000, 128, np.uint8)
+    x[-230:] = 128 + 100 * np.sin(np.arange(230))
+    assert audio.segments(audio.log_mel(x.tobytes()).mean(axis=1))[-1, 1] == len(audio.log_mel(x.tobytes()))
+
+
 def test_hysteresis_brute():
     rng = np.random.default_rng(2)
     for _ in range(200):
