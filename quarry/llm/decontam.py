@@ -59,7 +59,8 @@ def doc_shingles(docs: DataFrame, widths: list[int]) -> DataFrame:
 
 def contained(docs: DataFrame, items: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs of a document and an item of which it contains at least ``threshold``: doc_id, item_id, n_shared, size,
-    containment, and row_key (a hash of doc_id and text). Extra columns of either table are ignored."""
+    containment, and row_key (a hash of doc_id and text). Items without an id (null) are told apart by their words. Extra
+    columns of either table are ignored."""
     table = cut(item_table(items, n, threshold))
     widths = sorted(r[0] for r in table.select("width").distinct().collect())  # at most n values
     empty = table.limit(0).select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "item_id", F.lit(None).cast("long").alias("row_key"), F.lit(0).cast("long").alias("n_shared"), F.lit(0).cast("long").alias("size"), F.lit(0.0).alias("containment"))
@@ -73,9 +74,12 @@ def contained(docs: DataFrame, items: DataFrame, n: int = N, threshold: float =
     near = doc_shingles(keyed.select("row_key", "text"), widths).join(held(sketch), ["width", "h"]).select("row_key", "item_id", "variant").distinct()
     near = cut(near)
     suspects = keyed.join(near.select("row_key").distinct(), "row_key", "left_semi").dropDuplicates(["row_key"])
-    exact = doc_shingles(suspects, widths).join(held(table), ["width", "h"]).join(near, ["row_key", "item_id", "variant"], "left_semi")
+    found = near.toDF("row_key2", "item_id2", "variant2")
+    met = (F.col("row_key") == F.col("row_key2")) & F.col("item_id").eqNullSafe(F.col("item_id2")) & (F.col("variant") == F.col("variant2"))
+    exact = doc_shingles(suspects, widths).join(held(table), ["width", "h"]).join(found, met, "left_semi")
     counts = exact.groupBy("doc_id", "row_key", "item_id", "variant", "size", "need").agg(F.count("*").alias("n_shared")).where("n_shared >= need")
-    best = counts.groupBy("doc_id", "item_id", "row_key").agg(F.max(F.struct((F.col("n_shared") / F.col("size")).alias("containment"), "n_shared", F.col("size").cast("long").alias("size"))).alias("b"))
+    unnamed = F.when(F.col("item_id").isNull(), F.col("variant")).alias("unnamed")
+    best = counts.groupBy("doc_id", "item_id", "row_key", unnamed).agg(F.max(F.struct((F.col("n_shared") / F.col("size")).alias("containment"), "n_shared", F.col("size").cast("long").alias("size"))).alias("b"))
     return best.select("doc_id", "item_id", "row_key", "b.n_shared", "b.size", "b.containment")
 
 

@@ -24,7 +24,8 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.contained(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("row_key")
+    # As in the SQL, an item without an id names no pair.
+    return decontam.contained(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).where("item_id IS NOT NULL").drop("row_key")
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

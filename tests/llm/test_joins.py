@@ -218,6 +218,19 @@ def test_contained_brute(spark, monkeypatch, limit):
     assert left.where("doc_id IS NULL").count() == 0 and "row_key" in left.columns
 
 
+@pytest.mark.parametrize("limit", [0, 10**6])
+def test_contained_items_without_id(spark, monkeypatch, limit):
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", limit)
+    items = [(None, "one two three four five six"), (None, "red green blue white black grey"), (7, "one two three four five six")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(1, "zero one two three four five six seven"), (2, "red green blue white black grey"), (3, "nothing of it here at all")]
+    got = [(r.doc_id, r.item_id, r.n_shared, r.size) for r in decontam.contained(docs(spark, rows), bench).collect()]
+    assert sorted(got, key=str) == sorted([(1, None, 2, 2), (1, 7, 2, 2), (2, None, 2, 2)], key=str)
+    both = docs(spark, [(4, items[0][1] + " " + items[1][1])])
+    assert decontam.contained(both, bench.where("item_id IS NULL")).count() == 2
+    assert [r.doc_id for r in decontam.drop_contaminated(docs(spark, rows), bench.where("item_id IS NULL")).collect()] == [3]
+
+
 def test_contained_in_a_very_long_document(spark):
     rng = random.Random(9)
     vocab = vocabulary(rng, 5000)
