@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches
+from .common import cut, map_batches
 
 GOOD, BAD, ABSTAIN = 1, 0, 2
 LABELLERS = ("shouting", "symbols", "repeats", "tables", "exclaims", "variety", "sentences")
@@ -32,8 +32,10 @@ LABELLERS = ("shouting", "symbols", "repeats", "tables", "exclaims", "variety",
 TRAIN_ROWS, TOXIC_ROWS, FEATURES = 4000, 2000, 512
 #: Hash space of the features, as bits.
 BITS = 22
-#: Documents are sampled with so much of their text at most, by whole texts: longer ones aren't drawn for training.
-TRAIN_CHARS = 50_000
+#: A feature is kept if so many sampled documents have it at least, and it differs by class by so many standard deviations.
+LEAST, Z = 6, 4.0
+#: Sampled texts whose features a worker holds at once; a unit of their targets.
+SAMPLE_ROWS, ONE = 64, 1 << 30
 
 #: Entries of each of a worker's caches before it starts afresh.
 CACHE = 200_000
@@ -173,7 +175,7 @@ def look(hashed: Hasher, text: str | None) -> tuple[int, np.ndarray]:
     return code(m), hashed(raw, words, m)
 
 
-def train(rows: list[np.ndarray], target: np.ndarray, l2: float = 0.5, rounds: int = 40, least: int = 6, z: float = 4.0) -> tuple[np.ndarray, np.ndarray, float]:
+def train(rows: list[np.ndarray], target: np.ndarray, l2: float = 0.5, rounds: int = 40, least: int = LEAST, z: float = Z) -> tuple[np.ndarray, np.ndarray, float]:
     """(feature, weight, bias) of a logistic scorer on soft targets; of the features only those that clearly differ by class."""
     n = len(rows)
     if n == 0:
@@ -233,19 +235,53 @@ def vote_patterns(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select("text"), "pattern int, n long", make).groupBy("pattern").agg(F.sum("n").alias("n"))
 
 
-def featured(docs: DataFrame) -> list:
-    """pattern, features of the rows of docs, which the caller bounds."""
+def telling(docs: DataFrame, by: dict[int, float] | None) -> np.ndarray:
+    """The features that train() may keep of docs, FEATURES at most, sorted; counted by the executors, for texts of any length.
+
+    Targets are the posteriors ``by`` pattern, or the column target.
+    """
+
+    def make():
+        hashed = Hasher()
+
+        def step(batch):
+            seen = [look(hashed, t) for t in batch.column(0).to_pylist()]
+            goal = [by.get(p, 0.5) for p, _ in seen] if by is not None else batch.column(1).to_pylist()
+            goal = np.array([round(g * ONE) for g in goal], np.int64)
+            ids, inverse = np.unique(np.concatenate([f for _, f in seen] or [np.empty(0, np.int32)]), return_inverse=True)
+            hit = np.zeros(len(ids), np.int64)
+            np.add.at(hit, inverse, np.repeat(goal, [len(f) for _, f in seen]))
+            # Feature -1 is that of all documents.
+            return {"feature": np.r_[ids, -1], "total": np.r_[np.bincount(inverse, minlength=len(ids)), len(seen)], "hit": np.r_[hit, goal.sum()]}
+
+        return step
+
+    counts = map_batches(docs.select("text", "target"), "feature int, total long, hit long", make, rows=SAMPLE_ROWS).groupBy("feature").agg(F.sum("total").alias("total"), F.sum("hit").alias("hit"))
+    counts = cut(counts.where((F.col("total") >= LEAST) | (F.col("feature") == -1)))
+    whole = counts.where("feature = -1").first()
+    if whole is None or not whole.total:
+        return np.empty(0, np.int32)
+    rate = whole.hit / ONE / whole.total
+    spread = F.abs(F.col("hit") / ONE - F.col("total") * rate) / F.sqrt(F.greatest(F.col("total") * rate * (1 - rate), F.lit(1e-9)))
+    best = counts.where("feature >= 0").select("feature", spread.alias("spread")).where(F.col("spread") >= Z * (1 - 1e-9)).orderBy(F.desc("spread"), "feature").limit(FEATURES)
+    return np.sort(np.array([r.feature for r in best.collect()], np.int32))
+
+
+def featured(docs: DataFrame, by: dict[int, float] | None = None) -> list:
+    """pattern, the telling() ones of the features, and target of the rows of docs (text, target), whose number the caller bounds."""
+    docs = cut(docs.select("text", F.col("target").cast("int").alias("target")))
+    kept = telling(docs, by)
 
     def make():
         hashed = Hasher()
 
         def step(batch):
             seen = [look(hashed, t) for t in batch.column(0).to_pylist()]
-            return {"pattern": [p for p, _ in seen], "features": [f for _, f in seen], "target": batch.column(1)}
+            return {"pattern": [p for p, _ in seen], "features": [f[np.isin(f, kept)] for _, f in seen], "target": batch.column(1)}
 
         return step
 
-    return map_batches(docs.select("text", F.col("target").cast("int").alias("target")), "pattern int, features array<int>, target int", make).collect()
+    return map_batches(docs, "pattern int, features array<int>, target int", make, rows=SAMPLE_ROWS).collect()
 
 
 def fit(docs: DataFrame, labels: DataFrame | None = None, train_rows: int = TRAIN_ROWS, toxic_rows: int = TOXIC_ROWS) -> dict:
@@ -255,17 +291,17 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, train_rows: int = TRAI
     patterns = (codes[:, None] // 3 ** np.arange(len(LABELLERS))) % 3
     posterior, priors, confusion = fit_labellers(patterns, np.array([n for _, n in known], float)) if known else (np.empty(0), np.array([0.5]), np.empty(0))
     by = dict(zip(codes.tolist(), posterior.tolist()))
-    # The sample is drawn by a hash of the id over all rows; ids alone are sorted, texts are fetched by a bounded broadcast.
-    short = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= TRAIN_CHARS)
-    chosen = short.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows).distinct()
-    drawn = short.join(F.broadcast(chosen), "doc_id", "left_semi").limit(train_rows).withColumn("target", F.lit(0))
-    rows = featured(drawn)
+    # The sample is drawn by a hash of the id over all rows; ids alone are sorted, texts of any length are fetched by a
+    # bounded broadcast.
+    chosen = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows).distinct()
+    drawn = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi").limit(train_rows).withColumn("target", F.lit(0))
+    rows = featured(drawn, by)
     quality = train([np.array(r.features, np.int32) for r in rows], np.array([by.get(r.pattern, 0.5) for r in rows]))
     toxic = (np.empty(0, np.int32), np.empty(0), -30.0)
     if labels is not None:
         each = [labels.where(F.col("toxic") == k).select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(toxic_rows) for k in (0, 1)]
         asked = each[0].unionByName(each[1]).dropDuplicates(["doc_id"])
-        rows = featured(short.select("doc_id", "text").join(F.broadcast(asked), "doc_id").withColumn("target", F.col("toxic")).limit(2 * toxic_rows))
+        rows = featured(docs.select("doc_id", "text").join(F.broadcast(asked), "doc_id").withColumn("target", F.col("toxic")).limit(2 * toxic_rows))
         if {r.target for r in rows} == {0, 1}:
             toxic = train([np.array(r.features, np.int32) for r in rows], np.array([float(r.target) for r in rows]))
     return {"posterior": by, "prior": float(priors[0]), "confusion": confusion, "quality": quality, "toxic": toxic}

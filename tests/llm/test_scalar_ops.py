@@ -390,6 +390,28 @@ def test_quality_on_odd_texts_and_empty_tables(spark):
     assert quality.classify(df, none).count() == len(ODD)
 
 
+def test_quality_learns_from_long_texts(spark):
+    rng = random.Random(4)
+    long = " ".join(prose(rng) for _ in range(180))
+    assert len(long) > 50_000
+    rows = [(i, (long if i % 2 else prose(rng)) + (" you idiot moron" if i % 4 == 1 else "")) for i in range(160)]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 1)) for i in range(160)], "doc_id long, quality int, toxic int")
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = quality.fit(df, labels)
+    assert len(model["toxic"][0]) <= quality.FEATURES
+    assert all((r.toxic >= 0.5) == (r.doc_id % 4 == 1) for r in quality.classify(df, model).collect())
+
+
+def test_telling_features_are_those_of_training(spark):
+    rng = random.Random(5)
+    texts = [junk(rng) if i % 3 == 0 else prose(rng) for i in range(300)]
+    df = spark.createDataFrame([(t, int(i % 3 == 0)) for i, t in enumerate(texts)], "text string, target int")
+    hashed = quality.Hasher()
+    whole = quality.train([quality.look(hashed, t)[1] for t in texts], np.array([float(i % 3 == 0) for i in range(300)]))
+    rows = quality.featured(df)
+    assert quality.train([np.array(r.features, np.int32) for r in rows], np.array([float(r.target) for r in rows]))[0].tolist() == whole[0].tolist()
+
+
 def test_scorer_without_features_keeps_the_rate():
     rows = [np.array([i], np.int32) for i in range(40)]
     model = quality.train(rows, np.array([1.0] * 4 + [0.0] * 36))
