@@ -58,18 +58,21 @@ def pack_shard(lengths: list[int], sources: list[int], clusters: list[int], capa
     return out
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE, shard_rows: int = SHARD_ROWS, cluster: str | None = None) -> DataFrame:
     """Places every document of ``docs`` (doc_id, text, source) in bins of ``capacity`` words.
 
     One row per part of a document: bin (its name), start within the bin, n_words, fill (words in that bin). Words are
     runs of characters other than white space. A null or empty text has one part of no words, which also gets a place.
     A null source is a source of its own. Rows repeated exactly stay separate items, of one cluster: no bin holds two
-    parts with the same text. A bin holds at most ``per_source`` items of one source. Ties go by doc_id. Other columns
+    parts with the same text. Near copies share a cluster only where ``cluster`` names a column that tells it (as
+    component_id of near.classes()); rows that have null in it go by their text. A bin holds at most ``per_source`` items of one source. Ties go by doc_id. Other columns
     are ignored.
     """
     words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
     # Rows repeated exactly are counted first and dealt out by their ordinal: one hash key can't hold many rows.
-    rows = docs.select("doc_id", "source", F.xxhash64(F.coalesce("text", F.lit(""))).alias("cluster"), words.alias("total")).groupBy("doc_id", "source", "cluster", "total").agg(F.count("*").alias("copies"))
+    own = F.xxhash64(F.coalesce("text", F.lit("")))
+    own = own if cluster is None else F.when(F.col(cluster).isNull(), own).otherwise(F.xxhash64(cluster))
+    rows = docs.select("doc_id", "source", own.alias("cluster"), words.alias("total")).groupBy("doc_id", "source", "cluster", "total").agg(F.count("*").alias("copies"))
     shards = max(1, -(-docs.count() // shard_rows))
     full = F.floor(F.col("total") / capacity).cast("int")
     parts = F.when(F.col("total") == 0, 1).otherwise(F.ceil(F.col("total") / capacity).cast("int"))

@@ -342,6 +342,18 @@ def test_packing_constraints(spark):
     assert packing.pack(df.limit(0)).count() == 0
 
 
+def test_packing_takes_clusters(spark):
+    rows = [(i, f"word{i} " * (5 + i % 3), f"s{i}", i // 4 if i < 32 else None) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, component_id long")
+    got = packing.pack(df, capacity=100, cluster="component_id").collect()
+    bins = {}
+    for r in got:
+        bins.setdefault(r.bin, []).append(r.doc_id)
+    assert sorted(r.doc_id for r in got) == list(range(40)) and max(map(len, bins.values())) > 4
+    assert all(len({i // 4 for i in b if i < 32}) == sum(i < 32 for i in b) for b in bins.values())
+    assert len({r.cluster for r in got}) == 16
+
+
 def test_best_fit_takes_the_tightest_compatible_bin():
     rng = random.Random(4)
     for _ in range(100):
