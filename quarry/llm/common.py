@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -25,13 +26,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where none is configured (tests, local mode) a fresh temporary one."""
+    """The cluster's shared folder; only where none is configured and all runs on this machine a fresh temporary one."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     shared = tempfile.mkdtemp(prefix="quarry-checkpoint-")
     spark.sparkContext.setCheckpointDir(shared)
     return shared
@@ -81,15 +84,38 @@ def drop(df: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
-#: Rows whose Python objects a worker holds at once.
-ROWS = 512
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of our own that no column of df has, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: Rows whose Python objects a worker holds at once, and the bytes from which on it holds fewer.
+ROWS, ROW_BYTES = 512, 8 << 20
+
+
+def slices(batch: pa.RecordBatch, rows: int, size: int = ROW_BYTES) -> Iterator[pa.RecordBatch]:
+    """batch in slices of at most ``rows`` rows, and of ``size`` bytes unless one row alone has more."""
+    at = 0
+    while at < batch.num_rows:
+        n = min(rows, batch.num_rows - at)
+        while n > 1 and batch.slice(at, n).nbytes > size:
+            n = (n + 1) // 2
+        yield batch.slice(at, n)
+        at += n
 
 
 def map_batches(df: DataFrame, schema: T.StructType | str, make: Callable[[], Callable[[pa.RecordBatch], dict]], rows: int = ROWS) -> DataFrame:
     """mapInArrow with a function built once per task (caches and automata live as long as the task's batches).
 
     ``make()`` gives a function from a batch to columns (lists, numpy or Arrow arrays) by the names of ``schema``. It is
-    called on at most ``rows`` rows at a time, and their results go out at once, which bounds a worker's memory.
+    called on slices of at most ``rows`` rows (fewer long ones), and their results go out at once, which bounds a worker's
+    memory.
     """
     if isinstance(schema, str):
         schema = T._parse_datatype_string(schema)
@@ -99,7 +125,7 @@ def map_batches(df: DataFrame, schema: T.StructType | str, make: Callable[[], Ca
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
-        for batch in (b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows)):
+        for batch in (part for b in batches for part in slices(b, rows)):
             got = step(batch)
             arrays = [x.cast(f.type) if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, type=f.type) for x, f in zip((got[f.name] for f in arrow), arrow)]
             yield pa.RecordBatch.from_arrays([a.combine_chunks() if isinstance(a, pa.ChunkedArray) else a for a in arrays], schema=arrow)

@@ -1,14 +1,16 @@
 """Quality classifier from weak labels.
 
 Heuristic labellers vote bad (0), good (1) or abstain (2) on every document. Votes overlap and disagree; expectation
-maximisation (a latent class model: one good class, one bad class for each kind of trouble, votes independent within a
-class) estimates each labeller's confusion from the counts of vote patterns over all documents, of which there are 3^labellers at most, and gives every pattern a posterior. These
-posteriors are the labels on which a hashed linear scorer is trained, on a bounded sample; the scorer then judges every
-document from its own features, votes not among them. A second head of the same scorer is trained on a bounded sample of
-the table's toxic labels, where there is one. A document is kept if its quality score is at least 0.5 and its toxic score
-is under 0.5.
-
-Documents without words are scored like any other. A null text counts as empty.
+maximisation (a latent class model: good documents, and bad ones of one or several kinds, votes independent within a class)
+estimates each labeller's confusion from the counts of vote patterns over all documents, of which there are 3^labellers at
+most, and gives every pattern a posterior. These posteriors are the labels on which a hashed linear scorer is trained, on a
+bounded sample; the scorer then judges every document from its own features, votes not among them. A second head of the same
+scorer is trained on a bounded sample of the table's toxic labels, where there is one. A document is kept if its quality
+score is at least 0.5 and its toxic score is under 0.5.
+
+Documents without words are scored like any other. A null text counts as empty. Samples are drawn by a hash of id and text
+over all rows, null ids among them; rows repeated exactly are drawn once, so a fit is repeatable whatever the partitions.
+Of several labels of one id, one that says toxic holds; labels without an id, and empty tables, are no error.
 """
 
 from __future__ import annotations
@@ -28,7 +30,8 @@ from .common import cut, map_batches
 
 GOOD, BAD, ABSTAIN = 1, 0, 2
 LABELLERS = ("shouting", "symbols", "repeats", "tables", "exclaims", "variety", "sentences")
-#: Bounds: documents for the quality head, documents of each class for the toxic head, features kept of each head.
+#: Bounds, parameters of fit() but for the last: documents for the quality head, documents of each class for the toxic head,
+#: features kept of each head.
 TRAIN_ROWS, TOXIC_ROWS, FEATURES = 4000, 2000, 512
 #: Hash space of the features, as bits.
 BITS = 22
@@ -80,25 +83,14 @@ def votes(m: dict[str, float]) -> tuple[int, ...]:
     )
 
 
-def fit_labellers(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """EM over vote patterns (rows) and their counts: posterior of good for each, priors, confusion[class, labeller, vote].
+def expect(patterns: np.ndarray, counts: np.ndarray, start: np.ndarray, smooth: np.ndarray, rounds: int) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """EM from posteriors ``start`` (class, pattern): log-likelihood, posteriors, priors, confusion[class, labeller, vote].
 
-    Class 0 is good; as documents go wrong in ways that exclude each other, there is a bad class for each labeller's kind of
-    trouble, and votes are independent within a class. A labeller that abstains says nothing, so abstentions count neither
-    way. Starts from the votes themselves: one clear complaint outweighs the many signs that only fail to complain.
-    Smoothing keeps a labeller from certainty; in a class it is first taken to be right.
+    A labeller that abstains says nothing, so abstentions count neither way. ``smooth`` are votes counted beforehand.
     """
-    bad = (patterns == BAD).astype(float)
-    any_bad = bad.sum(1, keepdims=True)
-    labellers = patterns.shape[1]
-    start = np.where(any_bad > 0, 0.1, np.where((patterns == GOOD).any(1, keepdims=True), 0.95, 0.5))
-    share = np.where(any_bad > 0, bad / np.maximum(any_bad, 1), 1 / labellers)
-    posterior = np.concatenate([start, (1 - start) * share], axis=1).T
     hot = np.stack([patterns == v for v in (BAD, GOOD)], axis=-1).astype(float)
-    smooth = np.ones((labellers + 1, labellers, 2))
-    smooth[0, :, GOOD] = 20
-    smooth[1 + np.arange(labellers), np.arange(labellers), BAD] = 20
-    priors, confusion = np.ones(labellers + 1), smooth
+    posterior, known = start, np.zeros(len(counts))
+    priors = confusion = np.empty(0)
     for _ in range(rounds):
         weight = posterior * counts
         priors = weight.sum(axis=1) + 1
@@ -106,13 +98,45 @@ def fit_labellers(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500) -
         confusion = np.einsum("ki,ilv->klv", weight, hot) + smooth
         confusion /= confusion.sum(axis=2, keepdims=True)
         score = np.einsum("klv,ilv->ki", np.log(confusion), hot) + np.log(priors)[:, None]
-        after = np.exp(score - score.max(axis=0))
-        after /= after.sum(axis=0)
+        top = score.max(axis=0)
+        known = top + np.log(np.exp(score - top).sum(axis=0))
+        after = np.exp(score - known)
         settled = np.abs(after - posterior).max() < 1e-9
         posterior = after
         if settled:
             break
-    return posterior[0], priors, confusion
+    return float((known * counts).sum()), posterior, priors, confusion
+
+
+def fit_labellers(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """EM over vote patterns (rows) and their counts: posterior of good for each, priors, confusion[class, labeller, vote].
+
+    Class 0 is good, the others are bad: one class for each labeller's kind of trouble. Two models are fitted. In the first
+    bad documents are all alike (their classes share one confusion). In the second each kind has a confusion of its own, as
+    documents may go wrong in ways that exclude each other. Either starts once from the share of good votes and once from
+    the complaints (one complaint outweighs the many signs that only fail to complain); of the four fits the one with the
+    best Bayesian information criterion stays, so kinds are told apart only where the votes bear it out.
+    """
+    labellers = patterns.shape[1]
+    bad = (patterns == BAD).astype(float)
+    n_bad, n_good = bad.sum(axis=1), (patterns == GOOD).sum(axis=1)
+    share = np.where(n_bad[:, None] > 0, bad / np.maximum(n_bad, 1)[:, None], 1 / labellers).T
+    two, kinds = np.ones((2, labellers, 2)), np.ones((labellers + 1, labellers, 2))
+    two[0, :, GOOD] = two[1, :, BAD] = 4
+    kinds[0, :, GOOD] = 20 + 0.02 * counts.sum()  # a complaint about a good document is rare
+    kinds[1 + np.arange(labellers), np.arange(labellers), BAD] = 20
+    best = None
+    for start in ((n_good + 0.5) / (n_good + n_bad + 1), np.where(n_bad > 0, 0.1, np.where(n_good > 0, 0.95, 0.5))):
+        for first, smooth in ((np.stack([start, 1 - start]), two), (np.concatenate([start[None], (1 - start) * share]), kinds)):
+            value, posterior, priors, confusion = expect(patterns, counts, first, smooth, rounds)
+            value -= np.log(max(2.0, counts.sum())) / 2 * (len(priors) * (labellers + 1) - 1)
+            if best is None or value > best[0]:
+                best = value, posterior[0], priors, confusion
+    _, posterior, priors, confusion = best
+    if len(priors) == 2:  # the same model, written as classes that don't differ
+        priors = np.r_[priors[0], np.full(labellers, priors[1] / labellers)]
+        confusion = np.concatenate([confusion[:1], np.repeat(confusion[1:], labellers, axis=0)])
+    return posterior, priors, confusion
 
 
 class Hasher:
@@ -267,9 +291,15 @@ def telling(docs: DataFrame, by: dict[int, float] | None) -> np.ndarray:
     return np.sort(np.array([r.feature for r in best.collect()], np.int32))
 
 
+def least(docs: DataFrame, bound: int) -> DataFrame:
+    """The ``bound`` rows of docs (key, text, target) with the least keys; of equal keys one row counts."""
+    docs = cut(docs.select("key", "text", "target").dropDuplicates(["key"]))
+    return docs.join(F.broadcast(docs.select("key").orderBy("key").limit(bound)), "key", "left_semi")
+
+
 def featured(docs: DataFrame, by: dict[int, float] | None = None) -> list:
     """pattern, the telling() ones of the features, and target of the rows of docs (text, target), whose number the caller bounds."""
-    docs = cut(docs.select("text", F.col("target").cast("int").alias("target")))
+    docs = docs.select("text", F.col("target").cast("int").alias("target"))
     kept = telling(docs, by)
 
     def make():
@@ -281,7 +311,14 @@ def featured(docs: DataFrame, by: dict[int, float] | None = None) -> list:
 
         return step
 
-    return map_batches(docs, "pattern int, features array<int>, target int", make, rows=SAMPLE_ROWS).collect()
+    found = map_batches(docs, "pattern int, features array<int>, target int", make, rows=SAMPLE_ROWS).collect()
+    return sorted(found, key=lambda r: (r.pattern, r.target, r.features))
+
+
+def below(key: str, bound: int, of: int):
+    """Whether a hash is among the lowest, of so many that twice ``bound`` are expected; a narrow way to a sample."""
+    share = min(1.0, 2 * bound / max(1, of))
+    return F.lit(True) if share == 1 else F.col(key) < F.lit(int(share * 2**64) - 2**63)
 
 
 def fit(docs: DataFrame, labels: DataFrame | None = None, train_rows: int = TRAIN_ROWS, toxic_rows: int = TOXIC_ROWS) -> dict:
@@ -291,30 +328,33 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, train_rows: int = TRAI
     patterns = (codes[:, None] // 3 ** np.arange(len(LABELLERS))) % 3
     posterior, priors, confusion = fit_labellers(patterns, np.array([n for _, n in known], float)) if known else (np.empty(0), np.array([0.5]), np.empty(0))
     by = dict(zip(codes.tolist(), posterior.tolist()))
-    # The sample is drawn by a hash of the id over all rows; ids alone are sorted, texts of any length are fetched by a
-    # bounded broadcast.
-    chosen = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows).distinct()
-    drawn = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi").limit(train_rows).withColumn("target", F.lit(0))
-    rows = featured(drawn, by)
+    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
+    rows = featured(least(keyed.where(below("key", train_rows, sum(n for _, n in known))).withColumn("target", F.lit(0)), train_rows), by)
     quality = train([np.array(r.features, np.int32) for r in rows], np.array([by.get(r.pattern, 0.5) for r in rows]))
     toxic = (np.empty(0, np.int32), np.empty(0), -30.0)
     if labels is not None:
-        each = [labels.where(F.col("toxic") == k).select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(toxic_rows) for k in (0, 1)]
-        asked = each[0].unionByName(each[1]).dropDuplicates(["doc_id"])
-        rows = featured(docs.select("doc_id", "text").join(F.broadcast(asked), "doc_id").withColumn("target", F.col("toxic")).limit(2 * toxic_rows))
+        each = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("target")).withColumn("drawn", F.xxhash64("doc_id"))
+        sizes = {r.target: r["count"] for r in each.groupBy("target").count().collect()}  # two rows
+        parts = [each.where((F.col("target") == k) & below("drawn", toxic_rows, sizes.get(k, 0))).orderBy("drawn", "doc_id").limit(toxic_rows) for k in (0, 1)]
+        asked = parts[0].unionByName(parts[1]).select("doc_id", "target")
+        rows = featured(least(keyed.join(F.broadcast(asked), "doc_id"), 2 * toxic_rows))
         if {r.target for r in rows} == {0, 1}:
             toxic = train([np.array(r.features, np.int32) for r in rows], np.array([float(r.target) for r in rows]))
     return {"posterior": by, "prior": float(priors[0]), "confusion": confusion, "quality": quality, "toxic": toxic}
 
 
-def classify(docs: DataFrame, model: dict) -> DataFrame:
-    """docs with weak_label (posterior of its votes), quality, toxic (scores from 0 to 1) and keep.
+ADDED = ("weak_label", "quality", "toxic", "keep")
+
+
+def classify(docs: DataFrame, model: dict, names: tuple[str, str, str, str] = ADDED) -> DataFrame:
+    """docs with the posterior of a row's votes, its quality and toxic scores (0 to 1) and whether it is kept, under ``names``.
 
-    Columns of these names are replaced, all others pass unchanged. A narrow step.
+    Columns of these names are replaced, all others pass unchanged. Every row gets its scores, repeated ones the same. A
+    narrow step.
     """
-    added = T.StructType([T.StructField("weak_label", T.DoubleType()), T.StructField("quality", T.DoubleType()), T.StructField("toxic", T.DoubleType()), T.StructField("keep", T.BooleanType())])
-    docs = docs.drop(*added.names)
-    names = docs.columns
+    added = T.StructType([T.StructField(n, T.BooleanType() if n == names[3] else T.DoubleType()) for n in names])
+    docs = docs.drop(*names)
+    columns = docs.columns
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -322,15 +362,12 @@ def classify(docs: DataFrame, model: dict) -> DataFrame:
         hashed, quality, toxic = Hasher(), scorer(m["quality"]), scorer(m["toxic"])
 
         def step(batch):
-            out = {"weak_label": [], "quality": [], "toxic": [], "keep": []}
-            for t in batch.column(names.index("text")).to_pylist():
+            rows = []
+            for t in batch.column(columns.index("text")).to_pylist():
                 pattern, f = look(hashed, t)
                 q, x = quality(f), toxic(f)
-                out["weak_label"].append(m["posterior"].get(pattern, m["prior"]))
-                out["quality"].append(q)
-                out["toxic"].append(x)
-                out["keep"].append(q >= 0.5 and x < 0.5)
-            return {n: batch.column(i) for i, n in enumerate(names)} | out
+                rows.append((m["posterior"].get(pattern, m["prior"]), q, x, q >= 0.5 and x < 0.5))
+            return {n: batch.column(i) for i, n in enumerate(columns)} | dict(zip(names, zip(*rows)))
 
         return step
 

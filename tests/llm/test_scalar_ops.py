@@ -440,3 +440,69 @@ def test_em_recovers_labellers():
     posterior, priors, confusion = quality.fit_labellers(patterns, counts.astype(float))
     assert ((posterior[inverse.ravel()] >= 0.5) == truth).mean() > 0.9
     assert confusion.shape == (5, 4, 2) and priors.sum() == pytest.approx(1)
+
+
+def voted(rng, n=4000):
+    """Votes of some labellers of uneven skill, which are wrong independently, and the truth."""
+    labellers = rng.integers(3, 8)
+    truth = rng.random(n) < rng.uniform(0.3, 0.85)
+    on_good, on_bad = rng.uniform(0.6, 0.97, labellers), rng.uniform(0.6, 0.97, labellers)
+    votes = np.where(truth[:, None], rng.random((n, labellers)) < on_good, rng.random((n, labellers)) >= on_bad).astype(int)
+    votes[rng.random(votes.shape) < rng.uniform(0, 0.5, labellers)] = quality.ABSTAIN
+    return votes, truth
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_em_is_at_least_as_good_as_majority(seed):
+    votes, truth = voted(np.random.default_rng(seed))
+    patterns, inverse, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    posterior = quality.fit_labellers(patterns, counts.astype(float))[0][inverse.ravel()]
+    lead = (votes == quality.GOOD).sum(axis=1) - (votes == quality.BAD).sum(axis=1)
+    assert ((posterior >= 0.5) == truth).mean() >= np.where(lead == 0, 0.5, (lead > 0) == truth).mean()
+
+
+def test_em_brute():
+    """The same steps in plain Python, one document at a time; classes by the model that is chosen."""
+    votes, _ = voted(np.random.default_rng(3), 300)
+    patterns, inverse, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    start = np.linspace(0.1, 0.9, len(patterns))
+    smooth = np.ones((2, votes.shape[1], 2))
+    value, posterior, priors, confusion = quality.expect(patterns, counts.astype(float), np.stack([start, 1 - start]), smooth, 5)
+    mine = [[start[k], 1 - start[k]] for k in inverse.ravel()]
+    for _ in range(5):
+        prior = [1 + sum(m[c] for m in mine) for c in (0, 1)]
+        prior = [p / sum(prior) for p in prior]
+        table = [[[1 + sum(m[c] for m, v in zip(mine, votes) if v[j] == x) for x in (0, 1)] for j in range(votes.shape[1])] for c in (0, 1)]
+        table = [[[x / sum(row) for x in row] for row in t] for t in table]
+        joint = [[prior[c] * float(np.prod([table[c][j][v] for j, v in enumerate(row) if v != quality.ABSTAIN])) for c in (0, 1)] for row in votes]
+        mine = [[x / sum(j) for x in j] for j in joint]
+    assert posterior[0][inverse.ravel()] == pytest.approx([m[0] for m in mine]) and priors == pytest.approx(prior)
+    assert confusion == pytest.approx(np.array(table)) and value == pytest.approx(sum(np.log(sum(j)) for j in joint))
+
+
+def test_em_tells_kinds_of_trouble_apart():
+    """Bad documents go wrong in one of four ways; one labeller knows that way, a fifth one complains about half of them."""
+    rng = np.random.default_rng(5)
+    kind = np.where(rng.random(6000) < 0.8, -1, rng.integers(0, 4, 6000))
+    votes = np.where(kind[:, None] == np.arange(4), rng.random((6000, 4)) >= 0.98, rng.random((6000, 4)) < 0.998)
+    votes = np.concatenate([votes, np.where(kind >= 0, rng.random(6000) >= 0.5, rng.random(6000) < 0.998)[:, None]], axis=1).astype(int)
+    patterns, inverse, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    posterior, _, confusion = quality.fit_labellers(patterns, counts.astype(float))
+    assert ((posterior[inverse.ravel()] >= 0.5) == (kind < 0)).mean() > 0.97
+    assert confusion.shape == (6, 5, 2)
+
+
+def test_quality_sample_is_repeatable(spark):
+    rng = random.Random(3)
+    rows = [(i % 40 if i % 7 else None, junk(rng) if i % 3 == 0 else prose(rng)) for i in range(300)]
+    rows += [(5, rows[0][1])] * 50
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)] + [(3, 1, 0), (None, 1, 1), (4, 0, None)], "doc_id long, quality int, toxic int")
+    made = [quality.fit(spark.createDataFrame(rows, "doc_id long, text string").repartition(n), labels.repartition(n), 50, 20) for n in (1, 5)]
+    for head in ("quality", "toxic"):
+        assert all(np.array_equal(a, b) for a, b in zip(made[0][head], made[1][head]))
+
+
+def test_quality_columns_of_other_names(spark):
+    df = clash(docs(spark, ODD))
+    got = quality.classify(df, quality.fit(df), ("w", "q", "t", "ok")).first()
+    assert (got.keep, got.quality) == ("mine", "mine") and 0 <= got.q <= 1
