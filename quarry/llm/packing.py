@@ -15,16 +15,19 @@ cluster: when the compatible bins are none, it is known without a walk.
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from typing import Any
+from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 CAPACITY = 2048
 PER_SOURCE = 4
-SHARD_ROWS = 4000
-SCHEMA = "doc_id long, source string, cluster long, part int, n_words long, bin string, start long, fill long"
+#: Items of a shard, on average; copies of one row that are dealt out in one piece.
+SHARD_ROWS, COPIES = 1000, 4096
 
 
 def pack_shard(lengths: list[int], sources: list[int], clusters: list[int], capacity: int, per_source: int) -> list[tuple[int, int]]:
@@ -59,35 +62,54 @@ def pack_shard(lengths: list[int], sources: list[int], clusters: list[int], capa
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE, shard_rows: int = SHARD_ROWS, cluster: str | None = None) -> DataFrame:
-    """Places every document of ``docs`` (doc_id, text, source) in bins of ``capacity`` words.
-
-    One row per part of a document: bin (its name), start within the bin, n_words, fill (words in that bin). Words are
-    runs of characters other than white space. A null or empty text has one part of no words, which also gets a place.
-    A null source is a source of its own. Rows repeated exactly stay separate items, of one cluster: no bin holds two
-    parts with the same text. Near copies share a cluster only where ``cluster`` names a column that tells it (as
-    component_id of near.classes()); rows that have null in it go by their text. A bin holds at most ``per_source`` items of one source. Ties go by doc_id. Other columns
-    are ignored.
+    """Places every document of ``docs`` (doc_id, text, source; ids and sources of any type) in bins of ``capacity`` words.
+
+    One row per part of a document: doc_id, source, cluster, part, n_words, bin (its name), start within the bin, fill (words
+    in that bin). Words are runs of characters other than white space. A null or empty text has one part of no words, which
+    also gets a place. A null source is a source of its own, a null id an id like any other. Rows repeated exactly stay
+    separate items, of one cluster: no bin holds two parts with the same text. Near copies share a cluster only where
+    ``cluster`` names a column that tells it (as component_id of near.classes()); rows that have null in it go by their text.
+    A bin holds at most ``per_source`` items of one source. Ties go by doc_id, cluster and ordinal. An empty table gives no
+    rows. Other columns are ignored.
     """
     words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    # Rows repeated exactly are counted first and dealt out by their ordinal: one hash key can't hold many rows.
     own = F.xxhash64(F.coalesce("text", F.lit("")))
     own = own if cluster is None else F.when(F.col(cluster).isNull(), own).otherwise(F.xxhash64(cluster))
-    rows = docs.select("doc_id", "source", own.alias("cluster"), words.alias("total")).groupBy("doc_id", "source", "cluster", "total").agg(F.count("*").alias("copies"))
-    shards = max(1, -(-docs.count() // shard_rows))
-    full = F.floor(F.col("total") / capacity).cast("int")
-    parts = F.when(F.col("total") == 0, 1).otherwise(F.ceil(F.col("total") / capacity).cast("int"))
-    items = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    items = items.select("doc_id", "source", "cluster", "copy", "part", F.when(F.col("part") < full, capacity).otherwise(F.col("total") - F.col("part") * capacity).alias("n_words"))
-    done = items.where(F.col("n_words") == capacity)
-    rest = items.where(F.col("n_words") < capacity).withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", "copy", "part"), F.lit(shards)))
-
-    def place(key: tuple[Any, ...], df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(["n_words", "doc_id", "cluster", "copy", "part"], ascending=[False, True, True, True, True], kind="stable", na_position="last").reset_index(drop=True)
-        at = pack_shard(df.n_words.tolist(), pd.factorize(df.source, use_na_sentinel=False)[0].tolist(), pd.factorize(df.cluster)[0].tolist(), capacity, per_source)
-        df["bin"] = [f"s{key[0]}-{b}" for b, _ in at]
-        df["start"] = [s for _, s in at]
-        df["fill"] = df.groupby("bin").n_words.transform("sum")
-        return df[["doc_id", "source", "cluster", "part", "n_words", "bin", "start", "fill"]]
-
-    whole = done.select("doc_id", "source", "cluster", F.col("part").cast("int"), "n_words", F.concat_ws("-", F.lit("f"), F.col("doc_id").cast("string"), F.col("copy").cast("string"), F.col("part").cast("string"), F.hex("cluster")).alias("bin"), F.lit(0).cast("long").alias("start"), F.lit(capacity).cast("long").alias("fill"))
-    return rest.groupBy("shard").applyInPandas(place, SCHEMA).unionByName(whole)
+    # Rows repeated exactly are counted first and dealt out by their ordinal: one hash key can't hold many rows.
+    rows = cut(docs.select("doc_id", "source", own.alias("cluster"), words.alias("total")).groupBy("doc_id", "source", "cluster", "total").agg(F.count("*").alias("copies")))
+    n_full = F.floor(F.col("total") / capacity)
+    n_rest = rows.where((F.col("total") % capacity != 0) | (F.col("total") == 0)).agg(F.sum("copies")).first()[0] or 0
+    shards = max(1, -(-n_rest // shard_rows))
+    few = rows.where(F.col("copies") <= COPIES).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    # A row with very many copies is dealt out in blocks of ordinals, which the tasks share.
+    many = rows.where(F.col("copies") > COPIES).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES)))).repartition("cluster", "block")
+    many = many.withColumn("copy", F.explode(F.sequence(F.col("block") * COPIES + 1, F.least(F.col("copies"), (F.col("block") + 1) * COPIES)))).drop("block")
+    items = few.unionByName(many)
+    keys = ("doc_id", "source", "cluster", "copy")
+    whole = items.where(n_full > 0).select(*keys, F.explode(F.sequence(F.lit(0), n_full.cast("int") - 1)).alias("part"))
+    # A name's hash covers all that tells one full part from another, nulls written out.
+    name = F.concat(F.lit("f-"), F.substring(F.sha2(F.to_json(F.struct("doc_id", "source", F.hex("cluster").alias("cluster"), "copy", "part"), {"ignoreNullFields": "false"}), 256), 1, 32))
+    whole = whole.select("doc_id", "source", "cluster", "part", F.lit(capacity).cast("long").alias("n_words"), name.alias("bin"), F.lit(0).cast("long").alias("start"), F.lit(capacity).cast("long").alias("fill"))
+    rest = items.where((F.col("total") % capacity != 0) | (F.col("total") == 0)).select(*keys, n_full.cast("int").alias("part"), (F.col("total") % capacity).alias("n_words"))
+    rest = rest.withColumn("shard", F.pmod(F.xxhash64("doc_id", "source", "cluster", "copy"), F.lit(shards)))
+    return rest.groupBy("shard").applyInArrow(placer(capacity, per_source), whole.schema).unionByName(whole)
+
+
+def placer(capacity: int, per_source: int) -> Callable[[pa.Table], pa.Table]:
+    """A function from a shard's items, as an Arrow table, to their places; ids and sources are never converted."""
+
+    def coded(column: pa.ChunkedArray) -> list[int]:
+        made = column.combine_chunks().dictionary_encode()
+        return pc.fill_null(made.indices, len(made.dictionary)).to_pylist()
+
+    def place(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("n_words", "descending"), *((c, "ascending") for c in ("doc_id", "cluster", "source", "copy"))])
+        at = pack_shard(table.column("n_words").to_pylist(), coded(table.column("source")), coded(table.column("cluster")), capacity, per_source)
+        fill: dict[int, int] = {}
+        for (b, _), n in zip(at, table.column("n_words").to_pylist()):
+            fill[b] = fill.get(b, 0) + n
+        shard = table.column("shard")[0].as_py()
+        made = {"bin": pa.array([f"s{shard}-{b}" for b, _ in at]), "start": pa.array([x for _, x in at], pa.int64()), "fill": pa.array([fill[b] for b, _ in at], pa.int64())}
+        return pa.table({c: table.column(c) for c in ("doc_id", "source", "cluster", "part", "n_words")} | made)
+
+    return place

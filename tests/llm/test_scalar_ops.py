@@ -354,6 +354,24 @@ def test_packing_takes_clusters(spark):
     assert len({r.cluster for r in got}) == 16
 
 
+def test_packing_full_bins_and_ids_of_any_kind(spark, monkeypatch):
+    """Equal texts from two sources, null ids, ids beyond 2^53 beside nulls, texts as ids, rows with very many copies."""
+    monkeypatch.setattr(packing, "COPIES", 3)
+    full, big = "w " * 2048, 9007199254740993
+    rows = [(1, full, "a"), (1, full, "b"), (None, full, "a"), (None, full, "b"), (None, full, None), (big, "a b", "x"), (None, "c", "x")] + [(2, full + "x", "a")] * 11
+    for kind in ("long", "string"):
+        df = spark.createDataFrame([(i if i is None or kind == "long" else f"id {i}", t, s) for i, t, s in rows], f"doc_id {kind}, text string, source string")
+        got = packing.pack(df.withColumn("cluster", F.lit("mine"))).collect()
+        assert sum(r.n_words for r in got) == sum(len(t.split()) for _, t, _ in rows)
+        assert {r.doc_id for r in got} == {i if i is None or kind == "long" else f"id {i}" for i, *_ in rows}
+        bins = {}
+        for r in got:
+            bins.setdefault(r.bin, []).append(r)
+        for b in bins.values():
+            assert sum(r.n_words for r in b) == b[0].fill <= 2048 and len({r.cluster for r in b}) == len(b)
+        assert sum(r.doc_id in (2, "id 2") for r in got) == 22
+
+
 def test_best_fit_takes_the_tightest_compatible_bin():
     rng = random.Random(4)
     for _ in range(100):
