@@ -12,12 +12,14 @@ some hundreds of expressions.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from ..functions.arrays import let
+from .common import ascii_lower, fresh
 
 #: What separates words once A-Z are lowered, and what makes up a word before.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -116,62 +118,96 @@ def rules() -> list[tuple[int, str, str, str, float]]:
     return out
 
 
-def rule_column() -> Column:
-    """All rules as one literal array, in order."""
-    rows = [F.struct(F.lit(p).alias("priority"), F.lit(i).alias("rank"), F.lit(label).alias("label"), F.lit(key).alias("keyword"), F.lit(rf"(?<= )(?:{rx})(?= )").alias("expression"), F.lit(score).alias("score")) for i, (p, label, key, rx, score) in enumerate(rules())]
-    return F.array(*rows)
+#: Between a word's number and the word itself where both are written; no word holds it.
+MARK = "\x01"
 
 
-def spaces(c: Column) -> Column:
-    return F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
+def numbered(expression: str) -> str:
+    """A rule's expression over words, for words that have their numbers before them."""
+    gap = rf" \d++{MARK}"
+    return re.sub(r" (\??)", lambda m: f"(?:{gap})?" if m[1] else gap, expression)
 
 
-def places(words: Column, expression: Column) -> Column:
-    """Array of (first, past) word numbers of the matches; words has a space at either end and between words."""
-    hits = F.regexp_extract_all(words, expression, F.lit(0))
-    gaps = F.split(words, expression, -1)
-    none = F.array().cast("array<struct<first:int,past:int>>")
-    step = lambda a, x: F.struct((a["at"] + spaces(x["0"]) + spaces(x["1"])).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + spaces(x["0"])).alias("first"), (a["at"] + spaces(x["0"]) + spaces(x["1"]) + 1).alias("past")))).alias("out"))
-    return F.aggregate(F.filter(F.arrays_zip(gaps.alias("0"), hits.alias("1")), lambda x: x["1"].isNotNull()), F.struct(F.lit(-1).alias("at"), none.alias("out")), step, lambda a: a["out"])
+FOUND = "array<struct<first:int,past:int,priority:int,rank:int,label:string,score:double>>"
+#: Priorities of rules.
+LEVELS = 7
 
 
-FOUND = "array<struct<first:int,past:int,priority:int,rank:int,label:string,score:double>>"
+def hits(plain: str, words: str) -> Column:
+    """All rules' matches in a column of words with numbers. A rule is only tried where its keyword is in the plain words,
+    and its expression is compiled once for a task."""
+    known = rules()
+    groups: dict[str, list[str]] = {}
+    for rank, (_, _, keyword, rx, _) in enumerate(known):
+        groups.setdefault(keyword, []).append(rf"named_struct('rank', {rank}, 'm', regexp_extract_all(`{words}`, r'(?<= )\d++{MARK}(?:{numbered(rx)})(?= )', 0))")
+    tried = F.flatten(F.array(*[F.expr(f"CASE WHEN contains(`{plain}`, '{k}') THEN array({', '.join(g)}) ELSE array() END") for k, g in groups.items()]))
+    number = lambda m, a: F.substring_index(F.substring_index(m, " ", a), MARK, 1).cast("int")
+    table = F.lit([p for p, *_ in known]), F.lit([label for _, label, *_ in known]), F.lit([v for *_, v in known])
+
+    def of_rule(r: Column) -> Column:
+        priority, label, score = (F.get(t, r["rank"]) for t in table)
+        return F.transform(r.m, lambda m: F.struct(number(m, 1).alias("first"), (number(m, -1) + 1).alias("past"), priority.alias("priority"), r["rank"].alias("rank"), label.alias("label"), score.alias("score")))
+
+    return F.flatten(F.transform(tried, of_rule))
+
+
+def fold(found: Column, start: int, stays: Callable[[Column, Column], Column], reached: Callable[..., Column]) -> Column:
+    """Those of found that stay, by how far each priority has reached before them.
+
+    Folded in blocks of about the root of their number: what each block reaches alone, then what lies before each block, then
+    the blocks themselves. So what is copied grows with the number to the power 1.5 at most.
+    """
+    begin = F.array(*[F.lit(start)] * LEVELS)
+    further = lambda reach, d: F.transform(reach, lambda r, i: F.when(i == d.priority, reached(r, d.past)).otherwise(r))
+
+    def within(block: Column, reach: Column) -> Column:
+        step = lambda a, d: F.struct(further(a.reach, d).alias("reach"), F.when(stays(a.reach, d), F.concat(a.out, F.array(d))).otherwise(a.out).alias("out"))
+        return F.aggregate(block, F.struct(reach.alias("reach"), F.array().cast(FOUND).alias("out")), step, lambda a: a.out)
+
+    def blocked(f: Column) -> Column:
+        size = F.greatest(F.lit(64), F.ceil(F.sqrt(F.size(f))).cast("int"))
+        blocks = let(size, lambda n: F.transform(F.sequence(F.lit(0), F.floor((F.size(f) - 1) / n).cast("int")), lambda b: F.slice(f, b * n + 1, n)))
+        return let(blocks, joined)
+
+    def joined(blocks: Column) -> Column:
+        alone = F.transform(blocks, lambda b: F.aggregate(b, begin, further))
+        nothing = F.struct(begin.alias("reach"), F.array().cast("array<array<int>>").alias("out"))
+        before = F.aggregate(alone, nothing, lambda a, r: F.struct(F.zip_with(a.reach, r, lambda x, y: reached(x, y)).alias("reach"), F.concat(a.out, F.array(a.reach)).alias("out")), lambda a: a.out)
+        return F.flatten(F.transform(F.arrays_zip(blocks.alias("block"), before.alias("reach")), lambda z: within(z.block, z.reach)))
+
+    return F.when(F.size(found) > 64, let(found, blocked)).otherwise(within(found, begin))
 
 
 def detect(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with ``found``: all matches, in order of (first word, longest, priority, rule), and ``kept``: those left.
 
     Both are arrays of (first, past, priority, rank, label, score); rank 0 to 2 are the base phrases. A null or empty
-    text has none. Columns of these names are replaced, all others pass unchanged. A narrow step.
+    text has none, equal texts have the same. Columns of these names are replaced, all others pass unchanged. A narrow step.
     """
     raw = F.coalesce(F.col(text), F.lit(""))
-    words = F.when(raw.rlike(GATE), F.concat(F.lit(" "), F.trim(F.regexp_replace(ascii_lower(raw), SEPARATORS, " ")), F.lit(" ")))
-    docs = docs.drop("found", "kept").withColumn("_words", words)
-    w = F.col("_words")
-    due = F.filter(rule_column(), lambda r: F.contains(w, r.keyword))
-    hits = F.flatten(F.transform(due, lambda r: F.transform(places(w, r.expression), lambda p: F.struct(p.first, p.past, r.priority, r["rank"], r.label, r.score))))
-    docs = docs.withColumn("found", F.when(w.isNotNull(), hits.cast(FOUND)).otherwise(F.array().cast(FOUND)))
+    plain = F.when(raw.rlike(GATE), F.concat(F.lit(" "), F.trim(F.regexp_replace(ascii_lower(raw), SEPARATORS, " ")), F.lit(" ")))
+    docs = docs.drop("found", "kept")
+    names = fresh(docs, "words", "numbered")
+    docs = docs.withColumn(names[0], plain)
+    w = F.col(names[0])
+    docs = docs.withColumn(names[1], F.concat(F.lit(" "), F.array_join(F.transform(F.split(F.trim(w), " "), lambda x, i: F.concat(i.cast("string"), F.lit(MARK), x)), " "), F.lit(" ")))
+    docs = docs.withColumn("found", F.when(w.isNotNull(), hits(*names).cast(FOUND)).otherwise(F.array().cast(FOUND)))
     ordered = F.transform(F.array_sort(F.transform("found", lambda d: F.struct(d["first"].alias("a"), (-d.past).alias("b"), d.priority.alias("c"), d["rank"].alias("d"), d.alias("e")))), lambda x: x.e)
     docs = docs.withColumn("found", F.when(F.size("found") > 1, ordered).otherwise(F.col("found")))
     # Whatever contains an interval comes before it and what it contains comes after, so one fold each way does, which
     # needs only how far each priority has reached.
-    levels = max(p for p, *_ in rules()) + 1
-    none = F.array().cast(FOUND)
-
-    def fold(found: Column, start: int, stays: Callable[[Column, Column], Column], reached: Callable[..., Column]) -> Column:
-        def step(a, d):
-            return F.struct(F.transform(a.reach, lambda r, i: F.when(i == d.priority, reached(r, d.past)).otherwise(r)).alias("reach"), F.when(stays(a.reach, d), F.concat(a.out, F.array(d))).otherwise(a.out).alias("out"))
-
-        return F.aggregate(found, F.struct(F.array(*[F.lit(start)] * levels).alias("reach"), none.alias("out")), step, lambda a: a.out)
-
     inside = fold(F.col("found"), -1, lambda reach, d: ~F.exists(F.slice(reach, 1, d.priority + 1), lambda r: r >= d.past), F.greatest)
     around = lambda found: F.reverse(fold(F.reverse(found), 2**31 - 1, lambda reach, d: (d.priority == 0) | ~F.exists(F.slice(reach, 1, F.greatest(d.priority, F.lit(1))), lambda r: r <= d.past), F.least))
     docs = docs.withColumn("kept", F.when(F.size("found") > 1, inside).otherwise(F.col("found")))
-    return docs.withColumn("kept", F.when(F.size("kept") > 1, around(F.col("kept"))).otherwise(F.col("kept"))).drop("_words")
+    return docs.withColumn("kept", F.when(F.size("kept") > 1, around(F.col("kept"))).otherwise(F.col("kept"))).drop(*names)
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """One row per document: n_words, places of base phrases, labels, score (the best of the matches left, else 0)."""
+    """One row per row of docs: doc_id, n_words, places of base phrases, labels, score (the best of the matches left, else 0).
+
+    A null or empty text has no words, no places (first_word and last_word null), empty labels and the score 0. Other
+    columns are ignored.
+    """
     slim = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     d = detect(slim).withColumn("base", F.filter("found", lambda x: x["rank"] < len(BASE)))
     labels = lambda c: F.transform(c, lambda x: x.label)

@@ -214,6 +214,58 @@ def test_license_suppression(spark):
     assert len(found.found) > len(found.kept) == 1
 
 
+def found_by_python(text):
+    """All rules' matches by this language's own expressions, no gate and no keywords, in order."""
+    words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+    plain = f" {' '.join(words)} "
+    out = []
+    for rank, (priority, label, _, rx, score) in enumerate(licenses.rules()):
+        for m in re.finditer(f"(?<= )(?:{rx})(?= )", plain):
+            first = plain.count(" ", 0, m.start()) - 1
+            out.append((first, first + m[0].count(" ") + 1, priority, rank, label, score))
+    return sorted(out, key=lambda d: (d[0], -d[1], d[2], d[3]))
+
+
+def kept_by_pairs(found):
+    """Each match against each other one."""
+
+    def weaker(d, e):
+        inside, around = e[0] <= d[0] and d[1] <= e[1], d[0] <= e[0] and e[1] <= d[1]
+        if inside and (e[2] < d[2] or (e[2] == d[2] and (e[:2] != d[:2] or e[3] < d[3]))):
+            return True
+        return around and e[2] < d[2]
+
+    return [d for d in found if d[2] == 0 or not any(weaker(d, e) for e in found if e is not d)]
+
+
+def test_license_found_and_kept_brute(spark):
+    rng = random.Random(9)
+    samples = [t for _, t in rule_matches()]
+    texts = [*samples, MIT_NOTICE]
+    for _ in range(400):
+        parts = [rng.choice(samples) if rng.random() < 0.6 else rng.choice(["or later", "version", "2", "license", "x", "only", "at your option"]) for _ in range(rng.randrange(1, 7))]
+        texts.append(" ".join(parts).replace(" ", rng.choice([" ", "-", "\n "])))
+    texts.append(" ".join(rng.choice(samples) for _ in range(400)))  # more matches than a block of the folds has
+    for r in licenses.detect(docs(spark, texts)).select("text", "found", "kept").collect():
+        found = found_by_python(r.text)
+        assert [tuple(d) for d in r.found] == found, r.text
+        alone = [d for d in found if d[2] > 0] if len(found) > 1 else found
+        assert [tuple(d) for d in r.kept if d.priority > 0 or len(found) == 1] == [d for d in kept_by_pairs(found) if d in alone], r.text
+
+
+def test_license_many_matches_and_clashing_names(spark):
+    import time
+
+    many = "Under the MIT License. " * 45_000
+    df = docs(spark, [many, "cc by nc"]).withColumn("words", F.lit("mine")).withColumn("Numbered", F.lit("mine"))
+    licenses.digest(df.limit(0)).count()
+    began = time.time()
+    got = licenses.digest(df).orderBy("doc_id").collect()
+    assert (got[0].n_base, got[0].last_word, got[0].labels) == (45_000, 4 * 45_000 - 4, "mit") and got[1].labels == "cc-by-nc"
+    assert time.time() - began < 60
+    assert {(r.words, r.Numbered) for r in licenses.detect(df).select("words", "Numbered").collect()} == {("mine", "mine")}
+
+
 # Audio
 
 
