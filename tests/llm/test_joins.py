@@ -231,6 +231,36 @@ def test_contained_items_without_id(spark, monkeypatch, limit):
     assert [r.doc_id for r in decontam.drop_contaminated(docs(spark, rows), bench.where("item_id IS NULL")).collect()] == [3]
 
 
+def test_signatures_leave_room_for_what_may_be_missing(spark):
+    """Whatever shingles of an item are missing, up to the threshold, enough of its signature is left."""
+    rng = random.Random(2)
+    items = [(j, " ".join(f"w{j}x{k}" for k in range(n))) for j, n in enumerate([1, 5, 6, 9, 10, 14, 24, 29, 60, 131])]
+    rows = decontam.item_table(spark.createDataFrame(items, "item_id long, text string")).collect()
+    for j, t in items:
+        mine = [r for r in rows if r.item_id == j]
+        signed = [r.h for r in mine if r.signed]
+        assert len(mine) == max(1, len(t.split()) - 4) == mine[0].size and 1 <= mine[0].agree <= len(signed)
+        least = sorted(r.h for r in mine)[: len(signed)]
+        assert sorted(signed) == least
+        for _ in range(20):
+            gone = set(rng.sample(sorted(r.h for r in mine), mine[0].size - mine[0].need))
+            assert sum(h not in gone for h in signed) >= mine[0].agree
+        assert len(signed) - min(len(signed), mine[0].size - mine[0].need) == mine[0].agree
+
+
+def test_sieve_loses_nothing(spark):
+    some = spark.range(4000).select(F.xxhash64("id").alias("h"))
+    left = {r.h for r in decontam.sieved(some, spark.range(0, 4000, 7).select(F.xxhash64("id").alias("h"))).collect()}
+    want = {r.h for r in spark.range(0, 4000, 7).select(F.xxhash64("id").alias("h")).collect()}
+    assert want <= left and len(left) < len(want) + 40
+
+
+def test_drop_contaminated_keeps_columns_named_like_its_own(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", "x", "y"), (2, "q r s t u", "x", "y"), (2, "q r s t u", "x", "y")], "doc_id long, text string, row_key string, ROW_KEY_ string")
+    left = decontam.drop_contaminated(df, spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string"))
+    assert left.columns == df.columns and [tuple(r) for r in left.collect()] == [(2, "q r s t u", "x", "y")] * 2
+
+
 def test_contained_in_a_very_long_document(spark):
     rng = random.Random(9)
     vocab = vocabulary(rng, 5000)
