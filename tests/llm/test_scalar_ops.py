@@ -104,6 +104,19 @@ def test_tokens_equal_the_library(spark):
     assert got[1].n_bytes == 0 and tokens.token_report(docs(spark, []), path).count() == 0
 
 
+def test_frequent_pre_tokens_are_counted_over_all(spark, monkeypatch):
+    monkeypatch.setattr(tokens, "TABLE", 3)
+    texts = ["the the the of of a " * 30 + " ".join(f"w{i}x{k}" for k in range(200)) for i in range(40)] + [None, ""]
+    df = docs(spark, texts).repartition(3)
+    assert tokens.most_frequent(df, bound=3) == [" the", " of", " a"]
+    assert tokens.most_frequent(df.limit(0)) == []
+    path = queries.tokenizer_path()
+    sp = tokens.load(path)
+    for table in ({}, tokens.frequent(path, [" the", " "])):
+        assert tokens.counter(path, table)([t or "" for t in texts]) == [len(sp.encode(t or "")) for t in texts]
+    assert tokens.worker(path)[1] and tokens.counter(path, {" the": 1}) is not None
+
+
 # Licenses
 
 
