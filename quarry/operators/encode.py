@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,42 +12,71 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources import codec
+from . import reshape
+
+
+def _geometries(column: pa.ChunkedArray) -> list:
+    """A column of geometries as lists of polygons of rings of (x, y, z, m)."""
+    polys = column.combine_chunks()
+    rings, points = polys.values, polys.values.values
+    vertex = points.values
+    names = {f.name for f in vertex.type}
+    axes = [vertex.field(c).to_pylist() if c in names else [None] * len(vertex) for c in "xyzm"]
+    axes[3] = [None if m is None else json.loads(m) for m in axes[3]]
+    made = list(zip(*axes))
+    for level in (points, rings):
+        made = [made[a:b] for a, b in pairwise(level.offsets.to_pylist())]
+    return [made[a:b] if there else None for (a, b), there in zip(pairwise(polys.offsets.to_pylist()), polys.is_valid().to_pylist())]
+
+
+def _layers(table: pa.Table, shapes: dict[str, tuple], always: Iterable[str] = ()) -> list[dict]:
+    """A tile's layers, features in their order. always: layers that the tile has even without features."""
+    order = [("layer", "ascending"), ("fid", "ascending"), *([("id", "ascending")] if "id" in table.column_names else [])]
+    table = table.sort_by(order)
+    there = {c: _geometries(table.column(c)) if c == "geometry" else table.column(c).to_pylist() for c in table.column_names}
+    nothing = [None] * table.num_rows
+    get = lambda c: there.get(c, nothing)
+    out: dict[str, dict] = {}
 
+    def layer(name: str, extent: int | None) -> dict:
+        if name not in out:
+            shape, mshape = shapes.get(name, (None, None))
+            out[name] = {"layer": name, "extent": extent or 4096, "shape": shape, "mshape": mshape, "features": []}
+        return out[name]
 
-def _vertices(geometry):
-    return [[[(v["x"], v["y"], v.get("z"), json.loads(v["m"]) if v.get("m") is not None else None) for v in r] for r in p] for p in geometry] if geometry is not None else None
-
-
-def _layers(rows: list[dict], shapes: dict[str, tuple]) -> list[dict]:
-    out: dict[str, dict] = {}
-    for r in sorted(rows, key=lambda r: (r["layer"], r["fid"])):
-        shape, mshape = shapes.get(r["layer"], (None, None))
-        layer = out.setdefault(r["layer"], {"layer": r["layer"], "extent": r.get("extent") or 4096, "shape": shape, "mshape": mshape, "features": []})
-        f = {"id": r.get("id"), "type": r["type"], "properties": json.loads(r["properties"]) if r.get("properties") else {}, "geometry": _vertices(r.get("geometry")), "offsets": r.get("offsets"), "indices": r.get("indices")}
-        f["bbox"] = [r["bbox"][k] for k in ("left", "bottom", "right", "top", "near", "far")] if r.get("bbox") else None
-        f["tessellation"] = [(p["x"], p["y"], p.get("z")) for p in r["tessellation"]] if r.get("tessellation") else None
-        layer["features"].append(f)
-    return list(out.values())
+    for name, extent, ident, kind, properties, geometry, offsets, indices, bbox, tessellation in zip(*map(get, ("layer", "extent", "id", "type", "properties", "geometry", "offsets", "indices", "bbox", "tessellation"))):
+        f = {"id": ident, "type": kind, "properties": json.loads(properties) if properties else {}, "geometry": geometry, "offsets": offsets, "indices": indices}
+        f["bbox"] = [bbox[k] for k in ("left", "bottom", "right", "top", "near", "far")] if bbox else None
+        f["tessellation"] = [(p["x"], p["y"], p.get("z")) for p in tessellation] if tessellation else None
+        layer(name, extent)["features"].append(f)
+    for name in always:
+        layer(name, None)
+    return [out[name] for name in sorted(out)]
 
 
-def encode_tiles(features: DataFrame, kind: str = "open", shapes: dict[str, tuple] | None = None, key: str = "tile_id") -> DataFrame:
+def encode_tiles(features: DataFrame, kind: str = "open", shapes: dict[str, tuple] | None = None, key: str = "tile_id", always: Iterable[str] = ()) -> DataFrame:
     """(key, content): a tile for each value of ``key``. kind: open, mvt or flat.
 
     features has key, layer, fid (order within a layer), type, and of id, extent, properties (JSON), geometry, offsets,
     bbox, indices, tessellation those there are. shapes: by layer, a pair of shapes of properties and m-values; where none
-    is given they are inferred from the tile's features. Layers are written in the order of their names.
+    is given they are inferred from the tile's features. Layers are written in the order of their names; those named in
+    ``always`` are in every tile. Tiles are dealt over all of spark.sql.shuffle.partitions: writing them takes time, not
+    bytes, so small partitions aren't put together.
     """
     names = [c for c in ("layer", "fid", "id", "type", "extent", "properties", "geometry", "offsets", "bbox", "indices", "tessellation") if c in features.columns]
-    given = shapes or {}
+    given, named = shapes or {}, tuple(always)
     type_of_key = features.schema[key].dataType
     out = T.StructType([T.StructField(key, type_of_key), T.StructField("content", T.BinaryType())])
 
     def write(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        content = codec.write_tile(_layers(rows, given), kind)
+        content = codec.write_tile(_layers(table.select(names), given, named), kind)
         return pa.table({key: table.column(key)[:1], "content": pa.array([content], pa.binary())})
 
-    return features.select(key, *names).groupBy(key).applyInArrow(write, out)
+    return _dealt(features.select(key, *names), key).groupBy(key).applyInArrow(write, out)
+
+
+def _dealt(df: DataFrame, key: str) -> DataFrame:
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def encode_grids(grids: DataFrame, key: str = "tile_id") -> DataFrame:
@@ -65,44 +96,68 @@ def _parts(df: DataFrame, key: str, write_rows) -> DataFrame:
         rows = sorted(table.to_pylist(), key=lambda r: r["name"])
         return pa.table({key: table.column(key)[:1], "content": pa.array([write_rows(rows)], pa.binary())})
 
-    return df.groupBy(key).applyInArrow(write, out)
+    return _dealt(df, key).groupBy(key).applyInArrow(write, out)
 
 
-def transcode(tiles: DataFrame, kind: str = "open", key: str = "tile_id") -> DataFrame:
-    """Tiles rewritten in another format, each on its own: narrow, no shuffle."""
+def transcode(tiles: DataFrame, kind: str = "open", key: str = "tile_id", columnar: str = "rewrite") -> DataFrame:
+    """Tiles rewritten in another format, each on its own: narrow, no shuffle.
+
+    columnar: what becomes of layers that are columnar already: rewrite them like the others, skip them, or error.
+    """
+    if columnar not in ("rewrite", "skip", "error"):
+        raise ValueError("columnar is rewrite, skip or error")
     out = T.StructType([tiles.schema[key], T.StructField("content", T.BinaryType())])
 
     def run(batches):
         for batch in batches:
-            made = []
-            for data in batch.column(1).to_pylist():
-                tile = codec.read_tile(data)
-                made.append(codec.write_tile([{**x, "shape": None if x["kind"] != "open" else x["shape"]} for x in tile["layers"]], kind))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=[key, "content"])
+            for k, data in zip(batch.column(0), batch.column(1).to_pylist()):
+                layers = codec.read_tile(data)["layers"]
+                if columnar == "error" and any(x["kind"] == "open" for x in layers):
+                    raise ValueError(f"tile {k.as_py()}: unsupported vector tile type")
+                kept = [{**x, "shape": None if x["kind"] != "open" else x["shape"]} for x in layers if columnar != "skip" or x["kind"] != "open"]
+                yield pa.RecordBatch.from_arrays([pa.array([k.as_py()], batch.schema.field(0).type), pa.array([codec.write_tile(kept, kind)], pa.binary())], names=[key, "content"])
 
     return tiles.select(key, "content").mapInArrow(run, out)
 
 
-def compressed_sizes(tiles: DataFrame, key: str = "tile_id") -> DataFrame:
-    """tiles with raw, gzip and zstd: bytes of the content as it is and compressed."""
-    import zlib
+#: Compressions of the size report; each is Arrow's own.
+CODECS = ("gzip", "zstd", "brotli")
 
-    out = T.StructType([tiles.schema[key], *[T.StructField(c, T.LongType()) for c in ("raw", "gzip", "zstd")]])
 
-    def run(batches):
-        try:
-            import zstandard
+def compressed_sizes(tiles: DataFrame, key: str = "tile_id") -> DataFrame:
+    """tiles with raw and one column for each of CODECS: bytes of the content as it is and compressed."""
+    missing = [c for c in CODECS if not pa.Codec.is_available(c)]
+    if missing:
+        raise RuntimeError(f"this Arrow has no {', '.join(missing)}")
+    out = T.StructType([tiles.schema[key], *[T.StructField(c, T.LongType()) for c in ("raw", *CODECS)]])
 
-            pack = zstandard.ZstdCompressor(level=3).compress
-        except ImportError:
-            pack = None
+    def run(batches):
+        codecs = [pa.Codec(c) for c in CODECS]
         for batch in batches:
             data = batch.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(d) for d in data], pa.int64()), pa.array([len(zlib.compress(d, 6, 31)) for d in data], pa.int64()), pa.array([len(pack(d)) if pack else None for d in data], pa.int64())], names=[key, "raw", "gzip", "zstd"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(d) for d in data], pa.int64()), *[pa.array([c.compress(d).size for d in data], pa.int64()) for c in codecs]], names=[key, "raw", *CODECS])
 
     return tiles.select(key, "content").mapInArrow(run, out)
 
 
+def from_unit_square(features: DataFrame, kind: str = "open", guide: dict[str, tuple] | None = None, key: str = "tile_id") -> DataFrame:
+    """(key, content): tiles of features of the unit square.
+
+    features has key, layer, fid, geometry_type (a name such as MultiPoint), is_3d, coordinates (JSON), transformed (whether
+    the tile's coordinates are of the unit square; where not, that is an error), and of id and properties those there are.
+    guide: by layer, its extent, shape and shape of m-values; others have 4096 and what their features give.
+    """
+    known = guide or {}
+    extent = F.lit(4096)
+    for name, (size, *_) in known.items():
+        extent = F.when(F.col("layer") == name, size).otherwise(extent)
+    kind_of = reshape.unit_type("geometry_type", "is_3d")
+    kind_of = F.when(F.coalesce("transformed", F.lit(False)), kind_of).otherwise(F.raise_error(F.lit("a tile must be transformed first")).cast("int"))
+    made = features.withColumn("extent", extent).withColumn("type", kind_of)
+    made = made.withColumn("geometry", reshape.from_unit_square(F.col("type"), reshape.unit_geometry(F.col("geometry_type"), F.col("coordinates")), F.col("extent")))
+    return encode_tiles(made, kind, {name: (shape, mshape) for name, (_, shape, mshape) in known.items()}, key)
+
+
 def write_files(tiles: DataFrame, path: str, key: str = "tile_id") -> None:
     """Tiles as a Parquet table partitioned by nothing but size: (key, content), read again by ``spark.read.parquet``."""
     tiles.select(key, F.col("content")).write.mode("overwrite").parquet(path)

@@ -128,7 +128,8 @@ def unit_geometry(geo_type_name: Column, coordinates: Column) -> Column:
     return out
 
 
-def unit_type(geo_type_name: Column, is_3d: Column) -> Column:
+def unit_type(geo_type_name: Column | str, is_3d: Column | str) -> Column:
+    geo_type_name, is_3d = (F.col(c) if isinstance(c, str) else c for c in (geo_type_name, is_3d))
     base = F.when(geo_type_name.endswith("Point"), 1).when(geo_type_name.endswith("LineString"), 2).when(geo_type_name.endswith("Polygon"), 3).otherwise(F.raise_error(F.concat(F.lit("unknown geometry "), geo_type_name)).cast("int"))
     return base + F.when(is_3d, 3).otherwise(0)
 
@@ -139,6 +140,18 @@ def base_features(features: DataFrame) -> DataFrame:
     return features.withColumn("kind", kind)
 
 
+def add_features(features: DataFrame, more: DataFrame, key: str = "tile_id") -> DataFrame:
+    """features and more; those of more come after all that their tile's layer has, in their own order, new layers from 0.
+
+    Shapes follow when a tile is written: they are inferred from all features of a layer, unless some are given.
+    """
+    last = features.groupBy(key, "layer").agg(F.max("fid").alias("_last"))
+    rank = F.row_number().over(W.partitionBy(key, "layer").orderBy("fid"))
+    added = more.withColumn("_rank", rank).join(last, [key, "layer"], "left")
+    added = added.withColumn("fid", (F.coalesce("_last", F.lit(-1)) + F.col("_rank")).cast(features.schema["fid"].dataType)).drop("_last", "_rank")
+    return features.unionByName(added, allowMissingColumns=True)
+
+
 def layer_union(*parts: DataFrame, key: str = "tile_id") -> DataFrame:
     """Layers of several tables in one; of equal names in a tile the one of the last table (then highest layer_ord) stays."""
     out = None

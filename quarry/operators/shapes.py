@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,9 +30,8 @@ def typed_paths(df: DataFrame, properties: str, keys: list[str], depth: int = 3)
     level = df.select(*keys, F.lit("").alias("_at"), F.parse_json(F.col(properties)).alias("_v"))
     out = None
     for _ in range(depth):
-        level.createOrReplaceTempView("_quarry_level")
         cols = ", ".join([*keys, ""]) if keys else ""
-        found = df.sparkSession.sql(f"SELECT {cols} CASE WHEN e.key IS NULL THEN concat(l._at, '[]') WHEN l._at = '' THEN e.key ELSE concat(l._at, '.', e.key) END AS path, e.value AS _v FROM _quarry_level AS l, LATERAL variant_explode(l._v) AS e")
+        found = df.sparkSession.sql(f"SELECT {cols} CASE WHEN e.key IS NULL THEN concat(l._at, '[]') WHEN l._at = '' THEN e.key ELSE concat(l._at, '.', e.key) END AS path, e.value AS _v FROM {{level}} AS l, LATERAL variant_explode(l._v) AS e", level=level)
         found = found.withColumn("type", value_type(F.col("_v")))
         rows = found.select(*keys, "path", "type").where(~F.col("type").isin("array", "object"))
         out = rows if out is None else out.unionByName(rows)
@@ -83,3 +83,13 @@ def validate(shape_json: str) -> bool:
     except (ValueError, TypeError):
         return False
     return True
+
+
+def is_valid(shape_json: Column) -> Column:
+    """validate() for each row of a column of JSON texts; null where there is none."""
+
+    @F.pandas_udf("boolean")
+    def valid(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else validate(t)).astype("boolean")
+
+    return valid(shape_json)

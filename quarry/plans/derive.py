@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Orders of a tile: ranges of keys, so tiles keep their size when tables grow.
+SPAN = 1024
 VERTEX_ORDER = ["l_linenumber", "l_partkey", "l_suppkey"]
 
 
@@ -13,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tile_of(key: str):
+    return F.floor(F.col(key) / SPAN).cast("string")
+
+
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A point per line item: its keys, pos (its place within its order), x, y, z."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_quantity")
@@ -41,11 +47,11 @@ RINGS_SQL = "r AS (SELECT p_partkey, p_brand, p_partkey * 7 % 3000 AS x, p_partk
 
 
 def line_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A line per order (of two vertices at least) with an offset and m-values; tiles by the order's first priority letter."""
+    """A line per order (of two vertices at least) with an offset and m-values, in tiles by ranges of orders."""
     p = points(spark, sf_dir)
     v = F.struct("pos", F.struct("x", "y", F.lit(None).cast("bigint").alias("z"), F.to_json(F.struct(F.col("l_quantity").cast("bigint").alias("q"))).alias("m")).alias("v"))
     lines = p.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(v)), lambda e: e.v).alias("line")).where(F.size("line") > 1)
-    return lines.select((F.col("l_orderkey") % 16).cast("string").alias("tile_id"), F.lit("orders").alias("layer"), F.col("l_orderkey").cast("int").alias("fid"), F.col("l_orderkey").cast("decimal(20,0)").alias("id"), F.lit(2).alias("type"), F.lit(4096).alias("extent"), F.to_json(F.struct(F.col("l_orderkey").alias("k"), F.size("line").alias("n"))).alias("properties"), F.array(F.array("line")).alias("geometry"), F.array(F.array((F.col("l_orderkey") % 50).cast("double") / 4)).alias("offsets"))
+    return lines.select(tile_of("l_orderkey").alias("tile_id"), F.lit("orders").alias("layer"), F.col("l_orderkey").cast("int").alias("fid"), F.col("l_orderkey").cast("decimal(20,0)").alias("id"), F.lit(2).alias("type"), F.lit(4096).alias("extent"), F.to_json(F.struct(F.col("l_orderkey").alias("k"), F.size("line").alias("n"))).alias("properties"), F.array(F.array("line")).alias("geometry"), F.array(F.array((F.col("l_orderkey") % 50).cast("double") / 4)).alias("offsets"))
 
 
 def polygon_features(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,15 +10,15 @@ from pyspark.sql import functions as F
 from ..functions import arrays
 from ..operators import dictionary, encode, reshape, shapes
 from ..sources import tiles
-from .derive import POINTS_SQL, RINGS_SQL, line_features, points, polygon_features, table
+from .derive import POINTS_SQL, RINGS_SQL, SPAN, line_features, points, polygon_features, table, tile_of
 from .registry import query
 
 def point_features(spark, sf_dir):
-    """A point per line item in tiles by order, a layer per return flag."""
+    """A point per line item in tiles by ranges of orders, a layer per return flag."""
     p = points(spark, sf_dir)
     v = F.struct("x", "y", F.lit(None).cast("bigint").alias("z"), F.lit(None).cast("string").alias("m"))
     props = F.to_json(F.struct(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), F.col("l_linenumber").alias("n"), (F.col("l_quantity") / 8).alias("q"), F.col("l_returnflag").alias("flag"), (F.col("l_linenumber") == 1).alias("first"), (-F.col("l_linenumber")).alias("neg")))
-    return p.select((F.col("l_orderkey") % 32).cast("string").alias("tile_id"), F.concat(F.lit("items_"), "l_returnflag").alias("layer"), F.pmod(F.xxhash64("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"), F.lit(1 << 30)).cast("int").alias("fid"), F.col("l_orderkey").cast("decimal(20,0)").alias("id"), F.lit(1).alias("type"), F.lit(4096).alias("extent"), props.alias("properties"), F.array(F.array(F.array(v))).alias("geometry"))
+    return p.select(tile_of("l_orderkey").alias("tile_id"), F.concat(F.lit("items_"), "l_returnflag").alias("layer"), F.pmod(F.xxhash64("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"), F.lit(1 << 30)).cast("int").alias("fid"), F.col("l_orderkey").cast("decimal(20,0)").alias("id"), F.lit(1).alias("type"), F.lit(4096).alias("extent"), props.alias("properties"), F.array(F.array(F.array(v))).alias("geometry"))
 
 
 def _points_back(features):
@@ -82,13 +82,20 @@ def part_polygons(spark, sf_dir):
     return g.select(F.col("p_brand").alias("tile_id"), F.lit("parts").alias("layer"), F.col("grp").alias("fid"), F.col("grp").cast("decimal(20,0)").alias("id"), F.lit(3).alias("type"), F.lit(4096).alias("extent"), F.to_json(F.struct("p_brand")).alias("properties"), arrays.classify_rings(F.col("rings")).alias("geometry"), F.transform("rings", lambda r, i: (i * 7 % 5).cast("bigint")).alias("indices"), corner.alias("tessellation"), box.alias("bbox"))
 
 
-_POLYS = f"WITH {RINGS_SQL}, g AS (SELECT *, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1) // 10 AS grp FROM r), k AS (SELECT p_brand, grp, count(*) AS n, count(*) FILTER (s > 0) AS sized FROM g GROUP BY p_brand, grp), u AS (SELECT g.* FROM g JOIN k USING (p_brand, grp) WHERE s > 0 AND sized > 0) SELECT p_brand, CAST(grp AS INT) AS grp, count(*) AS n_rings, CAST(sum(x) AS BIGINT) AS sum_x, CAST(sum(CASE WHEN odd THEN -2 * s * s ELSE 2 * s * s END) AS BIGINT) AS area2 FROM u GROUP BY p_brand, grp"
+#: Rings with their polygon (poly) and their place in it (ring), from 0, by brand and group of ten parts (grp).
+_GROUPED = f"""WITH {RINGS_SQL}, g AS (SELECT *, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1) // 10 AS grp FROM r),
+k AS (SELECT p_brand, grp, count(*) AS n, count(*) FILTER (s > 0) AS sized FROM g GROUP BY p_brand, grp),
+u AS (SELECT g.*, n > 1 AND sized > 0 AS split FROM g JOIN k USING (p_brand, grp) WHERE s > 0 OR n = 1 OR sized = 0),
+o AS (SELECT *, first_value(odd) OVER (PARTITION BY p_brand, grp ORDER BY p_partkey) = odd AND split AS begins FROM u),
+q AS (SELECT *, CASE WHEN split THEN sum(CAST(begins AS INT)) OVER (PARTITION BY p_brand, grp ORDER BY p_partkey) - 1 ELSE 0 END AS poly FROM o),
+rings AS (SELECT *, row_number() OVER (PARTITION BY p_brand, grp, poly ORDER BY p_partkey) - 1 AS ring FROM q)"""
+_RING_TEXT = "concat_ws(',', x || ':' || y, CASE WHEN odd THEN x || ':' || (y + s) ELSE (x + s) || ':' || y END, (x + s) || ':' || (y + s), CASE WHEN odd THEN (x + s) || ':' || y ELSE x || ':' || (y + s) END, x || ':' || y)"
+_POLYS = f"{_GROUPED} SELECT p_brand, CAST(grp AS INT) AS grp, CAST(poly AS INT) AS poly, CAST(ring AS INT) AS ring, {_RING_TEXT} AS line FROM rings"
 
 
 def _poly_back(f):
-    lines = F.flatten("geometry")
-    f = f.select("tile_id", "fid", "id", F.explode(lines).alias("ring"))
-    return f.groupBy(F.col("tile_id").alias("p_brand"), F.col("id").cast("int").alias("grp")).agg(F.count("*").alias("n_rings"), F.sum(F.col("ring")[0].x).alias("sum_x"), F.sum(arrays.signed_area(F.col("ring"))).alias("area2")).where("area2 <> 0 OR n_rings > 1")
+    a = f.select(F.col("tile_id").alias("p_brand"), F.col("id").cast("int").alias("grp"), F.posexplode("geometry").alias("poly", "rings"))
+    return a.select("p_brand", "grp", "poly", F.posexplode("rings").alias("ring", "points")).select("p_brand", "grp", "poly", "ring", _line_text(F.col("points")).alias("line"))
 
 
 @query(_POLYS)
@@ -122,17 +129,18 @@ def columnar_roundtrip_3d(spark, sf_dir):
     v = F.struct("pos", F.struct("x", "y", "z", F.lit(None).cast("string").alias("m")).alias("v"))
     lines = p.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(v)), lambda e: e.v).alias("line"))
     # An order of one vertex is a point, others are lines.
-    f = lines.select((F.col("l_orderkey") % 16).cast("string").alias("tile_id"), F.lit("solid").alias("layer"), F.col("l_orderkey").cast("int").alias("fid"), F.col("l_orderkey").cast("decimal(20,0)").alias("id"), F.when(F.size("line") == 1, 4).otherwise(5).alias("type"), F.lit(8192).alias("extent"), F.array(F.array("line")).alias("geometry"))
+    f = lines.select(tile_of("l_orderkey").alias("tile_id"), F.lit("solid").alias("layer"), F.col("l_orderkey").cast("int").alias("fid"), F.col("l_orderkey").cast("decimal(20,0)").alias("id"), F.when(F.size("line") == 1, 4).otherwise(5).alias("type"), F.lit(8192).alias("extent"), F.array(F.array("line")).alias("geometry"))
     back = tiles.features(encode.encode_tiles(f, "open"), ["id", "geometry"])
     text = F.concat_ws(",", F.transform(F.col("geometry")[0][0], lambda p: F.concat_ws(":", p.x.cast("string"), p.y.cast("string"), p.z.cast("string"))))
     return back.select(F.col("id").cast("bigint").alias("l_orderkey"), text.alias("line"))
 
 
-@query("WITH m AS (SELECT vec_id, list_min(embedding)::DOUBLE AS low, list_max(embedding)::DOUBLE AS high, unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding))) AS i FROM embeddings) SELECT vec_id, count(*) AS n, CAST(sum(floor((v - low) * 8192 / (high - low) + 0.5)) AS BIGINT) AS total, 8 AS size, 8192 AS extent FROM m GROUP BY vec_id")
+@query("WITH m AS (SELECT vec_id, list_min(embedding)::DOUBLE AS low, list_max(embedding)::DOUBLE AS high, unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding))) AS i FROM embeddings) SELECT vec_id, 'v' AS name, 8 AS size, 8192 AS extent, CAST(i AS INT) AS i, CAST(floor((v - low) * 8192 / (high - low) + 0.5) AS BIGINT) AS mapped, low, high, TRUE AS near FROM m")
 def grid_roundtrip(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("tile_id"), F.lit("v").alias("name"), F.lit(8192).alias("extent"), F.lit(8).alias("size"), F.col("embedding").cast("array<double>").alias("data"))
-    g = tiles.grids(encode.encode_grids(e)).withColumn("d", arrays.delta_decode(F.col("data")))
-    return g.select(F.col("tile_id").alias("vec_id"), F.size("d").cast("bigint").alias("n"), F.aggregate("d", F.lit(0).cast("bigint"), lambda a, v: a + v).alias("total"), "size", "extent")
+    g = tiles.grids(encode.encode_grids(e)).withColumn("d", arrays.delta_decode(F.col("data"))).withColumn("back", arrays.grid_decode(F.col("data"), F.col("min"), F.col("max"), 8192))
+    g = g.join(e.select("tile_id", F.col("data").alias("was")), "tile_id").select(F.col("tile_id").alias("vec_id"), "name", "size", "extent", F.col("min").alias("low"), F.col("max").alias("high"), F.posexplode(F.arrays_zip("d", "back", "was")).alias("i", "z"))
+    return g.select("vec_id", "name", "size", "extent", "i", F.col("z.d").alias("mapped"), "low", "high", (F.abs(F.col("z.back") - F.col("z.was")) <= (F.col("high") - F.col("low")) / 8192).alias("near"))
 
 
 @query("SELECT c_custkey, c_name AS name, 'avif' AS type, CAST(c_custkey % 97 AS INT) AS width, CAST(c_nationkey AS INT) AS height, upper(hex(encode(c_mktsegment))) AS image FROM customer")
@@ -141,7 +149,7 @@ def image_roundtrip(spark, sf_dir):
     return tiles.images(encode.encode_images(c)).select(F.col("tile_id").alias("c_custkey"), "name", "type", "width", "height", F.hex("image").alias("image"))
 
 
-@query("SELECT 'items_' || l_returnflag AS layer, count(*) AS n_features, count(DISTINCT l_orderkey % 32) AS n_tiles FROM lineitem GROUP BY l_returnflag")
+@query(f"SELECT 'items_' || l_returnflag AS layer, count(*) AS n_features, count(DISTINCT l_orderkey // {SPAN}) AS n_tiles FROM lineitem GROUP BY l_returnflag")
 def layer_counts(spark, sf_dir):
     made = tiles.layers(encode.encode_tiles(point_features(spark, sf_dir), "open"))
     return made.groupBy("layer").agg(F.sum("n_features").cast("bigint").alias("n_features"), F.count("*").alias("n_tiles"))
@@ -158,16 +166,58 @@ def type_counts(spark, sf_dir):
     return reshape.type_counts(mixed_features(spark, sf_dir), ["layer"])
 
 
-@query("SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1")
+def flagged_features(spark, sf_dir):
+    """A feature per order: type 1 to 6 by its key, and by other remainders one or two parts, offsets, m-values, boxes."""
+    k = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (k % 6 + 1).cast("int").alias("type"), (k % 5 < 2).alias("two"), k % 4 == 1, (k % 7 == 0).alias("m"))
+    three = F.col("type") > 3
+    at = lambda dx, dy: F.struct((k % 1000 + dx).alias("x"), (k % 777 + dy).alias("y"), F.when(three, k % 50).alias("z"), F.when(F.col("m"), F.to_json(F.struct((k % 9).alias("w")))).alias("m"))
+    line = F.array(at(0, 0), at(5, 0), at(5, 5), at(0, 0))
+    point = F.when(F.col("two"), F.array(at(0, 0), at(3, 4))).otherwise(F.array(at(0, 0)))
+    form = reshape.form(F.col("type"))
+    one = F.array(line)
+    geometry = F.when(form == 1, F.array(F.array(point))).when(form == 2, F.array(F.when(F.col("two"), F.array(line, line)).otherwise(one))).otherwise(F.when(F.col("two"), F.array(one, one)).otherwise(F.array(one)))
+    offset = F.when(k % 4 == 1, 1.5).otherwise(0.0)
+    offsets = F.when(form == 2, F.array(F.transform(geometry[0], lambda r: offset))).when(form == 3, F.transform(geometry, lambda p: F.array(offset)))
+    # A third of the boxes is missing, a third all zeros.
+    value = lambda v: F.when(k % 3 == 1, 0.0).otherwise(v)
+    near, far = F.when(three, value(F.lit(2.0))), F.when(three, value(F.lit(4.0)))
+    box = F.when(k % 3 > 0, F.struct(value(k % 100 / 4).alias("left"), value(k % 80 / 4).alias("bottom"), value(F.lit(50.5)).alias("right"), value(F.lit(60.25)).alias("top"), near.alias("near"), far.alias("far")))
+    return o.select(tile_of("o_orderkey").alias("tile_id"), F.lit("all").alias("layer"), k.cast("int").alias("fid"), k.cast("decimal(20,0)").alias("id"), "type", F.lit(4096).alias("extent"), F.to_json(F.struct(k.alias("k"))).alias("properties"), geometry.alias("geometry"), offsets.alias("offsets"), box.alias("bbox"))
+
+
+_FLAGS = """SELECT o_orderkey, CAST(o_orderkey % 6 + 1 AS INT) AS type, (['MultiPoint', 'MultiLineString', 'MultiPolygon'])[o_orderkey % 3 + 1] AS geo_type,
+o_orderkey % 6 = 0 AS points, o_orderkey % 6 = 1 AS lines, o_orderkey % 6 = 2 AS polygons, o_orderkey % 6 = 3 AS points3d, o_orderkey % 6 = 4 AS lines3d, o_orderkey % 6 = 5 AS polygons3d,
+o_orderkey % 5 >= 2 AS single, o_orderkey % 4 = 1 AND o_orderkey % 3 > 0 AS has_offsets, o_orderkey % 7 = 0 AND NOT (o_orderkey % 3 = 0 AND o_orderkey % 5 >= 2) AS has_m, o_orderkey % 3 = 2 AS has_bbox FROM orders"""
+
+
+@query(_FLAGS)
 def type_filter(spark, sf_dir):
-    f = line_features(spark, sf_dir).where(reshape.is_type(F.col("type"), "lines") & (reshape.geo_type(F.col("type")) == "MultiLineString") & reshape.is_single(F.col("type"), F.col("geometry")))
-    return f.select(F.col("id").cast("bigint").alias("l_orderkey"), F.size(reshape.load_points(F.col("type"), F.col("geometry"))).cast("bigint").alias("n"))
+    """Every accessor of a feature's kind, read back from columnar tiles; a lone point has no m-values in them.
+
+    Whether there is a box is asked before: stored boxes are rounded to a grid that zero isn't on.
+    """
+    before = flagged_features(spark, sf_dir).select("id", reshape.has_bbox(F.col("bbox")).alias("has_bbox"))
+    f = tiles.features(encode.encode_tiles(flagged_features(spark, sf_dir), "open")).join(before, "id")
+    names = ("points", "lines", "polygons", "points3d", "lines3d", "polygons3d")
+    return f.select(F.col("id").cast("bigint").alias("o_orderkey"), "type", reshape.geo_type(F.col("type")).alias("geo_type"), *[reshape.is_type(F.col("type"), n).alias(n) for n in names], reshape.is_single(F.col("type"), F.col("geometry")).alias("single"), reshape.has_offsets(F.col("offsets")).alias("has_offsets"), reshape.has_m_values(F.col("geometry")).alias("has_m"), "has_bbox")
+
 
+@query("SELECT o_orderkey, o_orderkey % 3 > 0 AS stored, CAST(CASE WHEN o_orderkey % 3 = 2 THEN o_orderkey % 100 * 250 ELSE 0 END AS BIGINT) AS left_e3, CAST(CASE WHEN o_orderkey % 3 = 2 THEN o_orderkey % 80 * 250 ELSE 0 END AS BIGINT) AS bottom_e3, CAST(CASE WHEN o_orderkey % 3 = 2 THEN 50500 ELSE 0 END AS BIGINT) AS right_e3, CAST(CASE WHEN o_orderkey % 3 = 2 THEN 60250 ELSE 0 END AS BIGINT) AS top_e3, CAST(CASE WHEN o_orderkey % 6 = 5 THEN 2 ELSE 0 END AS BIGINT) AS near, CAST(CASE WHEN o_orderkey % 6 = 5 THEN 4 ELSE 0 END AS BIGINT) AS far FROM orders")
+def bbox_default(spark, sf_dir):
+    """Boxes read back, zeros where a feature has none."""
+    f = tiles.features(encode.encode_tiles(flagged_features(spark, sf_dir), "open"), ["id", "bbox"]).withColumn("b", reshape.bbox_or_zeros(F.col("bbox")))
+    e3 = lambda c: F.round(F.col(f"b.{c}") * 1000).cast("bigint").alias(f"{c}_e3")
+    whole = lambda c: F.coalesce(F.col(f"b.{c}"), F.lit(0.0)).cast("bigint").alias(c)
+    return f.select(F.col("id").cast("bigint").alias("o_orderkey"), F.col("bbox").isNotNull().alias("stored"), e3("left"), e3("bottom"), e3("right"), e3("top"), whole("near"), whole("far"))
 
-@query("SELECT l_orderkey, l_orderkey % 50 > 0 AS has_offsets, TRUE AS has_m, FALSE AS has_bbox FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1")
+
+@query("SELECT l_orderkey, l_orderkey % 50 > 0 AS has_offsets, l_orderkey % 3 > 0 AS has_m FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1")
 def has_parts(spark, sf_dir):
-    f = line_features(spark, sf_dir).withColumn("bbox", F.struct(*[F.lit(0.0).alias(k) for k in ("left", "bottom", "right", "top", "near", "far")]))
-    return f.select(F.col("id").cast("bigint").alias("l_orderkey"), reshape.has_offsets(F.col("offsets")).alias("has_offsets"), reshape.has_m_values(F.col("geometry")).alias("has_m"), reshape.has_bbox(F.col("bbox")).alias("has_bbox"))
+    f = line_features(spark, sf_dir)
+    bare = F.transform("geometry", lambda p: F.transform(p, lambda r: F.transform(r, lambda v: v.withField("m", F.lit(None).cast("string")))))
+    f = f.withColumn("geometry", F.when(F.col("fid") % 3 == 0, bare).otherwise(F.col("geometry")))
+    return f.select(F.col("id").cast("bigint").alias("l_orderkey"), reshape.has_offsets(F.col("offsets")).alias("has_offsets"), reshape.has_m_values(F.col("geometry")).alias("has_m"))
 
 
 @query(f"WITH {POINTS_SQL} SELECT l_orderkey, pos, x, y, CAST(l_quantity AS BIGINT) AS m FROM p WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1)")
@@ -182,17 +232,42 @@ def load_lines(spark, sf_dir):
     return f.groupBy(F.col("tile_id").alias("p_brand")).agg(F.sum(F.size("l")).cast("bigint").alias("n_lines"), F.sum(F.size("v")).cast("bigint").alias("open_vertices"))
 
 
-@query(f"WITH {RINGS_SQL}, g AS (SELECT *, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1) // 10 AS grp FROM r), k AS (SELECT p_brand, grp, count(*) AS n, count(*) FILTER (s > 0) AS z FROM g GROUP BY p_brand, grp) SELECT p_brand, CAST(grp AS INT) AS grp, CAST(10 * z + 2 * n AS INT) AS n_numbers FROM k WHERE z > 0 AND n > 1")
+def _whole(numbers):
+    """Shares of the extent as the numbers they came from."""
+    return F.concat_ws(",", F.transform(numbers, lambda v: (v * 4096).cast("bigint").cast("string")))
+
+
+@query(f"{_GROUPED}, t AS (SELECT p_brand, grp, string_agg(x || ',' || y, ',' ORDER BY p_partkey) AS corners FROM g GROUP BY p_brand, grp) SELECT p_brand, CAST(grp AS INT) AS grp, replace(string_agg({_RING_TEXT}, ',' ORDER BY poly, ring), ':', ',') AS flat, replace(string_agg({_RING_TEXT}, ',' ORDER BY poly, ring), ':', ',') || ',' || any_value(corners) AS with_tessellation FROM rings JOIN t USING (p_brand, grp) GROUP BY p_brand, grp")
 def load_flat(spark, sf_dir):
-    f = part_polygons(spark, sf_dir).where((F.size("indices") > 1) & (arrays.signed_area(F.col("geometry")[0][0]) != 0))
-    flat = reshape.load_flat(F.col("type"), F.col("geometry"), F.col("extent"), F.col("tessellation"))
-    return f.select(F.col("tile_id").alias("p_brand"), F.col("fid").alias("grp"), F.size(F.filter(flat, lambda v: v.between(0, 2))).alias("n_numbers"))
+    f = part_polygons(spark, sf_dir)
+    flat = reshape.load_flat(F.col("type"), F.col("geometry"), F.col("extent"))
+    both = reshape.load_flat(F.col("type"), F.col("geometry"), F.col("extent"), F.col("tessellation"))
+    return f.select(F.col("tile_id").alias("p_brand"), F.col("fid").alias("grp"), _whole(flat).alias("flat"), _whole(both).alias("with_tessellation"))
 
 
-@query("SELECT l_orderkey, list_sum([x]) / 4096 AS first_x FROM (SELECT l_orderkey, arg_min((l_partkey * 37 + l_linenumber * 11) % 4096, (l_linenumber, l_partkey, l_suppkey)) AS x FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1)")
+@query(f"WITH {POINTS_SQL} SELECT l_orderkey, string_agg(x || ',' || y, ',' ORDER BY pos) AS flat FROM p GROUP BY l_orderkey HAVING count(*) > 1")
 def flat_first(spark, sf_dir):
     f = line_features(spark, sf_dir)
-    return f.select(F.col("id").cast("bigint").alias("l_orderkey"), reshape.load_flat(F.col("type"), F.col("geometry"), F.col("extent"))[0].alias("first_x"))
+    return f.select(F.col("id").cast("bigint").alias("l_orderkey"), _whole(reshape.load_flat(F.col("type"), F.col("geometry"), F.col("extent"))).alias("flat"))
+
+
+@query(f"{_GROUPED} SELECT p_brand, CAST(grp AS INT) AS grp, CAST(poly AS INT) AS poly, CAST(ring AS INT) AS ring, {_RING_TEXT} AS line, CAST((grp + poly) % 5 * 250 AS BIGINT) AS offset_e3 FROM rings")
+def load_polys(spark, sf_dir):
+    """Polygons of rings with their offsets, read back from columnar tiles."""
+    f = part_polygons(spark, sf_dir).withColumn("offsets", F.transform("geometry", lambda p, i: F.transform(p, lambda r: (F.col("fid") + i) % 5 / F.lit(4.0))))
+    back = tiles.features(encode.encode_tiles(f, "open"))
+    a = back.select("tile_id", "id", F.posexplode(reshape.load_polys(F.col("type"), F.col("geometry"), F.col("offsets"))).alias("poly", "p"))
+    a = a.select("tile_id", "id", "poly", F.posexplode("p").alias("ring", "r"))
+    return a.select(F.col("tile_id").alias("p_brand"), F.col("id").cast("int").alias("grp"), "poly", "ring", _line_text(F.col("r.line")).alias("line"), F.round(F.col("r.offset") * 1000).cast("bigint").alias("offset_e3"))
+
+
+@query(f"WITH {POINTS_SQL} SELECT l_orderkey, string_agg(x || ':' || y, ',' ORDER BY pos) AS line, TRUE AS no_indices, TRUE AS no_tessellation, CAST((l_orderkey % 100) * 1000 AS BIGINT) AS left_e3 FROM p GROUP BY l_orderkey HAVING count(*) > 1")
+def columnar_lines_with_indices(spark, sf_dir):
+    """Lines that carry indices and triangles, which only polygons have, and a box."""
+    f = line_features(spark, sf_dir).withColumn("indices", F.array(F.lit(3).cast("bigint"), F.lit(1).cast("bigint"))).withColumn("tessellation", F.array(F.struct(F.lit(1).cast("bigint").alias("x"), F.lit(2).cast("bigint").alias("y"), F.lit(None).cast("bigint").alias("z"))))
+    f = f.withColumn("bbox", F.struct((F.col("fid") % 100).cast("double").alias("left"), *[F.lit(v).alias(k) for k, v in (("bottom", -5.0), ("right", 120.0), ("top", 7.0))], F.lit(None).cast("double").alias("near"), F.lit(None).cast("double").alias("far")))
+    back = tiles.features(encode.encode_tiles(f, "open"))
+    return back.select(F.col("id").cast("bigint").alias("l_orderkey"), _line_text(F.col("geometry")[0][0]).alias("line"), F.col("indices").isNull().alias("no_indices"), F.col("tessellation").isNull().alias("no_tessellation"), F.round(F.col("bbox.left") * 1000).cast("bigint").alias("left_e3"))
 
 
 @query(f"WITH {POINTS_SQL} SELECT l_orderkey, string_agg(CAST(l_quantity AS BIGINT), ',' ORDER BY pos) AS m FROM p GROUP BY l_orderkey HAVING count(*) > 1")
@@ -207,18 +282,103 @@ def offset_zip(spark, sf_dir):
     return line_features(spark, sf_dir).select(F.col("id").cast("bigint").alias("l_orderkey"), lines[0].offset.alias("offset"))
 
 
-@query("""SELECT c_custkey, CAST(floor((c_custkey % 1009) / 1009.0::DOUBLE * 4096 + 0.5) AS BIGINT) AS x, CAST(floor((c_custkey % 787) / 787.0::DOUBLE * 4096 + 0.5) AS BIGINT) AS y, CASE WHEN c_custkey % 6 IN (0, 2, 4) THEN NULL ELSE CAST(floor(0.25 * 4096 + 0.5) AS BIGINT) END AS z, CAST([1, 1, 2, 2, 3, 3][c_custkey % 6 + 1] + CASE WHEN c_custkey % 2 = 1 THEN 3 ELSE 0 END AS INT) AS type FROM customer""")
+KINDS = ("Point", "MultiPoint", "LineString", "MultiLineString", "Polygon", "MultiPolygon")
+
+
+def unit_features(spark, sf_dir):
+    """A feature of the unit square per customer, of each of six kinds, flat and solid: one, two or three vertices a part, two
+    parts where the kind has parts."""
+    k = F.col("c_custkey")
+    is_3d = k % 2 == 1
+    at = lambda d: F.struct(((k % 1009 + d) / F.lit(1024.0)).alias("x"), ((k % 787 + d) / F.lit(1024.0)).alias("y"), F.when(is_3d, 0.25).alias("z"), F.when(k % 5 == 0, F.struct((k % 11).alias("w"))).alias("m"))
+    two, three = F.array(at(0), at(1)), F.array(at(0), at(2), at(0))
+    nest = [at(0), two, two, F.array(two, three), F.array(three), F.array(F.array(three), F.array(three))]
+    kind = F.floor(k / 2) % 6
+    text = F.coalesce(*[F.when(kind == i, F.to_json(F.struct(n.alias("c")))) for i, n in enumerate(nest)])
+    c = table(spark, sf_dir, "customer")
+    name = F.element_at(F.array(*map(F.lit, KINDS)), (kind + 1).cast("int"))
+    layer = F.when(k % 3 == 0, "fine").otherwise("plain")
+    return c.select(tile_of("c_custkey").alias("tile_id"), layer.alias("layer"), k.cast("int").alias("fid"), k.cast("decimal(20,0)").alias("id"), name.alias("geometry_type"), is_3d.alias("is_3d"), F.get_json_object(text, "$.c").alias("coordinates"), F.to_json(F.struct(k.alias("k"))).alias("properties"), F.lit(True).alias("transformed"))
+
+
+_UNIT = """WITH c AS (SELECT c_custkey, (c_custkey // 2) % 6 AS kind, c_custkey % 2 = 1 AS solid, CASE WHEN c_custkey % 3 = 0 THEN 8192 ELSE 4096 END AS extent FROM customer),
+v(kind, poly, ring, pos, d) AS (VALUES (0, 0, 0, 0, 0), (1, 0, 0, 0, 0), (1, 0, 0, 1, 1), (2, 0, 0, 0, 0), (2, 0, 0, 1, 1), (3, 0, 0, 0, 0), (3, 0, 0, 1, 1), (3, 0, 1, 0, 0), (3, 0, 1, 1, 2), (3, 0, 1, 2, 0),
+  (4, 0, 0, 0, 0), (4, 0, 0, 1, 2), (4, 0, 0, 2, 0), (5, 0, 0, 0, 0), (5, 0, 0, 1, 2), (5, 0, 0, 2, 0), (5, 1, 0, 0, 0), (5, 1, 0, 1, 2), (5, 1, 0, 2, 0))
+SELECT c_custkey, CASE WHEN extent = 8192 THEN 'fine' ELSE 'plain' END AS layer, CAST(extent AS INT) AS extent, CAST(kind // 2 + 1 + CASE WHEN solid THEN 3 ELSE 0 END AS INT) AS type, CAST(poly AS INT) AS poly, CAST(ring AS INT) AS ring, CAST(pos AS INT) AS pos,
+  CAST((c_custkey % 1009 + d) * extent // 1024 AS BIGINT) AS x, CAST((c_custkey % 787 + d) * extent // 1024 AS BIGINT) AS y, CASE WHEN solid THEN CAST(extent // 4 AS BIGINT) END AS z,
+  CASE WHEN c_custkey % 5 = 0 AND kind > 0 THEN CAST(c_custkey % 11 AS BIGINT) END AS w FROM c JOIN v USING (kind)"""
+
+
+@query(_UNIT)
 def unit_square(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 1009 / F.lit(1009.0)).alias("x"), (F.col("c_custkey") % 787 / F.lit(787.0)).alias("y"))
-    kinds = ("Point", "MultiPoint", "LineString", "MultiLineString", "Polygon", "MultiPolygon")
-    is_3d = F.col("c_custkey") % 2 == 1
-    p = F.struct("x", "y", F.when(is_3d, 0.25).alias("z"))
-    name = F.element_at(F.array(*map(F.lit, kinds)), (F.col("c_custkey") % 6 + 1).cast("int"))
-    nest = [p, F.array(p), F.array(p), F.array(F.array(p)), F.array(F.array(p)), F.array(F.array(F.array(p)))]
-    text = F.coalesce(*[F.when(F.col("c_custkey") % 6 == i, F.to_json(F.struct(n.alias("c")))) for i, n in enumerate(nest)])
-    c = c.withColumn("coordinates", F.get_json_object(text, "$.c")).withColumn("type", reshape.unit_type(name, is_3d))
-    g = reshape.from_unit_square(F.col("type"), reshape.unit_geometry(name, F.col("coordinates")), F.lit(4096))
-    return c.select("c_custkey", g[0][0][0].alias("v"), "type").select("c_custkey", "v.x", "v.y", "v.z", "type")
+    """Whole tiles of the unit square as columnar tiles with a guide, every vertex read back; a lone point has no m-values."""
+    made = encode.from_unit_square(unit_features(spark, sf_dir), "open", {"fine": (8192, None, None)})
+    f = tiles.features(made, ["id", "layer", "extent", "type", "geometry"])
+    v = reshape.vertices(f, ["id", "layer", "extent", "type"])
+    # Of a feature with m-values every vertex has one, of others none.
+    return v.select(F.col("id").cast("bigint").alias("c_custkey"), "layer", "extent", "type", "poly", "ring", "pos", "x", "y", "z", F.get_json_object("m", "$.w").cast("bigint").alias("w"))
+
+
+@query("SELECT c_custkey, CAST(c_custkey // 2 % 6 // 2 + 1 AS INT) AS type, CASE WHEN c_custkey % 3 = 0 THEN 'fine' ELSE 'plain' END AS layer FROM customer WHERE c_custkey % 2 = 0")
+def unit_square_to_mvt(spark, sf_dir):
+    """Flat features as row-oriented tiles."""
+    f = unit_features(spark, sf_dir).where("NOT is_3d")
+    return tiles.features(encode.from_unit_square(f, "mvt"), ["id", "type", "layer"], rows_only=True).select(F.col("id").cast("bigint").alias("c_custkey"), "type", "layer")
+
+
+@query(f"WITH o AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey // {SPAN} ORDER BY l_orderkey) - 1 AS k, l_orderkey // {SPAN} AS t FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1) SELECT kind, t AS tile, l_orderkey FROM o, (VALUES ('mvt'), ('open')) AS v(kind) WHERE k = 5")
+def feature_by_index(spark, sf_dir):
+    """The sixth feature of each tile, by its position in the layer; tiles that have fewer are skipped."""
+    out = None
+    for kind in ("mvt", "open"):
+        f = tiles.features(encode.encode_tiles(line_features(spark, sf_dir), kind), ["id"], only=5, missing="skip")
+        f = f.select(F.lit(kind).alias("kind"), F.col("tile_id").cast("bigint").alias("tile"), F.col("id").cast("bigint").alias("l_orderkey"))
+        out = f if out is None else out.unionByName(f)
+    return out
+
+
+@query("WITH g AS (SELECT p_brand, (count(*) + 9) // 10 AS n FROM part GROUP BY p_brand) SELECT kind, p_brand, n > 1 AND (kind = 'mvt' OR NOT rows_only) AS readable, CASE WHEN rows_only AND kind = 'open' THEN 'unknown tag: 4' WHEN n <= 1 THEN 'feature index out of bounds' END AS problem, rows_only FROM g, (VALUES ('mvt'), ('open')) AS v(kind), (VALUES (TRUE), (FALSE)) AS w(rows_only)")
+def mvt_only_reader(spark, sf_dir):
+    """Whether the second feature of each tile can be read, by a reader of row-oriented tiles alone and by one of all."""
+    out = None
+    for kind in ("mvt", "open"):
+        made = encode.encode_tiles(part_polygons(spark, sf_dir), kind)
+        for rows_only in (True, False):
+            r = tiles.readable(made, rows_only=rows_only, only=1).select(F.lit(kind).alias("kind"), F.col("tile_id").alias("p_brand"), "readable", "problem", F.lit(rows_only).alias("rows_only"))
+            out = r if out is None else out.unionByName(r)
+    return out
+
+
+@query(f"SELECT l_orderkey // {SPAN} AS tile, 'orders' AS layer, '{{\"k\":\"u64\",\"n\":\"u64\"}}' AS shape, '{{\"q\":\"u64\"}}' AS mshape, count(*) AS n_features FROM (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1) GROUP BY ALL")
+def layer_shapes(spark, sf_dir):
+    made = tiles.layers(encode.encode_tiles(line_features(spark, sf_dir), "open"))
+    return made.select(F.col("tile_id").cast("bigint").alias("tile"), "layer", "shape", "mshape", F.col("n_features").cast("bigint").alias("n_features"))
+
+
+@query("WITH g AS (SELECT p_brand, (count(*) + 9) // 10 AS n FROM part GROUP BY p_brand) SELECT p_brand, columnar, layer, CASE WHEN layer = 'parts' THEN 'open' ELSE columnar END AS kind, n AS n_features FROM g, (VALUES ('open')) AS w(columnar), (VALUES ('parts'), ('rows')) AS v(layer) WHERE layer = 'rows' UNION ALL SELECT p_brand, 'rewritten', layer, 'open', n FROM g, (VALUES ('parts'), ('rows')) AS v(layer)")
+def columnar_layers_are_skipped(spark, sf_dir):
+    """Tiles with a columnar and a row-oriented layer (a tile's parts may be put one after another), transcoded both ways."""
+    f = part_polygons(spark, sf_dir)
+    rows = encode.encode_tiles(f.withColumn("layer", F.lit("rows")), "mvt").withColumnRenamed("content", "more")
+    both = encode.encode_tiles(f, "open").join(rows, "tile_id").select("tile_id", F.concat("content", "more").alias("content"))
+    out = None
+    for how, name in (("skip", "open"), ("rewrite", "rewritten")):
+        x = tiles.layers(encode.transcode(both, "open", columnar=how)).select(F.col("tile_id").alias("p_brand"), F.lit(name).alias("columnar"), "layer", "kind", F.col("n_features").cast("bigint").alias("n_features"))
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+@query(f"WITH o AS (SELECT l_orderkey, l_orderkey // {SPAN} AS t, count(*) AS n FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1), f AS (SELECT t, l_orderkey, 0 AS part, FALSE AS late FROM o UNION ALL SELECT t, l_orderkey, 1, l_orderkey % 7 = 3 FROM o WHERE l_orderkey % 7 >= 3) SELECT t AS tile, CASE WHEN late THEN 'late' ELSE 'orders' END AS layer, row_number() OVER (PARTITION BY t, late ORDER BY part, l_orderkey) - 1 AS fid, l_orderkey, part, CASE WHEN late THEN '{{\"k\":\"i64\"}}' WHEN bool_or(part = 1) OVER (PARTITION BY t, late) THEN '{{\"k\":\"i64\",\"n\":\"u64\"}}' ELSE '{{\"k\":\"u64\",\"n\":\"u64\"}}' END AS shape FROM f")
+def add_features(spark, sf_dir):
+    """Features added to a layer that is there, and to one that isn't; the shapes widen to what was added."""
+    f = line_features(spark, sf_dir)
+    late = F.when(F.col("fid") % 7 == 3, "late").otherwise("orders")
+    more = f.where("fid % 7 >= 3").withColumn("layer", late).withColumn("properties", F.to_json(F.struct((-F.col("fid")).alias("k")))).withColumn("offsets", F.lit(None).cast("array<array<double>>"))
+    made = encode.encode_tiles(reshape.add_features(f, more), "open")
+    shape = tiles.layers(made).select("tile_id", "layer", "shape")
+    k = F.variant_get(F.parse_json("properties"), "$.k", "bigint")
+    back = tiles.features(made, ["layer", "fid", "id", "properties"]).join(shape, ["tile_id", "layer"])
+    return back.select(F.col("tile_id").cast("bigint").alias("tile"), "layer", F.col("fid").cast("bigint").alias("fid"), F.col("id").cast("bigint").alias("l_orderkey"), F.when(k < 0, 1).otherwise(0).alias("part"), "shape")
 
 
 # Dictionaries
@@ -270,10 +430,15 @@ def layer_union_lastwins(spark, sf_dir):
     return reshape.layer_union(t.where("layer_ord <= 3"), t.where("layer_ord > 3")).select("tile_id", "layer", "n_features")
 
 
-@query("WITH n AS (SELECT 'items_' || l_returnflag AS layer, l_orderkey % 32 AS t, count(*) AS n FROM lineitem GROUP BY ALL) SELECT layer, count(*) AS n_layers FROM n WHERE n > 0 GROUP BY layer")
+@query(f"WITH t AS (SELECT DISTINCT l_orderkey // {SPAN} AS t FROM lineitem), l(layer) AS (VALUES ('items_A'), ('items_N'), ('items_R'), ('void')), n AS (SELECT 'items_' || l_returnflag AS layer, l_orderkey // {SPAN} AS t, count(*) AS n FROM lineitem GROUP BY ALL) SELECT kind, t.t AS tile, layer, coalesce(n, 0) AS n_features FROM t CROSS JOIN l CROSS JOIN (VALUES ('mvt'), ('open')) AS v(kind) LEFT JOIN n USING (t, layer) WHERE kind = 'open' OR n > 0")
 def empty_layers(spark, sf_dir):
-    made = tiles.layers(encode.encode_tiles(point_features(spark, sf_dir), "mvt"))
-    return made.where("n_features > 0 AND kind <> 'open'").groupBy("layer").agg(F.count("*").alias("n_layers"))
+    """Layers that are written whether they have features or not: row-oriented ones without any are left out on reading."""
+    out = None
+    for kind in ("mvt", "open"):
+        made = tiles.layers(encode.encode_tiles(point_features(spark, sf_dir), kind, always=("items_A", "items_N", "items_R", "void")))
+        made = made.select(F.lit(kind).alias("kind"), F.col("tile_id").cast("bigint").alias("tile"), "layer", F.col("n_features").cast("bigint").alias("n_features"))
+        out = made if out is None else out.unionByName(made)
+    return out
 
 
 @query("WITH f AS (SELECT o_orderkey, 1 + o_orderkey % 3 AS type, o_orderstatus FROM orders) SELECT o_orderstatus, o_orderkey, CAST(row_number() OVER (PARTITION BY o_orderstatus ORDER BY type, o_orderkey) - 1 AS INT) AS position FROM f")
@@ -299,9 +464,9 @@ def shape_infer(spark, sf_dir):
     return shapes.infer(shapes.typed_paths(mixed_json(spark, sf_dir), "props", ["o_orderstatus"]), ["o_orderstatus"])
 
 
-@query("WITH l AS (SELECT max(o_orderkey) AS k, o_orderstatus FROM orders WHERE o_orderkey > 0 GROUP BY o_orderstatus) SELECT o_orderstatus, CASE WHEN k % 2 = 0 THEN 'i64' ELSE 'u64' END AS type FROM l")
+@query("WITH l AS (SELECT max(o_orderkey) AS k, o_orderstatus FROM orders GROUP BY o_orderstatus) SELECT o_orderstatus, CASE WHEN k % 2 = 0 AND k > 0 THEN 'i64' ELSE 'u64' END AS type FROM l")
 def shape_infer_last(spark, sf_dir):
-    paths = shapes.typed_paths(mixed_json(spark, sf_dir).where("o_orderkey > 0"), "props", ["o_orderstatus", "o_orderkey"], depth=1)
+    paths = shapes.typed_paths(mixed_json(spark, sf_dir), "props", ["o_orderstatus", "o_orderkey"], depth=1)
     return shapes.infer_last(paths, ["o_orderstatus"], "o_orderkey").where("path = 'b'").select("o_orderstatus", "type")
 
 
@@ -312,6 +477,19 @@ def shape_widen(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", shapes.widen_array(lists).alias("type"))
 
 
+#: Texts that are shapes and texts that aren't.
+SHAPE_TEXTS = (
+    ('{"a":"i64","b":["string"],"c":{"d":"f64","e":"bool","f":"null"}}', True), ('{"arr":["f32","string","bool"]}', False), ('{"arr":[{"a":"f32","b":{"c":"bool"},"c":"bool"}]}', False), ('{"arr":[["f32","string","bool"]]}', False),
+    ('{"arr":[{"a":"f32","b":"u64"}]}', True), ('{"a":{"b":{"c":["u64"]}}}', True), ('{"a":"text"}', False), ('["string"]', False), ('"string"', False), ("{}", True), ('{"a":[]}', False), ("no JSON", False),
+)
+
+
+@query(f"SELECT o_orderkey, ([{', '.join(str(ok).upper() for _, ok in SHAPE_TEXTS)}])[o_orderkey % {len(SHAPE_TEXTS)} + 1] AS valid FROM orders")
+def shape_valid(spark, sf_dir):
+    text = F.element_at(F.array(*[F.lit(t) for t, _ in SHAPE_TEXTS]), (F.col("o_orderkey") % len(SHAPE_TEXTS) + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", shapes.is_valid(text).alias("valid"))
+
+
 @query("SELECT event_id, '{\"k\":' || CAST(json_extract(props, '$.k') AS BIGINT) || ',\"missing\":\"\",\"zero\":0.0,\"flag\":false,\"none\":null}' AS props FROM events")
 def props_default(spark, sf_dir):
     shape = {"k": "i64", "missing": "string", "zero": "f64", "flag": "bool", "none": "null"}
@@ -340,9 +518,9 @@ def tile_size_report(spark, sf_dir):
     """Average bytes by zoom and overall: row-oriented and columnar tiles, raw and compressed, and their difference."""
     f = line_features(spark, sf_dir).withColumn("tile_id", F.concat_ws("/", (F.col("fid") % 4).cast("string"), "tile_id"))
     mvt = encode.compressed_sizes(encode.encode_tiles(f, "mvt"))
-    col = encode.compressed_sizes(encode.encode_tiles(f, "open")).select("tile_id", *[F.col(c).alias(f"{c}_columnar") for c in ("raw", "gzip", "zstd")])
-    both = mvt.join(col, "tile_id").withColumn("zoom", F.split_part("tile_id", F.lit("/"), F.lit(1))).withColumn("raw_diff", F.col("raw_columnar") - F.col("raw")).withColumn("gzip_diff", F.col("gzip_columnar") - F.col("gzip"))
-    return reshape.average_by(both, "zoom", ["raw", "gzip", "zstd", "raw_columnar", "gzip_columnar", "zstd_columnar", "raw_diff", "gzip_diff"])
+    col = encode.compressed_sizes(encode.encode_tiles(f, "open")).select("tile_id", *[F.col(c).alias(f"{c}_columnar") for c in ("raw", *encode.CODECS)])
+    both = mvt.join(col, "tile_id").withColumn("zoom", F.split_part("tile_id", F.lit("/"), F.lit(1))).withColumn("raw_diff", F.col("raw_columnar") - F.col("raw")).withColumn("brotli_diff", F.col("brotli_columnar") - F.col("brotli"))
+    return reshape.average_by(both, "zoom", ["raw", *encode.CODECS, "raw_columnar", *(f"{c}_columnar" for c in encode.CODECS), "raw_diff", "brotli_diff"])
 
 
 # Additions: what the formats have no counterpart of
@@ -353,7 +531,7 @@ def addition_join_tiles(spark, sf_dir):
     """Tile features joined with a relational table."""
     c = table(spark, sf_dir, "customer")
     v = F.struct((F.col("c_custkey") % 4096).alias("x"), (F.col("c_custkey") % 3000).alias("y"), F.lit(None).cast("bigint").alias("z"), F.lit(None).cast("string").alias("m"))
-    f = c.select((F.col("c_custkey") % 8).cast("string").alias("tile_id"), F.lit("c").alias("layer"), F.col("c_custkey").cast("int").alias("fid"), F.col("c_custkey").cast("decimal(20,0)").alias("id"), F.lit(1).alias("type"), F.lit(4096).alias("extent"), F.to_json(F.struct(F.col("c_nationkey").alias("n"))).alias("properties"), F.array(F.array(F.array(v))).alias("geometry"))
+    f = c.select(tile_of("c_custkey").alias("tile_id"), F.lit("c").alias("layer"), F.col("c_custkey").cast("int").alias("fid"), F.col("c_custkey").cast("decimal(20,0)").alias("id"), F.lit(1).alias("type"), F.lit(4096).alias("extent"), F.to_json(F.struct(F.col("c_nationkey").alias("n"))).alias("properties"), F.array(F.array(F.array(v))).alias("geometry"))
     back = tiles.features(encode.encode_tiles(f, "mvt"), ["id", "properties"]).withColumn("k", F.variant_get(F.parse_json("properties"), "$.n", "int"))
     n = table(spark, sf_dir, "nation")
     return back.join(n, back.k == n.n_nationkey).groupBy("n_name").agg(F.count("*").alias("n"), F.sum("id").cast("bigint").alias("keys"))

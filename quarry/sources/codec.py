@@ -175,8 +175,9 @@ def commands(numbers: list[int], kind: int, flat: bool) -> list[list[list[tuple[
     return polys + group_rings(rings)
 
 
-def read_mvt_layer(data: memoryview, flat: bool, wanted: set[str] | None = None) -> dict:
-    """A layer with its features; what isn't among the wanted columns stays undecoded."""
+def read_mvt_layer(data: memoryview, flat: bool, wanted: set[str] | None = None, layers: set[str] | None = None, only: int | None = None, skip: bool = False) -> dict:
+    """A layer with its features; what isn't among the wanted columns stays undecoded, as do features of layers that aren't
+    asked for, and all but one where ``only`` is its index."""
     layer = {"kind": "flat" if flat else "mvt", "version": 1, "layer": "", "extent": 4096, "shape": None, "mshape": None}
     keys, values, raw = [], [], []
     for tag, _, v in fields(data):
@@ -187,22 +188,25 @@ def read_mvt_layer(data: memoryview, flat: bool, wanted: set[str] | None = None)
         elif tag == 2:
             raw.append(v)
         elif tag == 3:
-            keys.append(bytes(v).decode())
+            keys.append(v)
         elif tag == 4:
             values.append(v)
         elif tag == 5:
             layer["extent"] = v
+    layer["n_features"], layer["features"] = len(raw), []
+    if layers is not None and layer["layer"] not in layers:
+        return layer
     want = lambda name: wanted is None or name in wanted
-    values = [mvt_value(v) for v in values] if want("properties") else values
+    if want("properties"):
+        keys, values = [bytes(k).decode() for k in keys], [mvt_value(v) for v in values]
     #: Tags of id, properties, type, geometry, indices, tessellation.
     at = (15, 1, 2, 3, 4, 5) if flat else (1, 2, 3, 4, 5, 6)
-    layer["features"] = []
-    for fid, f in enumerate(raw):
+    for fid, f in chosen(raw, only, skip):
         parts = {tag: v for tag, _, v in fields(f)}
         kind = parts.get(at[2], 1)
         out = {"fid": fid, "id": parts.get(at[0]), "type": 3 if kind == 4 else kind, "properties": None, "geometry": None, "offsets": None, "bbox": None, "indices": None, "tessellation": None}
         if want("properties"):
-            pairs = packed(parts.get(at[1], memoryview(b"")))
+            pairs = packed(parts.get(at[1], b""))
             out["properties"] = {keys[k]: values[v] for k, v in zip(pairs[::2], pairs[1::2])}
         if want("geometry") and at[3] in parts:
             out["geometry"] = [[[(x, y, None, None) for x, y in r] for r in p] for p in commands(packed(parts[at[3]]), kind, flat)]
@@ -215,6 +219,17 @@ def read_mvt_layer(data: memoryview, flat: bool, wanted: set[str] | None = None)
     return layer
 
 
+def chosen(raw: list, only: int | None, skip: bool) -> list[tuple[int, object]]:
+    """(index, message) of all features, or of the one asked for; an index that no feature has is an error, or skipped."""
+    if only is None:
+        return list(enumerate(raw))
+    if not 0 <= only < len(raw):
+        if skip:
+            return []
+        raise ValueError("feature index out of bounds")
+    return [(only, raw[only])]
+
+
 def write_mvt_value(value) -> bytes:
     out = bytearray()
     if isinstance(value, bool):
@@ -349,8 +364,12 @@ def infer(values, last_wins: bool = False) -> dict:
     """The shape of many property objects."""
     out: dict = {}
     for v in values:
-        for k, t in type_of(v or {}).items():
-            out[k] = t if last_wins or k not in out else widen(out[k], t)
+        for k, x in (v or {}).items():
+            t = "string" if type(x) is str else type_of(x)
+            if last_wins or k not in out:
+                out[k] = t
+            elif out[k] != t:
+                out[k] = widen(out[k], t)
     return out
 
 
@@ -375,6 +394,15 @@ def check_shape(shape, inside: bool = False) -> None:
 # The columnar format
 
 
+#: The column of a scalar's type; truth values are numbers 0 and 1.
+COLUMN_OF = {"string": STRING, "u64": U64, "i64": I64, "f32": F32, "f64": F64, "bool": U64}
+
+
+def is_flat(shape) -> bool:
+    """Whether a shape is an object of scalars."""
+    return isinstance(shape, dict) and all(isinstance(t, str) for t in shape.values())
+
+
 class Columns:
     """The cache of a tile that is written: each value once per column. Numbers are referred to by value until the end, as
     their columns are ordered by how often a value is used."""
@@ -414,27 +442,38 @@ class Columns:
         return self.add(SHAPES, tuple(out))
 
     def value(self, value, shape) -> int:
-        out: list = []
-
-        def put_value(v, s) -> None:
-            if isinstance(s, list):
-                v = v if isinstance(v, (list, tuple)) else []
-                out.append(len(v))
-                for x in v:
-                    put_value(x, s[0])
-            elif isinstance(s, dict):
-                for k, t in s.items():
-                    put_value(v.get(k) if isinstance(v, dict) else None, t)
-            elif s == "string":
-                out.append(self.add(STRING, "" if v is None else v if isinstance(v, str) else json.dumps(v)))
-            elif s == "bool":
-                out.append(self.refer(U64, 1 if v else 0))
-            elif s != "null":
-                out.append(self.refer({"u64": U64, "i64": I64, "f32": F32, "f64": F64}[s], v or 0))
-
-        put_value(value, shape)
+        if is_flat(shape):
+            out: list = []
+            for k, t in shape.items():
+                v = value.get(k)
+                if t == "string" and type(v) is str:
+                    out.append(self.add(STRING, v))
+                elif t == "u64" and type(v) is int:
+                    self.numbers[U64][v] = self.numbers[U64].get(v, 0) + 1
+                    out.append((U64, v))
+                else:
+                    self.put_value(out, v, t)
+        else:
+            out = []
+            self.put_value(out, value, shape)
         return self.add(SHAPES, tuple(out))
 
+    def put_value(self, out: list, v, s) -> None:
+        if isinstance(s, list):
+            v = v if isinstance(v, (list, tuple)) else []
+            out.append(len(v))
+            for x in v:
+                self.put_value(out, x, s[0])
+        elif isinstance(s, dict):
+            for k, t in s.items():
+                self.put_value(out, v.get(k) if isinstance(v, dict) else None, t)
+        elif s == "string":
+            out.append(self.add(STRING, "" if v is None else v if isinstance(v, str) else json.dumps(v)))
+        elif s == "bool":
+            out.append(self.refer(U64, 1 if v else 0))
+        elif s != "null":
+            out.append(self.refer(COLUMN_OF[s], v or 0))
+
     def write(self) -> bytes:
         out = bytearray()
         rank = {c: {v: i for i, v in enumerate(sorted(n, key=lambda v: (-n[v], v)))} for c, n in self.numbers.items()}
@@ -460,13 +499,14 @@ class Cache:
 
     def __init__(self, data: memoryview) -> None:
         self.raw: dict[int, list] = {c: [] for c in range(1, 11)}
-        self.known: dict[tuple[int, int], object] = {}
+        self.known: dict[int, dict[int, object]] = {c: {} for c in range(1, 11)}
         for tag, kind, v in fields(data):
             if tag in self.raw:
                 self.raw[tag].append((kind, v))
 
     def get(self, column: int, index: int):
-        if (column, index) not in self.known:
+        known = self.known[column]
+        if index not in known:
             kind, v = self.raw[column][index]
             if column == STRING:
                 got = bytes(v).decode()
@@ -486,8 +526,8 @@ class Cache:
                 got = packed(v)
             else:
                 got = box_values(bytes(v))
-            self.known[column, index] = got
-        return self.known[column, index]
+            known[index] = got
+        return known[index]
 
     def shape(self, index: int):
         numbers = iter(self.get(SHAPES, index))
@@ -503,6 +543,9 @@ class Cache:
         return build()
 
     def value(self, index: int, shape):
+        if is_flat(shape):
+            row, get = iter(self.get(SHAPES, index)), self.get
+            return {k: None if t == "null" else get(U64, next(row)) != 0 if t == "bool" else get(COLUMN_OF[t], next(row)) for k, t in shape.items()}
         numbers = iter(self.get(SHAPES, index))
 
         def build(s):
@@ -532,6 +575,7 @@ def write_open_feature(f: dict, shape: dict, mshape: dict | None, cache: Columns
     has_m = mshape is not None and any(v[3] is not None for r in lines for v in r)
     has_offsets = form > 1 and is_offset(f.get("offsets"))
     single = len(lines[0] if lines else []) == 1 if form == 1 else len(lines if form == 2 else geometry) == 1
+    indices, tessellation = (f.get("indices"), f.get("tessellation")) if form == 3 else (None, None)  # polygons alone have them
     place = lambda v: (v[0], v[1], v[2] or 0) if three else (v[0], v[1])
 
     def line(r) -> list[int]:
@@ -549,7 +593,7 @@ def write_open_feature(f: dict, shape: dict, mshape: dict | None, cache: Columns
         return [math.floor(value * 1000)]
 
     out = bytearray()
-    flags = (f.get("id") is not None) | (f.get("bbox") is not None) << 1 | has_offsets << 2 | bool(f.get("indices")) << 3 | bool(f.get("tessellation")) << 4 | has_m << 5 | single << 6
+    flags = (f.get("id") is not None) | (f.get("bbox") is not None) << 1 | has_offsets << 2 | bool(indices) << 3 | bool(tessellation) << 4 | has_m << 5 | single << 6
     wire.put_varint(out, kind)
     wire.put_varint(out, flags)
     if f.get("id") is not None:
@@ -577,10 +621,10 @@ def write_open_feature(f: dict, shape: dict, mshape: dict | None, cache: Columns
                 index += offset(p, r) + line(points)
         where = cache.add(INDICES, tuple(index))
     wire.put_varint(out, where)
-    if f.get("indices"):
-        wire.put_varint(out, cache.add(INDICES, tuple(f["indices"])))
-    if f.get("tessellation"):
-        wire.put_varint(out, cache.add(column, tuple(map(place, f["tessellation"]))))
+    if indices:
+        wire.put_varint(out, cache.add(INDICES, tuple(indices)))
+    if tessellation:
+        wire.put_varint(out, cache.add(column, tuple(map(place, tessellation))))
     if f.get("bbox") is not None:
         wire.put_varint(out, cache.add(BBOXES, tuple(v for v in f["bbox"] if v is not None)))
     return bytes(out)
@@ -635,7 +679,8 @@ def read_open_feature(data: memoryview, fid: int, cache: Cache, shape, mshape, w
     return out
 
 
-def read_open_layer(data: memoryview, cache: Cache, wanted: set[str] | None = None) -> dict:
+def read_open_layer(data: memoryview, cache: Cache, wanted: set[str] | None = None, layers: set[str] | None = None, only: int | None = None, skip: bool = False) -> dict:
+    """As read_mvt_layer, of a columnar layer."""
     layer = {"kind": "open", "version": 1, "layer": "", "extent": 4096, "shape": {}, "mshape": None}
     raw = []
     for tag, _, v in fields(data):
@@ -651,7 +696,9 @@ def read_open_layer(data: memoryview, cache: Cache, wanted: set[str] | None = No
             layer["shape"] = cache.shape(v)
         elif tag == 6:
             layer["mshape"] = cache.shape(v)
-    layer["features"] = [read_open_feature(f, i, cache, layer["shape"], layer["mshape"], wanted) for i, f in enumerate(raw)]
+    layer["n_features"], layer["features"] = len(raw), []
+    if layers is None or layer["layer"] in layers:
+        layer["features"] = [read_open_feature(f, i, cache, layer["shape"], layer["mshape"], wanted) for i, f in chosen(raw, only, skip)]
     return layer
 
 
@@ -736,16 +783,25 @@ def read_image(data: memoryview) -> dict:
 # Tiles
 
 
-def read_tile(data: bytes, wanted: set[str] | None = None, layers: set[str] | None = None) -> dict[str, list[dict]]:
+#: Tags that a reader of row-oriented tiles knows.
+ROW_TAGS = (FLAT, MVT)
+
+
+def read_tile(data: bytes, wanted: set[str] | None = None, layers: set[str] | None = None, rows_only: bool = False, only: int | None = None, skip: bool = False, count: bool = False) -> dict[str, list[dict]]:
     """All of a tile: layers (with features), grids, images. Row-oriented layers without features are left out, and of
-    layers, grids or images of one name the last stays."""
+    layers, grids or images of one name the last stays. layers: the names of those wanted, the others' features stay
+    undecoded. rows_only: any part that isn't a row-oriented layer is an error. only: the index of the feature wanted,
+    skip: of layers that have it. count: features are counted, not decoded."""
+    named = set() if count else layers
     found: dict[str, dict] = {"layers": {}, "grids": {}, "images": {}}
     cache, waiting = None, []
     for tag, _, v in fields(memoryview(data)):
-        if tag in (FLAT, MVT):
-            layer = read_mvt_layer(v, tag == FLAT, wanted)
-            if layer["features"]:
+        if tag in ROW_TAGS:
+            layer = read_mvt_layer(v, tag == FLAT, wanted, named, only, skip)
+            if layer["n_features"]:
                 found["layers"][layer["layer"]] = layer
+        elif rows_only:
+            raise ValueError(f"unknown tag: {tag}")
         elif tag == OPEN:
             waiting.append(v)
         elif tag == CACHE:
@@ -759,7 +815,7 @@ def read_tile(data: bytes, wanted: set[str] | None = None, layers: set[str] | No
     if waiting and cache is None:
         raise ValueError("a tile with columnar layers has no column cache")
     for v in waiting:
-        layer = read_open_layer(v, cache, wanted)
+        layer = read_open_layer(v, cache, wanted, named, only, skip)
         found["layers"][layer["layer"]] = layer
     out = {k: list(v.values()) for k, v in found.items()}
     if layers is not None:

@@ -20,7 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from . import codec, model
 
 ZXY = r"(\d+)[/_-](\d+)[/_-](\d+)\.\w+(?:\.\w+)?$"
-VERTEX_NAMES, BOX_NAMES = ("x", "y", "z", "m"), ("left", "bottom", "right", "top", "near", "far")
+BOX_NAMES = ("left", "bottom", "right", "top", "near", "far")
 
 
 def _text(value) -> str | None:
@@ -50,51 +50,117 @@ def feature_rows(tile: dict, names: list[str]) -> Iterator[dict]:
 
 def layer_rows(tile: dict) -> Iterator[dict]:
     for i, x in enumerate(tile["layers"]):
-        yield {"layer_ord": i, "kind": x["kind"], "version": x["version"], "layer": x["layer"], "extent": x["extent"], "shape": _text(x["shape"]), "mshape": _text(x["mshape"]), "n_features": len(x["features"])}
-
-
-def _parse(tiles: DataFrame, schema: T.StructType, rows, key: str, content: str, wanted: set[str] | None, layers: set[str] | None) -> DataFrame:
+        yield {"layer_ord": i, "kind": x["kind"], "version": x["version"], "layer": x["layer"], "extent": x["extent"], "shape": _text(x["shape"]), "mshape": _text(x["mshape"]), "n_features": x["n_features"]}
+
+
+def _nested(geometries: list, kind: pa.DataType) -> pa.Array:
+    """Geometries (polygon, ring, vertex tuples; None where there is none) as one array of the nested type."""
+    polys, rings, points = [0], [0], [0]
+    axes: list[list] = [[], [], [], []]
+    for g in geometries:
+        for poly in g or ():
+            for ring in poly:
+                if ring:
+                    for a, v in zip(axes, zip(*ring)):
+                        a.extend(v)
+                points.append(len(axes[0]))
+            rings.append(len(points) - 1)
+        polys.append(len(rings) - 1)
+    axes[3] = [_text(m) for m in axes[3]]
+    vertex = kind.value_type.value_type.value_type
+    flat = pa.StructArray.from_arrays([pa.array(a, f.type) for a, f in zip(axes, vertex)], fields=list(vertex))
+    made = pa.ListArray.from_arrays(pa.array(points, pa.int32()), flat, type=kind.value_type.value_type)
+    made = pa.ListArray.from_arrays(pa.array(rings, pa.int32()), made, type=kind.value_type)
+    return pa.ListArray.from_arrays(pa.array(polys, pa.int32()), made, type=kind, mask=pa.array([g is None for g in geometries], pa.bool_()))
+
+
+def feature_batch(tile: dict, schema: pa.Schema, key: str, value) -> pa.RecordBatch:
+    """A parsed tile's features as columns of the schema, whose first one is the tile's key."""
+    made = [(x, f) for x in tile["layers"] for f in x["features"]]
+    out = []
+    for field in schema:
+        name = field.name
+        if name == key:
+            out.append(pa.array([value] * len(made), field.type))
+        elif name in ("layer", "kind", "extent"):
+            out.append(pa.array([x[name] for x, _ in made], field.type))
+        elif name == "id":
+            out.append(pa.array([f["id"] for _, f in made], pa.uint64()).cast(field.type))
+        elif name == "properties":
+            out.append(pa.array([_text(f["properties"]) for _, f in made], field.type))
+        elif name == "geometry":
+            out.append(_nested([f["geometry"] for _, f in made], field.type))
+        elif name == "bbox":
+            out.append(pa.array([f["bbox"] and dict(zip(BOX_NAMES, f["bbox"])) for _, f in made], field.type))
+        elif name == "tessellation":
+            out.append(pa.array([f["tessellation"] and [dict(zip("xyz", p)) for p in f["tessellation"]] for _, f in made], field.type))
+        else:
+            out.append(pa.array([f[name] for _, f in made], field.type))
+    return pa.RecordBatch.from_arrays(out, schema=schema)
+
+
+def _batches(tiles: DataFrame, schema: T.StructType, make, key: str, content: str) -> DataFrame:
+    """make(schema, key's value, bytes) gives a tile's rows as a batch; each goes out as it is made, so one tile is held."""
     out = T.StructType([tiles.schema[key], *schema])
     arrow = to_arrow_schema(out)
 
     def run(batches):
-        import decimal
-
         for batch in batches:
-            found = []
             for k, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if data.is_valid:
                     try:
-                        tile = codec.read_tile(data.as_py(), wanted, layers)
+                        made = make(arrow, k, data.as_py())
                     except (ValueError, IndexError, KeyError, StopIteration) as e:
                         raise ValueError(f"tile {k} can't be read: {e}") from e
-                    found += [{key: k, **r} for r in rows(tile)]
-            for r in found:
-                if r.get("id") is not None:
-                    r["id"] = decimal.Decimal(r["id"])
-            yield pa.RecordBatch.from_pylist(found, schema=arrow)
+                    if made.num_rows:
+                        yield made
 
     return tiles.select(key, content).mapInArrow(run, out)
 
 
-def features(tiles: DataFrame, columns: list[str] | None = None, layers: list[str] | None = None, key: str = "tile_id", content: str = "content") -> DataFrame:
-    """Features of a table of tiles (key, content); columns: those wanted (None for all); layers: their names (None: all)."""
+def _parse(tiles: DataFrame, schema: T.StructType, rows, key: str, content: str) -> DataFrame:
+    """Small tables of a tile (layers, grids, images), features undecoded."""
+    return _batches(tiles, schema, lambda arrow, k, data: pa.RecordBatch.from_pylist([{key: k, **r} for r in rows(codec.read_tile(data, set(), None, count=True))], schema=arrow), key, content)
+
+
+def features(tiles: DataFrame, columns: list[str] | None = None, layers: list[str] | None = None, key: str = "tile_id", content: str = "content", rows_only: bool = False, only: int | None = None, missing: str = "error") -> DataFrame:
+    """Features of a table of tiles (key, content); columns: those wanted (None for all); layers: their names (None: all).
+
+    rows_only: a tile with anything but row-oriented layers is an error. only: the one feature of each layer that has this
+    index (from 0); a layer that has fewer is an error, or has none where missing is "skip".
+    """
     schema = model.feature_schema(columns)
-    names = schema.names
-    return _parse(tiles, schema, lambda t: feature_rows(t, names), key, content, set(names), set(layers) if layers is not None else None)
+    wanted, named = set(schema.names), set(layers) if layers is not None else None
+    return _batches(tiles, schema, lambda arrow, k, data: feature_batch(codec.read_tile(data, wanted, named, rows_only, only, missing == "skip"), arrow, key, k), key, content)
 
 
 def layers(tiles: DataFrame, key: str = "tile_id", content: str = "content") -> DataFrame:
-    return _parse(tiles, model.LAYERS, layer_rows, key, content, set(), None)
+    """Layers with their shapes and numbers of features, which are counted, not decoded."""
+    return _batches(tiles, model.LAYERS, lambda arrow, k, data: pa.RecordBatch.from_pylist([{key: k, **r} for r in layer_rows(codec.read_tile(data, set(), None, count=True))], schema=arrow), key, content)
+
+
+def readable(tiles: DataFrame, key: str = "tile_id", content: str = "content", rows_only: bool = False, only: int | None = None) -> DataFrame:
+    """key, readable, problem: whether each tile can be read in this way (see features()), and why not."""
+    schema = T.StructType([T.StructField("readable", T.BooleanType()), T.StructField("problem", T.StringType())])
+
+    def look(arrow, k, data):
+        try:
+            codec.read_tile(data, set(), None, rows_only, only)
+            problem = None
+        except (ValueError, IndexError, KeyError, StopIteration) as e:
+            problem = str(e)
+        return pa.RecordBatch.from_pylist([{key: k, "readable": problem is None, "problem": problem}], schema=arrow)
+
+    return _batches(tiles, schema, look, key, content)
 
 
 def grids(tiles: DataFrame, key: str = "tile_id", content: str = "content") -> DataFrame:
     """Grids with their data as stored numbers; see ``functions.arrays.grid_decode``."""
-    return _parse(tiles, model.GRIDS, lambda t: t["grids"], key, content, set(), None)
+    return _parse(tiles, model.GRIDS, lambda t: t["grids"], key, content)
 
 
 def images(tiles: DataFrame, key: str = "tile_id", content: str = "content") -> DataFrame:
-    return _parse(tiles, model.IMAGES, lambda t: t["images"], key, content, set(), None)
+    return _parse(tiles, model.IMAGES, lambda t: t["images"], key, content)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:

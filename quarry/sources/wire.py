@@ -27,28 +27,39 @@ def fields(data: memoryview) -> Iterator[tuple[int, int, object]]:
     """(tag, wire type, value) of each field: an int, or a memoryview for length-delimited and fixed ones."""
     at, end = 0, len(data)
     while at < end:
-        key, at = varint(data, at)
+        key, at = (data[at], at + 1) if data[at] < 128 else varint(data, at)
         tag, kind = key >> 3, key & 7
         if kind == VARINT:
             value, at = varint(data, at)
-        elif kind == BYTES:
-            size, at = varint(data, at)
+        elif kind == BYTES or kind == FIXED32 or kind == FIXED64:
+            if kind == BYTES:
+                size, at = (data[at], at + 1) if data[at] < 128 else varint(data, at)
+            else:
+                size = 4 if kind == FIXED32 else 8
             value, at = data[at : at + size], at + size
             if at > end:
                 raise ValueError("a field runs past the end of its message")
-        elif kind in (FIXED32, FIXED64):
-            size = 4 if kind == FIXED32 else 8
-            value, at = data[at : at + size], at + size
         else:
             raise ValueError(f"unknown wire type {kind}")
         yield tag, kind, value
 
 
 def packed(data: memoryview) -> list[int]:
-    out, at, end = [], 0, len(data)
-    while at < end:
-        value, at = varint(data, at)
-        out.append(value)
+    raw = bytes(data)
+    if raw.isascii():  # every number is one byte
+        return list(raw)
+    out, value, shift = [], 0, 0
+    for byte in raw:
+        if byte < 128:
+            out.append(value | byte << shift if shift < 63 else (value | byte << shift) & MASK64)
+            value = shift = 0
+        else:
+            value |= (byte & 127) << shift
+            shift += 7
+            if shift > 63:
+                raise ValueError("a varint is longer than ten bytes")
+    if shift:
+        raise IndexError("a varint ends with its message")
     return out
 
 
@@ -92,9 +103,16 @@ def put_text(out: bytearray, tag: int, value: str) -> None:
 
 
 def put_packed(out: bytearray, tag: int, values: Iterable[int]) -> None:
+    values = values if isinstance(values, (list, tuple)) else list(values)
+    if not values or (max(values) < 128 and min(values) >= 0):
+        put_bytes(out, tag, bytes(values))
+        return
     body = bytearray()
     for v in values:
-        put_varint(body, v)
+        if 0 <= v < 128:
+            body.append(v)
+        else:
+            put_varint(body, v)
     put_bytes(out, tag, body)
 
 
