@@ -1,7 +1,7 @@
 """Array kernels as Column expressions, and the same over rows with windows.
 
-The array forms suit the short arrays of one geometry (running sums append to an array, which is quadratic); the row forms
-(suffix ``_rows``) take any length, one shuffle by the group's key.
+The array forms suit the arrays of one geometry, held in one row; the row forms (suffix ``_rows``) take any length, one
+shuffle by the group's key.
 """
 
 from __future__ import annotations
@@ -27,10 +27,27 @@ def _differences(a: Column, then: Callable[[Column], Column]) -> Column:
     return F.transform(a, lambda v, i: then(v.cast("bigint") - F.when(i > 0, F.get(a, i - 1)).otherwise(0).cast("bigint")))
 
 
-def _running(a: Column, first: Callable[[Column], Column]) -> Column:
+#: Elements up to which running sums are one fold; longer arrays are folded in blocks.
+SHORT = 256
+
+
+def _sums(a: Column) -> Column:
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(LONGS).alias("out"))
     step = lambda s, v: F.struct((s["at"] + v).alias("at"), F.array_append(s["out"], s["at"] + v).alias("out"))
-    return F.aggregate(F.transform(a, first), start, step, lambda s: s["out"])
+    return F.aggregate(a, start, step, lambda s: s["out"])
+
+
+def _running(a: Column, first: Callable[[Column], Column]) -> Column:
+    """Running sums. A fold copies what it has at each step, so long arrays go in blocks of about the root of their length:
+    sums within each block, sums of the blocks, and both added."""
+
+    def blocked(values: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(values))).cast("int")
+        blocks = let(size, lambda n: F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / n).cast("int")), lambda b: _sums(F.slice(values, b * n + 1, n))))
+        before = lambda sums: F.concat(F.array(F.lit(0).cast("bigint")), _sums(F.transform(sums, lambda x: F.element_at(x, -1))))
+        return let(blocks, lambda sums: let(before(sums), lambda start: F.flatten(F.transform(sums, lambda x, i: F.transform(x, lambda v: v + F.get(start, i))))))
+
+    return let(F.transform(a, first), lambda values: F.when(F.size(values) > SHORT, blocked(values)).otherwise(_sums(values)))
 
 
 def delta_encode(a: Column) -> Column:

@@ -6,6 +6,8 @@ formats give them; what a format would silently wrap is masked here on purpose a
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,15 +46,31 @@ def zagzig(c) -> Column:
     return F.shiftrightunsigned(c, 1).bitwiseXOR(-(c.bitwiseAND(F.lit(1).cast("bigint"))))
 
 
+@functools.cache
+def _table(values: tuple[int, ...]) -> Column:
+    return F.expr(f"array({', '.join(f'{v}L' for v in values)})")
+
+
+def _group(c: Column, first: int, size: int) -> Column:
+    """The number in ``size`` bits of c from bit ``first`` on."""
+    return F.shiftright(c, first).bitwiseAND(F.lit((1 << size) - 1).cast("bigint")).cast("int")
+
+
 def _bits(value: Column, every: int, at: int) -> Column:
-    """The 16 low bits of value set apart, bit i at place every * i + at; one fold, so value is evaluated once."""
-    one = F.lit(1).cast("bigint")
-    return F.aggregate(F.sequence(F.lit(0), F.lit(15)), F.struct(F.lit(0).cast("bigint").alias("r"), value.alias("v")), lambda a, i: F.struct(a["r"].bitwiseOR(F.call_function("shiftleft", F.call_function("shiftright", a["v"], i).bitwiseAND(one), i * every + at)).alias("r"), a["v"].alias("v")), lambda a: a["r"])
+    """The 16 low bits of value set apart, bit i at place every * i + at: two lookups, one for each byte."""
+    table = _table(tuple(sum(((v >> i) & 1) << (every * i + at) for i in range(8)) for v in range(256)))
+    return F.get(table, _group(value, 0, 8)).bitwiseOR(F.shiftleft(F.get(table, _group(value, 8, 8)), 8 * every))
 
 
 def _gather(value: Column, every: int, at: int) -> Column:
-    one = F.lit(1).cast("bigint")
-    return F.aggregate(F.sequence(F.lit(0), F.lit(15)), F.struct(F.lit(0).cast("bigint").alias("r"), value.alias("v")), lambda a, i: F.struct(a["r"].bitwiseOR(F.call_function("shiftleft", F.call_function("shiftright", a["v"], i * every + at).bitwiseAND(one), i)).alias("r"), a["v"].alias("v")), lambda a: a["r"])
+    """The 16 bits of value at places every * i + at, put together: a lookup for each group of ``every`` times three or four."""
+    step = 4 if every == 2 else 3
+    table = _table(tuple(sum(((v >> (every * i + at)) & 1) << i for i in range(step)) for v in range(1 << (every * step))))
+    out = None
+    for i in range(0, 16, step):
+        part = F.shiftleft(F.get(table, _group(value, every * i, every * step)), i)
+        out = part if out is None else out.bitwiseOR(part)
+    return out
 
 
 def weave2d(a, b) -> Column:

@@ -2,7 +2,7 @@
 
 Parsing is narrow: one pass over a BINARY column in Arrow batches, no shuffle. ``columns`` says which feature columns are
 wanted; others are neither decoded nor sent back. Tiles may also be read through ``spark.read.format("vtile")`` and
-``spark.readStream.format("vtile")``, which push filters on layer, kind, type and tile into the reader.
+``spark.readStream.format("vtile")``; the batch reader takes filters on layer, kind and type, by layer before decoding.
 """
 
 from __future__ import annotations
@@ -178,27 +178,44 @@ class _Part(InputPartition):
         self.paths = paths
 
 
-def _listed(path: str) -> list[tuple[str, float]]:
-    """Files below a path and their times, by any file system that Arrow knows."""
+def _system(path: str):
+    """The file system of a path or address, and the path in it."""
     import pyarrow.fs as fs
 
     if "://" not in path and not path.startswith("file:"):
-        system, root = fs.LocalFileSystem(), path
-    else:
-        system, root = fs.FileSystem.from_uri(path)
+        return fs.LocalFileSystem(), path
+    return fs.FileSystem.from_uri(path)
+
+
+def _root(path: str) -> str:
+    return _system(path)[1].rstrip("/")
+
+
+def _listed(path: str, there: bool = True) -> list[tuple[str, float]]:
+    """Files below a path and their times, by any file system that Arrow knows; there: whether it must be."""
+    import pyarrow.fs as fs
+
+    system, root = _system(path)
     info = system.get_file_info(root)
-    infos = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(root, recursive=True))
+    infos = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=not there))
     return sorted((i.path, i.mtime_ns or 0) for i in infos if i.type == fs.FileType.File and not i.base_name.startswith((".", "_")))
 
 
 def _opened(path: str, root: str) -> bytes:
-    import pyarrow.fs as fs
-
-    system = fs.LocalFileSystem() if "://" not in root and not root.startswith("file:") else fs.FileSystem.from_uri(root)[0]
-    with system.open_input_stream(path) as f:
+    with _system(root)[0].open_input_stream(path) as f:
         return f.read()
 
 
+def _written(path: str, root: str, data: bytes) -> None:
+    """A whole file or none: written beside its place and moved there."""
+    system = _system(root)[0]
+    folder, _, name = path.rpartition("/")
+    system.create_dir(folder, recursive=True)
+    with system.open_output_stream(f"{folder}/.{name}") as f:
+        f.write(data)
+    system.move(f"{folder}/.{name}", path)
+
+
 class _Rows:
     """What the batch and the stream reader share."""
 
@@ -242,18 +259,36 @@ class TileReader(_Rows, DataSourceReader):
 
 
 class TileStream(_Rows, DataSourceStreamReader):
-    """New files in order of (time, path); an offset is the last file taken."""
+    """New files as they are found, whatever their time or name. An offset is the number of a batch; a log names the files of
+    each. Option log: a folder for it, which a query needs to go on after a restart; else it is kept in memory."""
+
+    def __init__(self, schema: T.StructType, options: dict) -> None:
+        super().__init__(schema, options)
+        self.log = options.get("log")
+        self.batches: list[list[str]] = []
+        self.seen: set[str] = set()
+        for n in range(1, 1 + len(_listed(self.log, there=False)) if self.log else 1):
+            self._add(json.loads(_opened(f"{_root(self.log)}/{n:012}.json", self.log)))
+
+    def _add(self, paths: list[str]) -> None:
+        self.batches.append(paths)
+        self.seen.update(paths)
 
     def initialOffset(self):
-        return {"time": -1, "path": ""}
+        return {"batch": 0}
 
     def latestOffset(self):
-        files = [(t, p) for p, t in _listed(self.root)]
-        return dict(zip(("time", "path"), max(files))) if files else self.initialOffset()
+        new = [p for p, _ in _listed(self.root) if p not in self.seen]
+        if new:
+            if self.log:
+                _written(f"{_root(self.log)}/{len(self.batches) + 1:012}.json", self.log, json.dumps(new).encode())
+            self._add(new)
+        return {"batch": len(self.batches)}
 
     def partitions(self, start, end):
-        low, high = (start["time"], start["path"]), (end["time"], end["path"])
-        paths = [p for t, p in sorted((t, p) for p, t in _listed(self.root)) if low < (t, p) <= high]
+        if end["batch"] > len(self.batches):
+            raise ValueError("to go on after a restart, this stream needs the option log, a folder that holds what it has read")
+        paths = [p for b in self.batches[start["batch"] : end["batch"]] for p in b]
         return [_Part(paths[i : i + 64]) for i in range(0, len(paths), 64)] or [_Part([])]
 
     def read(self, partition):

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from ..sources import tiles
 
 
-def read_stream(spark: SparkSession, path: str, columns: str | None = None) -> DataFrame:
-    """Features of tile files as they arrive under a path."""
+def read_stream(spark: SparkSession, path: str, columns: str | None = None, log: str | None = None) -> DataFrame:
+    """Features of tile files as they arrive under a path; log: a folder that names what has been read, for restarts."""
     tiles.register(spark)
     reader = spark.readStream.format("vtile").option("path", path)
-    return (reader.option("columns", columns) if columns else reader).load()
+    for k, v in (("columns", columns), ("log", log)):
+        reader = reader.option(k, v) if v else reader
+    return reader.load()
 
 
 def layer_counts(features: DataFrame) -> DataFrame:

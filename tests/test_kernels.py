@@ -168,3 +168,12 @@ def test_sql_functions(spark):
     assert len(names) == 12
     row = spark.sql("SELECT tile_zigzag(-3L) AS z, tile_zagzig(5L) AS b, tile_weave2d(3L, 5L) AS w, tile_weave3d(3L, 5L, 6L) AS t, tile_quantize_lon(-179.6765432D) AS q, tile_command_encode(4L, 10L) AS c").first()
     assert tuple(row) == (5, -3, 39, 427, 15074, 84)
+
+
+def test_running_sums_of_long_arrays(spark):
+    """Folded in blocks beyond a length, with the same sums."""
+    for n in (0, 1, 255, 256, 257, 1000, 5000):
+        df = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: (i * 37 % 101 - 50).cast("bigint")).alias("a")).select(F.slice("a", 1, n).alias("a"))
+        row = df.select("a", arrays.delta_decode(arrays.delta_encode(F.col("a"))).alias("b"), arrays.delta_decode_sorted(F.col("a")).alias("s")).first()
+        assert row.a == row.b and len(row.a) == n
+        assert row.s == [sum(row.a[: i + 1]) for i in range(n)] if n < 300 else row.s[-1] == sum(row.a)

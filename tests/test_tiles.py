@@ -281,3 +281,87 @@ def test_hot_tile_keeps_every_feature(spark):
     """One tile holds nearly all rows."""
     df = spark.range(2000).select(F.when(F.col("id") % 50 == 0, "cold").otherwise("hot").alias("tile_id"), F.lit("l").alias("layer"), F.col("id").cast("int").alias("fid"), F.lit(1).alias("type"), F.to_json(F.struct("id")).alias("properties"), F.array(F.array(F.array(F.struct((F.col("id") % 4096).alias("x"), F.col("id").alias("y"), F.lit(None).cast("bigint").alias("z"), F.lit(None).cast("string").alias("m"))))).alias("geometry"))
     assert tiles.features(encode.encode_tiles(df, "open"), ["fid"]).count() == 2000
+
+
+def test_stream_reads_late_files_of_older_times(spark, tmp_path):
+    import os
+
+    from quarry.streaming.tiles import read_stream
+
+    made = {r.tile_id: bytes(r.content) for r in encode.encode_tiles(rows(spark), "open").collect()}
+    folder, log, point = tmp_path / "tiles", str(tmp_path / "log"), str(tmp_path / "check")
+    folder.mkdir()
+
+    def put(name, data, time):
+        (folder / name).write_bytes(data)
+        os.utime(folder / name, (time, time))
+
+    def run():
+        out = str(tmp_path / "out")
+        q = read_stream(spark, str(folder), "layer", log).writeStream.format("parquet").option("path", out).option("checkpointLocation", point).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        return {(r.layer, r["count"]) for r in spark.read.parquet(out).groupBy("layer").count().collect()}
+
+    put("m.tile", made["0/0/0"], 2_000_000_000)
+    assert run() == {("a", 5)}
+    put("z.tile", made["0/0/1"], 1_000_000_000)  # older than what was read
+    put("a.tile", made["0/0/1"], 2_000_000_000)  # of the same time, with a smaller name
+    assert run() == {("a", 5), ("b", 2)}
+    assert run() == {("a", 5), ("b", 2)}
+
+
+def test_columnar_round_trip_of_whatever_the_writer_takes():
+    """Any mix of ids, boxes, offsets, indices, triangles and m-values on any type reads back; polygons alone keep the triangles."""
+    rng = random.Random(8)
+    point = lambda three, m: pt(rng.randrange(4096), rng.randrange(4096), rng.randrange(99) if three else None, {"w": rng.randrange(9)} if m else None)
+    features = []
+    for _ in range(300):
+        kind, m = rng.randrange(1, 7), rng.random() < 0.3
+        form, three = (kind - 1) % 3 + 1, kind > 3
+        line = lambda: [point(three, m) for _ in range(rng.randrange(2, 5))]  # noqa: B023, E731
+        parts = [[line()]] if form == 1 else [[line() for _ in range(rng.randrange(1, 4))]] if form == 2 else [[line() for _ in range(rng.randrange(1, 3))] for _ in range(rng.randrange(1, 4))]
+        f = feature(kind, parts, id=rng.choice([None, 0, 2**64 - 1]), properties={"a": rng.randrange(-5, 5)})
+        f["indices"] = rng.choice([None, [3, 1, 2]])
+        f["tessellation"] = rng.choice([None, [point(three, False)[:3]]])
+        f["bbox"] = rng.choice([None, [-10.0, -20.0, 30.0, 40.0, *([1.5, 2.5] if three else [])]])
+        f["offsets"] = rng.choice([None, [[0.5] * len(p) for p in parts]]) if form > 1 else None
+        features.append(f)
+    got = back(codec.write_tile([{"layer": "l", "extent": 4096, "shape": None, "mshape": None, "features": features}]))["layers"][0]["features"]
+    for f, g in zip(sorted(features, key=lambda f: f["type"]), got):
+        poly = (f["type"] - 1) % 3 == 2
+        assert (g["type"], g["id"], g["geometry"], g["properties"]) == (f["type"], f["id"], f["geometry"], f["properties"])
+        assert g["indices"] == (f["indices"] if poly else None) and g["tessellation"] == (f["tessellation"] if poly else None)
+        assert (g["bbox"] is None) == (f["bbox"] is None) and (f["bbox"] is None or g["bbox"] == pytest.approx(f["bbox"], abs=3e-5))
+        assert f["offsets"] is None or g["offsets"] == f["offsets"]
+
+
+def test_broken_numbers_name_their_tile(spark):
+    short = bytearray()
+    wire.put_bytes(short, codec.GRID, bytes([3 << 3 | wire.FIXED32, 1, 2]))  # a float of two bytes
+    df = spark.createDataFrame([("t9", short)], "tile_id string, content binary")
+    with pytest.raises(Exception, match="tile t9 can't be read"):
+        tiles.grids(df).collect()
+
+
+def test_packed_numbers():
+    values = [0, 1, 127, 128, 300, 2**63, 2**64 - 1]
+    out = bytearray()
+    wire.put_packed(out, 1, values)
+    [(_, _, body)] = wire.fields(memoryview(bytes(out)))
+    assert wire.packed(body) == values and wire.packed(b"\x01\x02") == [1, 2] and wire.packed(b"") == []
+    with pytest.raises(ValueError, match="ten bytes"):
+        wire.packed(b"\xff" * 12)
+    with pytest.raises(IndexError):
+        wire.packed(b"\x80")
+
+
+def test_columnar_layers_may_be_refused(spark):
+    made = encode.encode_tiles(rows(spark), "open")
+    assert tiles.layers(encode.transcode(made, "open", columnar="skip")).count() == 0
+    with pytest.raises(Exception, match="unsupported vector tile type"):
+        encode.transcode(made, "open", columnar="error").collect()
+    with pytest.raises(Exception, match="transformed"):
+        f = spark.createDataFrame([("t", "l", 0, "Point", False, '{"x":0.5,"y":0.5}', False)], "tile_id string, layer string, fid int, geometry_type string, is_3d boolean, coordinates string, transformed boolean")
+        encode.from_unit_square(f).collect()
+    with pytest.raises(Exception, match="out of bounds"):
+        tiles.features(made, only=3).collect()
