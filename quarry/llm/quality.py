@@ -33,6 +33,8 @@ LABELLERS = ("shouting", "symbols", "repeats", "tables", "exclaims", "variety",
 #: Bounds, parameters of fit() but for the last: documents for the quality head, documents of each class for the toxic head,
 #: features kept of each head.
 TRAIN_ROWS, TOXIC_ROWS, FEATURES = 4000, 2000, 512
+#: Files of the samples, which are bounded, and of their counts.
+FILES = 12
 #: Hash space of the features, as bits.
 BITS = 22
 #: A feature is kept if so many sampled documents have it at least, and it differs by class by so many standard deviations.
@@ -281,7 +283,7 @@ def telling(docs: DataFrame, by: dict[int, float] | None) -> np.ndarray:
         return step
 
     counts = map_batches(docs.select("text", "target"), "feature int, total long, hit long", make, rows=SAMPLE_ROWS).groupBy("feature").agg(F.sum("total").alias("total"), F.sum("hit").alias("hit"))
-    counts = cut(counts.where((F.col("total") >= LEAST) | (F.col("feature") == -1)))
+    counts = cut(counts.where((F.col("total") >= LEAST) | (F.col("feature") == -1)).coalesce(FILES))
     whole = counts.where("feature = -1").first()
     if whole is None or not whole.total:
         return np.empty(0, np.int32)
@@ -293,7 +295,7 @@ def telling(docs: DataFrame, by: dict[int, float] | None) -> np.ndarray:
 
 def least(docs: DataFrame, bound: int) -> DataFrame:
     """The ``bound`` rows of docs (key, text, target) with the least keys; of equal keys one row counts."""
-    docs = cut(docs.select("key", "text", "target").dropDuplicates(["key"]))
+    docs = cut(docs.select("key", "text", "target").dropDuplicates(["key"]).coalesce(FILES))
     return docs.join(F.broadcast(docs.select("key").orderBy("key").limit(bound)), "key", "left_semi")
 
 
