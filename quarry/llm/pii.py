@@ -115,15 +115,15 @@ def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
-def scan(docs: DataFrame, text: str = "text", redacted: str = "redacted") -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", redacted: str = "redacted", spans: str = "spans") -> DataFrame:
     """docs with ``spans`` (kind, start, end in code points, ordered) and the text without them in ``redacted``.
 
-    A null text counts as empty: no spans, and an empty string. Columns of these names are replaced; all others pass.
-    A narrow step, a task holds one batch of rows.
+    A null text counts as empty: no spans, and an empty string. Equal texts have equal spans. Columns of these names are
+    replaced; all others pass. A narrow step, a task holds one batch of rows.
     """
-    docs = docs.drop("spans", redacted)
+    docs = docs.drop(spans, redacted)
     names = docs.columns
-    schema = T.StructType([*docs.schema, T.StructField("spans", SPANS), T.StructField(redacted, T.StringType())])
+    schema = T.StructType([*docs.schema, T.StructField(spans, SPANS), T.StructField(redacted, T.StringType())])
 
     def make():
         anchors = automaton()
@@ -132,7 +132,7 @@ def scan(docs: DataFrame, text: str = "text", redacted: str = "redacted") -> Dat
             texts = [t or "" for t in batch.column(names.index(text)).to_pylist()]
             found = [find(t, anchors) for t in texts]
             return {n: batch.column(i) for i, n in enumerate(names)} | {
-                "spans": [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in x] for x in found],
+                spans: [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in x] for x in found],
                 redacted: [redact(t, x) if x else t for t, x in zip(texts, found)],
             }
 
@@ -142,7 +142,10 @@ def scan(docs: DataFrame, text: str = "text", redacted: str = "redacted") -> Dat
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """One row per document: counts of the base kinds, a hash of the base spans, and all spans as text."""
+    """One row per row of docs: counts of the base kinds, a hash of the base spans, and all spans as text.
+
+    A null or empty text has no spans: counts of 0, the hash of nothing, an empty string. Other columns are ignored; an empty
+    table gives no rows."""
 
     def make():
         anchors = automaton()

@@ -6,6 +6,7 @@ import re
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quarry.llm import pii
@@ -53,3 +54,34 @@ def test_stages(spark):
         assert b == pii.redact(a, pii.find(a, anchors)) and not re.search(r"[\w.]+@[\w-]+\.\w", b)
     assert set(packed.doc_id) == set(masked.doc_id) and (packed.groupby("bin").n_words.sum() <= 2048).all()
     assert packed.n_words.sum() == sum(len(t.encode().split()) for t in masked.text)
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty and very long texts, repeated rows and columns named as the operators' own: nothing crashes,
+    nobody's column changes, and what a stage doesn't decide on stays."""
+    long = "word " * 30_000
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(30)) + ".", "en", f"s{i % 3}", 9) for i in range(30)]
+    rows += [(None, "an honest line of text without an id.", None, None, None), (40, None, None, "s", None), (41, "", "en", None, 0), (42, long, "en", "s", len(long)), (43, "write to joe@ex.org today", "en", "s", 25)]
+    rows += [(50, "the same row twice, word for word.", "en", "s", 34)] * 3
+    names = ("spans", "redacted", "weak_label", "quality", "toxic", "keep", "row_key", "row_key_", "cluster", "bin", "h", "words", "key", "target", "sid")
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for c in names:
+        df = df.withColumn(c, F.lit("mine"))
+    spark.createDataFrame([(1, "no such item in any of these rows at all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = df
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = cut(stage(spark, docs, str(tmp_path)))
+        assert after.schema.names == df.schema.names, name
+        assert after.where(" OR ".join(f"`{c}` <> 'mine'" for c in names)).count() == 0, name
+        docs = after
+    got = {(r.doc_id, r.text) for r in docs.collect()}
+    assert (43, "write to [EMAIL] today") in got and (40, None) in got and (41, "") in got
+    assert docs.where("doc_id = 50").count() == 1 and docs.where("doc_id < 30").count() == 30
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert packed.where("part = 0").count() == docs.count()
+    none = df.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, str(tmp_path)).count() == 0, name
+    df.limit(0).drop(*names).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
