@@ -208,14 +208,14 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     buckets = runs.groupBy("bucket").agg(F.count("*").alias("c"), F.max("seen").alias("seen")).where("c > 1 or seen > 1").select("bucket", (F.col("seen") > 1).alias("again"))
     live = cut(runs.join(buckets, "bucket"))
     drop(runs)
-    mixed = live.groupBy("bucket").agg(F.min("window").alias("w0"), F.max("window").alias("w1"), F.max("again").alias("again")).where("w0 <> w1 or again").select("bucket")
-    plain = live.join(mixed, "bucket", "left_anti").select("row_key", "first", "count")
-    live = live.join(mixed, "bucket", "left_semi")
+    # One row for each bucket and window, counted before the shuffle, so a passage of many documents is one row a task; the
+    # joins by bucket have no aggregate of that key above them, so a hot bucket's partition can be split.
+    kinds = cut(live.groupBy("bucket", "window").agg(F.count("*").alias("n"), F.max("again").alias("again"), F.min(F.struct("row_key", "first", "count")).alias("one")))
+    mixed = kinds.groupBy("bucket").agg(F.count("*").alias("m"), F.max("again").alias("again")).where("m > 1 or again").select("bucket", (F.col("m") > CROWD).alias("crowded"))
+    plain = live.join(mixed.select("bucket"), "bucket", "left_anti").select("row_key", "first", "count")
     # Distinct windows of mixed buckets, one run standing for each.
-    windows = live.groupBy("bucket", "window").agg(F.count("*").alias("n"), F.min(F.struct("row_key", "first", "count")).alias("one"))
-    windows = cut(windows.select("bucket", "window", "n", "one.*"))
-    crowded = windows.groupBy("bucket").agg(F.count("*").alias("m")).where(F.col("m") > CROWD).select("bucket", F.lit(True).alias("crowded"))
-    asked = windows.join(crowded, "bucket", "left").groupBy("row_key").agg(F.collect_list(F.struct("bucket", "window", "n", "first", "count", F.coalesce("crowded", F.lit(False)).alias("crowded"))).alias("asked"))
+    windows = cut(kinds.join(mixed, "bucket").select("bucket", "window", "n", "crowded", "one.*"))
+    asked = windows.groupBy("row_key").agg(F.collect_list(F.struct("bucket", "window", "n", "first", "count", "crowded")).alias("asked"))
     texts = keyed.select("row_key", "text").join(asked, "row_key").dropDuplicates(["row_key"]).select("asked", "text")
 
     def cutter():
@@ -288,7 +288,11 @@ def cover(raw: bytes, spans: list[tuple[int, int]], length: int) -> tuple[bytes,
 
 
 def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256 of the bytes that stay."""
+    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256 of the bytes that stay.
+
+    A null or empty text has no bytes, nothing removed and the hash of nothing. Rows repeated exactly, and equal texts of
+    several ids, repeat each other: all their strings of ``length`` bytes go. Null ids are ids like any other; other columns
+    are ignored; an empty table gives no rows."""
     found = repeated(docs, length)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text").join(found, "row_key", "left").select("doc_id", "text", "ranges")
