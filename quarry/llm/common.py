@@ -146,6 +146,17 @@ def ascii_lower(c):
     return F.translate(c, UPPER, LOWER)
 
 
+def spread_join(many: DataFrame, one: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """many joined with one, an aggregate by these very keys, so that a hot key's rows can be shared by several tasks.
+
+    Joined on the keys alone, both sides would lie as the aggregate does, and Spark can't split such partitions. A hash of
+    the keys as one more key has both sides dealt for this join only; adaptive execution then splits what is too large.
+    """
+    (extra,) = fresh(many.select(*many.columns, *[F.lit(0).alias(c) for c in one.columns if c not in many.columns]), "dealt")
+    deal = F.xxhash64(*keys)
+    return many.withColumn(extra, deal).join(one.withColumn(extra, deal), [*keys, extra], how).drop(extra)
+
+
 def is_small(df: DataFrame, rows: int) -> bool:
     """Whether df has at most ``rows`` rows; reads no more than that many plus one."""
     return df.limit(rows + 1).count() <= rows

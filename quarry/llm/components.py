@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, spread_join
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -19,7 +19,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    joined = both.join(least, "a")
+    joined = spread_join(both, least, ["a"])  # the neighbours of a hub may be very many
     if large:
         out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:

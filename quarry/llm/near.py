@@ -15,8 +15,9 @@ batch; any order gives the same links, this one keeps posting lists short). Of t
    left is verified on whole sets, which are read again for those members alone.
 4. Components are all that is wanted of a list's members, not all their pairs. So a list is first searched as a star (each
    member against one hub of about its size, another hub in each round); pairs inside a component are then settled, and
-   only pairs across components are expanded further. Links between different texts that could join two components are
-   never lost; pairs within one component aren't all listed.
+   only pairs across components are expanded further. Lists that are still crowded are split by a second element first:
+   two sets that share l > 1 elements of their prefixes share the second of them too, and it comes as early. Links between
+   different texts that could join two components are never lost; pairs within one component aren't all listed.
 
 Sets are told apart by (size, 64-bit hash of the set).
 """
@@ -36,7 +37,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, is_small, map_batches, mix
+from .common import cut, fresh, is_small, map_batches, mix, spread_join
 from .components import components
 
 #: Bound of the broadcast table of frequent hashes (8 bytes each).
@@ -50,8 +51,8 @@ BATCH_MIN, BATCH_ROWS = 4, 4096
 #: Another round of stars follows while pairs across components would be more than so many a member, and the last round
 #: linked at least that share of the members; rounds at most.
 CROSS, USEFUL, ROUNDS = 512, 0.01, 10
-#: Members of a component in one list up to which they are few.
-FEW = 8
+#: Members of a component in one list up to which they are few; groups in one list up to which it isn't crowded.
+FEW, CROWDED = 8, 128
 
 
 #: Whether a byte is ASCII white space; a random number for each byte; the base of the words' polynomial and its inverse.
@@ -275,23 +276,25 @@ def classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     post = post.select("gid", F.col("size").cast("int").alias("size"), least.alias("least"), F.explode("prefix").alias("h"))
     # Lists of one group are dropped before any join; the counts are summed before the shuffle.
     lists = post.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
-    post = cut(post.join(lists, "h"))
+    post = cut(spread_join(post, lists, ["h"]))
     # Of its shared elements any least - 1 may be left out: a partner is still met by another. The most frequent ones are.
     group = W.partitionBy("gid")
-    post = post.withColumn("held", F.count("*").over(group)).where("held >= least").withColumn("rank", F.row_number().over(group.orderBy("c", "h"))).where("rank <= held - least + 1")
+    post = post.withColumn("held", F.count("*").over(group)).where("held >= least").withColumn("rank", F.row_number().over(group.orderBy("c", "h"))).where("rank <= held - least + 2")
     # Geometric size bands: partners are in the same band or the next.
     band = F.floor(F.log(F.col("size").cast("double")) / math.log(100 / min(percent, 99)) + 1e-9).cast("int")
-    post = cut(post.select("h", band.alias("band"), "gid", "held", "rank"))
+    # One element more than is needed to meet is kept, for the lists that are split.
+    every = cut(post.select("h", band.alias("band"), "gid", "held", "rank", "least"))
+    post = every.where("rank <= held - least + 1")
     crowds = members.groupBy("gid").agg(F.count("*").alias("c")).where("c > 1").select("gid")
     # Postings without a second one in their band or a neighbouring one can meet nothing.
     near = post.groupBy("h", "band").agg(F.count("*").alias("c"))
     near = near.select("h", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), "c").groupBy("h", "band").agg(F.sum("c").alias("c")).where("c > 1").select("h", "band")
-    post = cut(post.join(near, ["h", "band"]))
+    post = cut(spread_join(post, near, ["h", "band"]))
     held = post.select("gid", "held").unionByName(crowds.select("gid", F.lit(0).cast("long").alias("held"))).groupBy("gid").agg(F.max("held").alias("held"))
     active = cut(members.select("sid", "size", "gid").join(held, "gid"))
     n_active = active.count()
     crowds = cut(crowds)
-    post = post.select("h", "band", "gid", "rank")
+    post = post.select("h", "band", "gid", "rank", (F.col("held") - F.col("least")).alias("spare"), "least")
 
     first = lambda n: n - F.ceil(n * percent / 100).cast("long") + 1
     length = lambda n: F.least(n, first(n) - 1 + F.least(F.lit(SHARED).cast("long"), first(n)))
@@ -336,7 +339,7 @@ def classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
         parts = owned.groupBy("gid", "comp").agg(F.count("*").alias("m"))
         left = post.join(parts, "gid")
         mixed = left.groupBy("h").agg(F.min("comp").alias("l"), F.max("comp").alias("r")).where("l <> r").select("h")
-        left = cut(left.join(mixed, "h"))
+        left = cut(spread_join(left, mixed, ["h"]))
         inside = cut(parts.join(crowds, "gid"))
         by_comp = left.groupBy("h", "band", "comp").agg(F.sum("m").alias("m"))
         # How many pairs that would be is known before any is made.
@@ -344,6 +347,17 @@ def classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
         n_pairs = sum(x.groupBy(*k).agg(square.alias("p")).agg(F.sum("p")).first()[0] or 0 for x, k in ((by_comp, ("h", "band")), (inside, ("gid",)))) // 2
         if n_pairs <= CROSS * n_active or found < USEFUL * n_active:
             break
+    # A crowded list's members go by their first and second shared element; sets whose partners may share one alone stay too.
+    crowded = left.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > CROWDED).select("h")
+    many = cut(spread_join(left, crowded, ["h"]))
+    later = every.select("gid", F.col("h").alias("h2"), F.col("rank").alias("rank2"))
+    pair = many.join(later, "gid").where("rank2 > rank AND rank2 <= spare + 2")
+    pair = pair.select(F.xxhash64("h", "h2").alias("h"), "band", "gid", (F.col("rank2") - 1).alias("rank"), "comp", "m")
+    columns = pair.columns
+    left = spread_join(left, crowded, ["h"], "left_anti").select(*columns).unionByName(many.where("least = 1").select(*columns))
+    mixed = pair.groupBy("h").agg(F.min("comp").alias("l"), F.max("comp").alias("r")).where("l <> r").select("h")
+    left = cut(left.unionByName(spread_join(pair, mixed, ["h"]).select(*columns)))
+    by_comp = left.groupBy("h", "band", "comp").agg(F.sum("m").alias("m"))
     # Two components of few members in a list are set against each other as they are; a large one is first paired with the
     # list's other components, so that members of one component are never compared.
     about = owned.groupBy("gid", "comp").agg(F.first("size").alias("size"), F.first("held").alias("held"))
@@ -369,7 +383,7 @@ def classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     else:
         known = least.join(label.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
         links = edges.select(F.col("a").alias("sid")).unionByName(edges.select(F.col("b").alias("sid"))).groupBy("sid").agg(F.count("*").alias("n_links"))
-        named = known.join(known.groupBy("label").agg(F.min("least").alias("component_id")), "label").join(links, "sid", "left").select("sid", "component_id", "n_links")
+        named = spread_join(known, known.groupBy("label").agg(F.min("least").alias("component_id")), ["label"]).join(links, "sid", "left").select("sid", "component_id", "n_links")
     out = made.select("doc_id", "row_key", "size", "sid").join(named, "sid", "left")
     return out.select("doc_id", "row_key", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
@@ -377,12 +391,16 @@ def classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
 def drop_near(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """docs with one row of each component left, that of the least doc_id; texts without words all stay, once each.
 
-    Rows repeated exactly (same doc_id and text) count as one. Of rows with one doc_id and several texts in a component
-    the one with the least row key stays. All columns pass unchanged.
+    Rows repeated exactly (same doc_id and text) count as one; of those that differ in other columns the one with the least
+    hash of all columns stays. Of rows with one doc_id and several texts in a component the one with the least row key stays.
+    Null ids come last. All columns pass unchanged, whatever their names.
     """
     found = classes(docs, n, percent)
     # A component is told by its least doc_id; null doc_ids are told by their own key.
     name = F.struct(F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("c"), F.when((F.col("n_shingles") == 0) | F.col("component_id").isNull(), F.col("row_key")).alias("k"))
-    keep = found.groupBy(name.alias("name")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row_key")).alias("least")).select(F.col("least.row_key").alias("row_key_"))
-    rows = docs.withColumn("row_key_", F.xxhash64("doc_id", "text")).join(keep, "row_key_", "left_semi")
-    return rows.dropDuplicates(["row_key_"]).drop("row_key_")
+    keep = found.groupBy(name.alias("name")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row_key")).alias("least")).select("least.row_key")
+    (key,) = fresh(docs, "row_key")
+    rows = docs.withColumn(key, F.xxhash64("doc_id", "text")).join(keep.withColumnRenamed("row_key", key), key, "left_semi")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    told = [c for c, f in zip(columns, docs.schema) if "map<" not in f.dataType.simpleString()]
+    return rows.groupBy(key).agg(F.min_by(F.struct(*columns), F.xxhash64(*told)).alias("row")).select("row.*")

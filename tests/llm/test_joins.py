@@ -94,6 +94,16 @@ def test_near_when_every_bound_is_small(spark, monkeypatch):
     assert got == brute_components(rows, 5, 80)
 
 
+@pytest.mark.parametrize(("n", "percent", "shared"), [(3, 90, 16), (2, 50, 2), (5, 80, 1)])
+def test_near_when_every_list_is_crowded(spark, monkeypatch, n, percent, shared):
+    """Same links when all lists are split by a second element, and when no second one is sure."""
+    rows = corpus(11, 40)
+    for k, v in {"CROWDED": 1, "SHARED": shared, "ROUNDS": 1, "HEAVY": 1, "FEW": 1}.items():
+        monkeypatch.setattr(near, k, v)
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in near.classes(docs(spark, rows), n, percent).orderBy("doc_id").collect()]
+    assert got == brute_components(rows, n, percent)
+
+
 @pytest.mark.parametrize(("n", "percent", "words"), [(3, 90, 12), (5, 80, 9), (3, 90, 22), (5, 80, 14)])
 def test_near_smaller_partner(spark, n, percent, words):
     """A text and the same one without its last word link, though the shorter one's prefix is shorter; so do their copies."""
