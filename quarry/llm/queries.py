@@ -106,6 +106,22 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM g GROUP BY conv_id
 """
 
+#: Strings of 200 bytes start at k, from 1; starts that are 200 or fewer apart lie in one run of removed bytes.
+_OP10 = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+     s AS (SELECT r, k, hash(substr(x, 2 * k - 1, 400)) AS g FROM d, unnest(range(1, greatest(1, length(x) // 2 - 198))) AS t(k)),
+     n AS (SELECT g FROM s GROUP BY g HAVING count(*) > 1),
+     b AS (SELECT r, k FROM s WHERE g IN (SELECT g FROM n)),
+     e AS (SELECT r, k, k - lag(k) OVER (PARTITION BY r ORDER BY k) AS gap FROM b),
+     i AS (SELECT r, k, sum(CASE WHEN gap IS NULL OR gap > 200 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY k) AS island FROM e),
+     c AS (SELECT r, min(k) AS first, max(k) + 199 AS last FROM i GROUP BY r, island),
+     g AS (SELECT r, first, last, lag(last, 1, 0) OVER (PARTITION BY r ORDER BY first) AS before FROM c),
+     k AS (SELECT r, count(*) AS spans, sum(last - first + 1) AS removed, max(last) AS stop, list(struct_pack(a := before, b := first) ORDER BY first) AS gaps FROM g GROUP BY r)
+SELECT d.doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+       sha256(unhex(coalesce(array_to_string(list_transform(gaps, lambda z: substr(x, 2 * z.a + 1, 2 * (z.b - 1 - z.a))), '') || substr(x, 2 * stop + 1), x))) AS kept_sha256
+FROM d LEFT JOIN k USING (r)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": _OP2, "op6_jaccard_join": _OP6, "op9_chat": _OP9}
+    return {"op2_decontamination": _OP2, "op6_jaccard_join": _OP6, "op9_chat": _OP9, "op10_repeated_bytes": _OP10}

@@ -366,3 +366,14 @@ def test_runs_cover_every_position_once():
         covered = [p for f, n in zip(first.tolist(), count.tolist()) for p in range(f, f + n)]
         assert covered == list(range(max(0, len(raw) - 199)))
         assert set(low.tolist()) <= set(values.tolist()) and (count <= substrings.MAX_RUN).all()
+
+
+def test_repeated_bytes_sql(tmp_path):
+    import duckdb
+    import pandas as pd
+
+    rows = repeat_corpus(4)
+    pd.DataFrame(rows, columns=["doc_id", "text"]).to_parquet(tmp_path / "d.parquet")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d.parquet'")
+    assert sorted(c.sql(queries.oracle_sql()["op10_repeated_bytes"]).fetchall(), key=str) == brute_repeats(rows, 200)
