@@ -377,3 +377,21 @@ def test_repeated_bytes_sql(tmp_path):
     c = duckdb.connect()
     c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d.parquet'")
     assert sorted(c.sql(queries.oracle_sql()["op10_repeated_bytes"]).fetchall(), key=str) == brute_repeats(rows, 200)
+
+
+def test_near_very_long_texts(spark):
+    rng = random.Random(12)
+    vocab = vocabulary(rng, 3000)
+    long = [rng.choice(vocab) for _ in range(120_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(long[:60_000] + ["edited"] + long[60_001:])), (3, " ".join(long[:50_000])), (4, "a short one"), (5, None)]
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in near.classes(docs(spark, rows), 3, 90).orderBy("doc_id").collect()]
+    assert got == brute_components(rows, 3, 90) and got[1][2] == 1
+
+
+def test_repeated_bytes_very_long_texts(spark):
+    rng = random.Random(13)
+    vocab = vocabulary(rng, 3000)
+    long = " ".join(rng.choice(vocab) for _ in range(60_000))
+    rows = [(1, long), (2, "before " + long[150_000:150_300] + " after"), (3, "w " * 20_000), (4, None)]
+    got = [tuple(r) for r in substrings.digest(docs(spark, rows)).collect()]
+    assert sorted(got, key=str) == brute_repeats(rows, 200)

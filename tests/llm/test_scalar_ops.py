@@ -589,3 +589,11 @@ def test_quality_columns_of_other_names(spark):
     df = clash(docs(spark, ODD))
     got = quality.classify(df, quality.fit(df), ("w", "q", "t", "ok")).first()
     assert (got.keep, got.quality) == ("mine", "mine") and 0 <= got.q <= 1
+
+
+def test_audio_of_a_very_long_text(spark):
+    text = ODD[6] + "é" * 100_001
+    [r] = audio.digest(docs(spark, [text])).collect()
+    payload = text.encode() + b" " * (-len(text.encode()) % 192)
+    assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+    assert r.feature.startswith(f"frames={len(audio.log_mel(payload))}|")
