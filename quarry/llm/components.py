@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, spread_join
+from .common import cut, drop, spread_join
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -36,6 +36,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         state = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(state) == size:
             break
+        drop(now)
         size, now = tuple(state), after
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -37,7 +37,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, fresh, is_small, map_batches, mix, spread_join
+from .common import cut, drop, fresh, is_small, map_batches, mix, spread_join
 from .components import components
 
 #: Bound of the broadcast table of frequent hashes (8 bytes each).
@@ -276,20 +276,21 @@ def classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     post = post.select("gid", F.col("size").cast("int").alias("size"), least.alias("least"), F.explode("prefix").alias("h"))
     # Lists of one group are dropped before any join; the counts are summed before the shuffle.
     lists = post.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
-    post = cut(spread_join(post, lists, ["h"]))
+    met = cut(post.join(lists, "h"))
     # Of its shared elements any least - 1 may be left out: a partner is still met by another. The most frequent ones are.
     group = W.partitionBy("gid")
-    post = post.withColumn("held", F.count("*").over(group)).where("held >= least").withColumn("rank", F.row_number().over(group.orderBy("c", "h"))).where("rank <= held - least + 2")
+    post = met.withColumn("held", F.count("*").over(group)).where("held >= least").withColumn("rank", F.row_number().over(group.orderBy("c", "h"))).where("rank <= held - least + 2")
     # Geometric size bands: partners are in the same band or the next.
     band = F.floor(F.log(F.col("size").cast("double")) / math.log(100 / min(percent, 99)) + 1e-9).cast("int")
     # One element more than is needed to meet is kept, for the lists that are split.
     every = cut(post.select("h", band.alias("band"), "gid", "held", "rank", "least"))
+    drop(met)
     post = every.where("rank <= held - least + 1")
     crowds = members.groupBy("gid").agg(F.count("*").alias("c")).where("c > 1").select("gid")
     # Postings without a second one in their band or a neighbouring one can meet nothing.
     near = post.groupBy("h", "band").agg(F.count("*").alias("c"))
     near = near.select("h", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), "c").groupBy("h", "band").agg(F.sum("c").alias("c")).where("c > 1").select("h", "band")
-    post = cut(spread_join(post, near, ["h", "band"]))
+    post = cut(post.join(near, ["h", "band"]))
     held = post.select("gid", "held").unionByName(crowds.select("gid", F.lit(0).cast("long").alias("held"))).groupBy("gid").agg(F.max("held").alias("held"))
     active = cut(members.select("sid", "size", "gid").join(held, "gid"))
     n_active = active.count()
@@ -318,14 +319,21 @@ def classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
         pairs = pairs.select(F.least("sid", "sid2").alias("a"), F.greatest("sid", "sid2").alias("b")).distinct()
         pairs = cut(plausible(pairs, members, percent))
         chosen = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct().join(members.select("sid", "row_key"), "sid")
-        new = cut(verified(pairs, cut(member_sets(docs, chosen, n)), percent))
+        sets = cut(member_sets(docs, chosen, n))
+        new = cut(verified(pairs, sets, percent))
+        drop(sets)
+        drop(pairs)
         found = new.count()
         if found:
+            before = owned if label is not None else None  # the first one reads the table of all active members
             edges = new if edges is None else edges.unionByName(new)
             label = components(edges)
             owned = cut(active.join(label.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("label", "sid")).drop("label"))
+            if before is not None:
+                drop(before)
         return found
 
+    left = None
     for rank in range(ROUNDS):
         # A star for each list and band, and one within each crowded group; hubs change from round to round.
         heads = owned.groupBy("gid").agg(F.min_by(F.struct("sid", "comp", "size", "held"), F.xxhash64("sid", F.lit(rank))).alias("h")).select("gid", "h.*")
@@ -337,9 +345,12 @@ def classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
         found = take(pairs)
         # What is left to compare: members of different components in one list, or in one group.
         parts = owned.groupBy("gid", "comp").agg(F.count("*").alias("m"))
+        if left is not None:
+            drop(left)
+            drop(inside)
         left = post.join(parts, "gid")
         mixed = left.groupBy("h").agg(F.min("comp").alias("l"), F.max("comp").alias("r")).where("l <> r").select("h")
-        left = cut(spread_join(left, mixed, ["h"]))
+        left = cut(left.join(mixed, "h"))
         inside = cut(parts.join(crowds, "gid"))
         by_comp = left.groupBy("h", "band", "comp").agg(F.sum("m").alias("m"))
         # How many pairs that would be is known before any is made.
@@ -348,16 +359,19 @@ def classes(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
         if n_pairs <= CROSS * n_active or found < USEFUL * n_active:
             break
     # A crowded list's members go by their first and second shared element; sets whose partners may share one alone stay too.
-    crowded = left.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > CROWDED).select("h")
-    many = cut(spread_join(left, crowded, ["h"]))
-    later = every.select("gid", F.col("h").alias("h2"), F.col("rank").alias("rank2"))
-    pair = many.join(later, "gid").where("rank2 > rank AND rank2 <= spare + 2")
-    pair = pair.select(F.xxhash64("h", "h2").alias("h"), "band", "gid", (F.col("rank2") - 1).alias("rank"), "comp", "m")
-    columns = pair.columns
-    left = spread_join(left, crowded, ["h"], "left_anti").select(*columns).unionByName(many.where("least = 1").select(*columns))
-    mixed = pair.groupBy("h").agg(F.min("comp").alias("l"), F.max("comp").alias("r")).where("l <> r").select("h")
-    left = cut(left.unionByName(spread_join(pair, mixed, ["h"]).select(*columns)))
-    by_comp = left.groupBy("h", "band", "comp").agg(F.sum("m").alias("m"))
+    crowded = cut(left.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > CROWDED).select("h"))
+    if not crowded.isEmpty():
+        columns = ("h", "band", "gid", "rank", "comp", "m")
+        many = cut(left.join(crowded, "h"))
+        later = every.select("gid", F.col("h").alias("h2"), F.col("rank").alias("rank2"))
+        pair = many.join(later, "gid").where("rank2 > rank AND rank2 <= spare + 2")
+        pair = cut(pair.select(F.xxhash64("h", "h2").alias("h"), "band", "gid", (F.col("rank2") - 1).alias("rank"), "comp", "m"))
+        mixed = pair.groupBy("h").agg(F.min("comp").alias("l"), F.max("comp").alias("r")).where("l <> r").select("h")
+        whole = left.join(crowded, "h", "left_anti").select(*columns).unionByName(many.where("least = 1").select(*columns))
+        left = cut(whole.unionByName(spread_join(pair, mixed, ["h"]).select(*columns)))
+        drop(pair)
+        drop(many)
+        by_comp = left.groupBy("h", "band", "comp").agg(F.sum("m").alias("m"))
     # Two components of few members in a list are set against each other as they are; a large one is first paired with the
     # list's other components, so that members of one component are never compared.
     about = owned.groupBy("gid", "comp").agg(F.first("size").alias("size"), F.first("held").alias("held"))
