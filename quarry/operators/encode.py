@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources import codec
+from ..sources import bulk, codec
 from . import reshape
 
 
@@ -29,10 +29,18 @@ def _geometries(column: pa.ChunkedArray) -> list:
     return [made[a:b] if there else None for (a, b), there in zip(pairwise(polys.offsets.to_pylist()), polys.is_valid().to_pylist())]
 
 
-def _layers(table: pa.Table, shapes: dict[str, tuple], always: Iterable[str] = ()) -> list[dict]:
-    """A tile's layers, features in their order. always: layers that the tile has even without features."""
+def _tile(table: pa.Table, shapes: dict[str, tuple], kind: str, always: Iterable[str] = ()) -> bytes:
+    """A tile of features. always: layers that the tile has even without features."""
     order = [("layer", "ascending"), ("fid", "ascending"), *([("id", "ascending")] if "id" in table.column_names else [])]
     table = table.sort_by(order)
+    try:
+        return bulk.write_tile(table, kind, shapes, always)
+    except bulk.Odd:
+        return codec.write_tile(_layers(table, shapes, always), kind)
+
+
+def _layers(table: pa.Table, shapes: dict[str, tuple], always: Iterable[str] = ()) -> list[dict]:
+    """A tile's layers, features in their order."""
     there = {c: _geometries(table.column(c)) if c == "geometry" else table.column(c).to_pylist() for c in table.column_names}
     nothing = [None] * table.num_rows
     get = lambda c: there.get(c, nothing)
@@ -69,7 +77,7 @@ def encode_tiles(features: DataFrame, kind: str = "open", shapes: dict[str, tupl
     out = T.StructType([T.StructField(key, type_of_key), T.StructField("content", T.BinaryType())])
 
     def write(table: pa.Table) -> pa.Table:
-        content = codec.write_tile(_layers(table.select(names), given, named), kind)
+        content = _tile(table.select(names), given, kind, named)
         return pa.table({key: table.column(key)[:1], "content": pa.array([content], pa.binary())})
 
     return _dealt(features.select(key, *names), key).groupBy(key).applyInArrow(write, out)

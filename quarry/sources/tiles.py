@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, In, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from . import codec, model
+from . import bulk, codec, model
 
 ZXY = r"(\d+)[/_-](\d+)[/_-](\d+)\.\w+(?:\.\w+)?$"
 BOX_NAMES = ("left", "bottom", "right", "top", "near", "far")
@@ -100,7 +100,7 @@ def feature_batch(tile: dict, schema: pa.Schema, key: str, value) -> pa.RecordBa
 
 
 def _batches(tiles: DataFrame, schema: T.StructType, make, key: str, content: str) -> DataFrame:
-    """make(schema, key's value, bytes) gives a tile's rows as a batch; each goes out as it is made, so one tile is held."""
+    """make(schema, key's value, bytes) gives a tile's rows in batches; each goes out as it is made, so one tile is held."""
     out = T.StructType([tiles.schema[key], *schema])
     arrow = to_arrow_schema(out)
 
@@ -109,18 +109,18 @@ def _batches(tiles: DataFrame, schema: T.StructType, make, key: str, content: st
             for k, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if data.is_valid:
                     try:
-                        made = make(arrow, k, data.as_py())
+                        for made in make(arrow, k, data.as_py()):
+                            if made.num_rows:
+                                yield made
                     except (ValueError, IndexError, KeyError, StopIteration) as e:
                         raise ValueError(f"tile {k} can't be read: {e}") from e
-                    if made.num_rows:
-                        yield made
 
     return tiles.select(key, content).mapInArrow(run, out)
 
 
 def _parse(tiles: DataFrame, schema: T.StructType, rows, key: str, content: str) -> DataFrame:
     """Small tables of a tile (layers, grids, images), features undecoded."""
-    return _batches(tiles, schema, lambda arrow, k, data: pa.RecordBatch.from_pylist([{key: k, **r} for r in rows(codec.read_tile(data, set(), None, count=True))], schema=arrow), key, content)
+    return _batches(tiles, schema, lambda arrow, k, data: [pa.RecordBatch.from_pylist([{key: k, **r} for r in rows(codec.read_tile(data, set(), None, count=True))], schema=arrow)], key, content)
 
 
 def features(tiles: DataFrame, columns: list[str] | None = None, layers: list[str] | None = None, key: str = "tile_id", content: str = "content", rows_only: bool = False, only: int | None = None, missing: str = "error") -> DataFrame:
@@ -130,13 +130,13 @@ def features(tiles: DataFrame, columns: list[str] | None = None, layers: list[st
     index (from 0); a layer that has fewer is an error, or has none where missing is "skip".
     """
     schema = model.feature_schema(columns)
-    wanted, named = set(schema.names), set(layers) if layers is not None else None
-    return _batches(tiles, schema, lambda arrow, k, data: feature_batch(codec.read_tile(data, wanted, named, rows_only, only, missing == "skip"), arrow, key, k), key, content)
+    named = set(layers) if layers is not None else None
+    return _batches(tiles, schema, lambda arrow, k, data: bulk.batches(data, arrow, key, k, named, rows_only, only, missing == "skip"), key, content)
 
 
 def layers(tiles: DataFrame, key: str = "tile_id", content: str = "content") -> DataFrame:
     """Layers with their shapes and numbers of features, which are counted, not decoded."""
-    return _batches(tiles, model.LAYERS, lambda arrow, k, data: pa.RecordBatch.from_pylist([{key: k, **r} for r in layer_rows(codec.read_tile(data, set(), None, count=True))], schema=arrow), key, content)
+    return _batches(tiles, model.LAYERS, lambda arrow, k, data: [pa.RecordBatch.from_pylist([{key: k, **r} for r in layer_rows(codec.read_tile(data, set(), None, count=True))], schema=arrow)], key, content)
 
 
 def readable(tiles: DataFrame, key: str = "tile_id", content: str = "content", rows_only: bool = False, only: int | None = None) -> DataFrame:
@@ -149,7 +149,7 @@ def readable(tiles: DataFrame, key: str = "tile_id", content: str = "content", r
             problem = None
         except (ValueError, IndexError, KeyError, StopIteration) as e:
             problem = str(e)
-        return pa.RecordBatch.from_pylist([{key: k, "readable": problem is None, "problem": problem}], schema=arrow)
+        return [pa.RecordBatch.from_pylist([{key: k, "readable": problem is None, "problem": problem}], schema=arrow)]
 
     return _batches(tiles, schema, look, key, content)
 
