@@ -118,12 +118,17 @@ def transcode(tiles: DataFrame, kind: str = "open", key: str = "tile_id", column
 
     def run(batches):
         for batch in batches:
-            for k, data in zip(batch.column(0), batch.column(1).to_pylist()):
-                layers = codec.read_tile(data)["layers"]
+            for k, data in zip(batch.column(0), batch.column(1)):
+                data = data.as_py()
+                layers = codec.read_tile(data, lazy=True)["layers"]
                 if columnar == "error" and any(x["kind"] == "open" for x in layers):
                     raise ValueError(f"tile {k.as_py()}: unsupported vector tile type")
-                kept = [{**x, "shape": None if x["kind"] != "open" else x["shape"]} for x in layers if columnar != "skip" or x["kind"] != "open"]
-                yield pa.RecordBatch.from_arrays([pa.array([k.as_py()], batch.schema.field(0).type), pa.array([codec.write_tile(kept, kind)], pa.binary())], names=[key, "content"])
+                try:
+                    made = bulk.rewrite(layers, kind, columnar == "skip")
+                except bulk.Odd:
+                    layers = codec.read_tile(data)["layers"]
+                    made = codec.write_tile([{**x, "shape": None if x["kind"] != "open" else x["shape"]} for x in layers if columnar != "skip" or x["kind"] != "open"], kind)
+                yield pa.RecordBatch.from_arrays([pa.array([k.as_py()], batch.schema.field(0).type), pa.array([made], pa.binary())], names=[key, "content"])
 
     return tiles.select(key, "content").mapInArrow(run, out)
 
