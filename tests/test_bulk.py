@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
@@ -112,3 +113,69 @@ def test_transcoding_by_arrays(made):
         assert plain_rows(got) == plain_rows(want)
     with pytest.raises(bulk.Odd):  # nothing left: the plain way writes the empty tile
         bulk.rewrite(codec.read_tile(bulk.write_tile(table([1]), "open", {}, ()), lazy=True)["layers"], "open", True)
+
+
+def rows_of(data: bytes) -> list[dict]:
+    return [r for b in bulk.batches(data, SCHEMA, "tile_id", "t") for r in b.to_pylist()]
+
+
+@pytest.mark.parametrize("kind", ["mvt", "flat"])
+def test_polygons_are_read_without_a_walk_for_each(kind, monkeypatch):
+    data = bulk.write_tile(table([2, 3, 6]), kind, {}, ())
+    want = plain_rows(data)
+    monkeypatch.setattr(codec, "commands", None)
+    assert rows_of(data) == want
+
+
+@pytest.mark.parametrize("kinds", [[2], [3], [2, 3, 5, 6]])
+def test_columnar_features_without_a_step_for_each(kinds, monkeypatch):
+    t = table(kinds)
+    want = plain_rows(bulk.write_tile(t, "open", {}, ()))
+    calls = []
+    add, get = codec.Columns.add, codec.Cache.get
+    monkeypatch.setattr(codec.Columns, "add", lambda self, column, key: calls.append(1) if column == codec.INDICES else add(self, column, key))
+    monkeypatch.setattr(codec.Cache, "get", lambda self, column, i: calls.append(1) if column == codec.INDICES else get(self, column, i))
+    assert rows_of(bulk.write_tile(t, "open", {}, ())) == want
+    assert not calls
+
+
+@pytest.mark.parametrize("kind", ["mvt", "flat", "open"])
+def test_one_feature_far_longer_than_the_others(kind):
+    t = table([3], 40).to_pylist()
+    ring = [vertex(0, 0), vertex(2, 0), vertex(2, 2), vertex(0, 0)]
+    t[5]["geometry"] = [[[{**v, "x": v["x"] + i % 500} for v in ring]] for i in range(3000)]
+    t[6]["geometry"] = [[ring[:1] * 4, ring, ring[::-1], ring[:1] * 3, ring]]  # rings without area
+    long = pa.Table.from_pylist(t, schema=table([3], 40).schema)
+    data = bulk.write_tile(long, kind, {}, ())
+    assert rows_of(data) == plain_rows(data) == plain_rows(codec.write_tile(encode._layers(long, {}), kind))
+
+
+def test_lists_of_indices_that_end_early():
+    with pytest.raises(IndexError):
+        bulk.ring_lists(*(np.array(v) for v in ([2, 1, 0], [0, 3], [3], [False], [False], [False], [False])), {False: np.array([0, 4]), True: np.array([0])})
+
+
+@pytest.mark.parametrize("kind", ["mvt", "flat", "open"])
+def test_typed_values(kind, monkeypatch):
+    t = table([1, 2])
+    data = bulk.write_tile(t, kind, {}, ())
+    want = [json.loads(r["properties"]) for r in plain_rows(data)]
+    fields = pa.struct([("a", pa.int64()), ("c", pa.float64()), ("d", pa.string()), ("e", pa.bool_()), ("none", pa.int32())])
+    schema = pa.schema([("tile_id", pa.string()), ("layer", pa.string()), ("values", fields)])
+    monkeypatch.setattr(json, "dumps", None)
+    monkeypatch.setattr(bulk, "text_of", None)
+    got = [r["values"] for b in bulk.batches(data, schema, "tile_id", "t") for r in b.to_pylist()]
+    assert got == [{k: r.get(k) for k in ("a", "c", "d", "e", "none")} for r in want]
+    wrong = pa.schema([("values", pa.struct([("c", pa.int64())]))])
+    with pytest.raises(ValueError):
+        list(bulk.batches(data, wrong, "tile_id", "t"))
+
+
+def test_typed_values_of_nested_properties():
+    t = table([1], 10).to_pylist()
+    t[4]["properties"] = '{"deep": {"x": [1, 2]}, "a": 3}'
+    odd = pa.Table.from_pylist(t, schema=table([1], 10).schema)
+    schema = pa.schema([("values", pa.struct([("a", pa.int64())]))])
+    got = [r["values"]["a"] for b in bulk.batches(encode._tile(odd, {}, "open"), schema, "tile_id", "t") for r in b.to_pylist()]
+    want = [json.loads(r["properties"])["a"] for r in plain_rows(encode._tile(odd, {}, "open"))]
+    assert got == want
