@@ -32,6 +32,11 @@ GRIDS = struct(name=TEXT, extent=INT, size=INT, min=DOUBLE, max=DOUBLE, data=T.A
 IMAGES = struct(name=TEXT, type=TEXT, width=INT, height=INT, image=T.BinaryType())
 
 
+#: What features may also tell of their layer, where it is named.
+OF_LAYER = struct(shape=TEXT, mshape=TEXT)
+
+
 def feature_schema(columns: list[str] | None = None) -> T.StructType:
-    """The columns of features after tile_id, all or those named; the parser skips what isn't asked for."""
-    return FEATURES if columns is None else T.StructType([f for f in FEATURES if f.name in columns])
+    """The columns of features after tile_id, all or those named (shape and mshape of their layer only if named); the parser
+    skips what isn't asked for."""
+    return FEATURES if columns is None else T.StructType([f for f in [*FEATURES, *OF_LAYER] if f.name in columns])

@@ -32,6 +32,7 @@ def feature_rows(tile: dict, names: list[str]) -> Iterator[dict]:
     for layer in tile["layers"]:
         for f in layer["features"]:
             row = {"layer": layer["layer"], "kind": layer["kind"], "extent": layer["extent"], "fid": f["fid"], "type": f["type"]}
+            row |= {c: _text(layer[c]) for c in ("shape", "mshape") if c in names}
             if "id" in names:
                 row["id"] = None if f["id"] is None else f["id"]
             if "properties" in names:
@@ -84,6 +85,8 @@ def feature_batch(tile: dict, schema: pa.Schema, key: str, value) -> pa.RecordBa
             out.append(pa.array([value] * len(made), field.type))
         elif name in ("layer", "kind", "extent"):
             out.append(pa.array([x[name] for x, _ in made], field.type))
+        elif name in ("shape", "mshape"):
+            out.append(pa.array([_text(x[name]) for x, _ in made], field.type))
         elif name == "id":
             out.append(pa.array([f["id"] for _, f in made], pa.uint64()).cast(field.type))
         elif name == "properties":
