@@ -142,17 +142,22 @@ def layers(tiles: DataFrame, key: str = "tile_id", content: str = "content") ->
     return _batches(tiles, model.LAYERS, lambda arrow, k, data: [pa.RecordBatch.from_pylist([{key: k, **r} for r in layer_rows(codec.read_tile(data, set(), None, count=True))], schema=arrow)], key, content)
 
 
-def readable(tiles: DataFrame, key: str = "tile_id", content: str = "content", rows_only: bool = False, only: int | None = None) -> DataFrame:
-    """key, readable, problem: whether each tile can be read in this way (see features()), and why not."""
-    schema = T.StructType([T.StructField("readable", T.BooleanType()), T.StructField("problem", T.StringType())])
+def readable(tiles: DataFrame, key: str = "tile_id", content: str = "content", rows_only: bool | tuple[bool, ...] = False, only: int | None = None) -> DataFrame:
+    """key, readable, problem: whether each tile can be read in this way (see features()), and why not. Several rows_only: a
+    row for each of them, which it names; the tiles are made once."""
+    several = not isinstance(rows_only, bool)
+    schema = T.StructType([T.StructField("readable", T.BooleanType()), T.StructField("problem", T.StringType()), *([T.StructField("rows_only", T.BooleanType())] if several else [])])
 
     def look(arrow, k, data):
-        try:
-            codec.read_tile(data, set(), None, rows_only, only)
-            problem = None
-        except (ValueError, IndexError, KeyError, StopIteration) as e:
-            problem = str(e)
-        return [pa.RecordBatch.from_pylist([{key: k, "readable": problem is None, "problem": problem}], schema=arrow)]
+        rows = []
+        for strict in rows_only if several else (rows_only,):
+            try:
+                codec.read_tile(data, set(), None, strict, only)
+                problem = None
+            except (ValueError, IndexError, KeyError, StopIteration) as e:
+                problem = str(e)
+            rows.append({key: k, "readable": problem is None, "problem": problem} | ({"rows_only": strict} if several else {}))
+        return [pa.RecordBatch.from_pylist(rows, schema=arrow)]
 
     return _batches(tiles, schema, look, key, content)
 
