@@ -107,28 +107,35 @@ def _parts(df: DataFrame, key: str, write_rows) -> DataFrame:
     return _dealt(df, key).groupBy(key).applyInArrow(write, out)
 
 
-def transcode(tiles: DataFrame, kind: str = "open", key: str = "tile_id", columnar: str = "rewrite") -> DataFrame:
+def transcode(tiles: DataFrame, kind: str = "open", key: str = "tile_id", columnar: str | tuple[str, ...] = "rewrite") -> DataFrame:
     """Tiles rewritten in another format, each on its own: narrow, no shuffle.
 
-    columnar: what becomes of layers that are columnar already: rewrite them like the others, skip them, or error.
+    columnar: what becomes of layers that are columnar already: rewrite them like the others, skip them, or error. Several:
+    a tile for each of them, which its column columnar names; the tiles are read from their source once.
     """
-    if columnar not in ("rewrite", "skip", "error"):
+    several = not isinstance(columnar, str)
+    ways = tuple(columnar) if several else (columnar,)
+    if not set(ways) <= {"rewrite", "skip", "error"}:
         raise ValueError("columnar is rewrite, skip or error")
-    out = T.StructType([tiles.schema[key], T.StructField("content", T.BinaryType())])
+    named = [T.StructField("columnar", T.StringType())] if several else []
+    out = T.StructType([tiles.schema[key], T.StructField("content", T.BinaryType()), *named])
+
+    def rewritten(k, data: bytes, how: str) -> bytes:
+        layers = codec.read_tile(data, lazy=True)["layers"]
+        if how == "error" and any(x["kind"] == "open" for x in layers):
+            raise ValueError(f"tile {k}: unsupported vector tile type")
+        try:
+            return bulk.rewrite(layers, kind, how == "skip")
+        except bulk.Odd:
+            layers = codec.read_tile(data)["layers"]
+            return codec.write_tile([{**x, "shape": None if x["kind"] != "open" else x["shape"]} for x in layers if how != "skip" or x["kind"] != "open"], kind)
 
     def run(batches):
         for batch in batches:
-            for k, data in zip(batch.column(0), batch.column(1)):
-                data = data.as_py()
-                layers = codec.read_tile(data, lazy=True)["layers"]
-                if columnar == "error" and any(x["kind"] == "open" for x in layers):
-                    raise ValueError(f"tile {k.as_py()}: unsupported vector tile type")
-                try:
-                    made = bulk.rewrite(layers, kind, columnar == "skip")
-                except bulk.Odd:
-                    layers = codec.read_tile(data)["layers"]
-                    made = codec.write_tile([{**x, "shape": None if x["kind"] != "open" else x["shape"]} for x in layers if columnar != "skip" or x["kind"] != "open"], kind)
-                yield pa.RecordBatch.from_arrays([pa.array([k.as_py()], batch.schema.field(0).type), pa.array([made], pa.binary())], names=[key, "content"])
+            for k, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                for how in ways:
+                    made = [pa.array([k], batch.schema.field(0).type), pa.array([rewritten(k, data.as_py(), how)], pa.binary())]
+                    yield pa.RecordBatch.from_arrays([*made, *([pa.array([how])] if several else [])], names=out.names)
 
     return tiles.select(key, "content").mapInArrow(run, out)
 

@@ -365,3 +365,23 @@ def test_columnar_layers_may_be_refused(spark):
         encode.from_unit_square(f).collect()
     with pytest.raises(Exception, match="out of bounds"):
         tiles.features(made, only=3).collect()
+
+
+def test_shape_of_their_layer_with_features(spark):
+    f = spark.createDataFrame([("t", "a", 0, 1, '{"k":1}', [[[(1, 2, None, '{"q":1}'), (1, 3, None, None)]]]), ("t", "b", 0, 1, '{"k":-1}', [[[(1, 2, None, None)]]])], "tile_id string, layer string, fid int, type int, properties string, geometry array<array<array<struct<x:bigint,y:bigint,z:bigint,m:string>>>>")
+    made = encode.encode_tiles(f, "open")
+    got = {r.layer: (r["shape"], r.mshape) for r in tiles.features(made, ["layer", "shape", "mshape"]).collect()}
+    assert got == {r.layer: (r["shape"], r.mshape) for r in tiles.layers(made).collect()} == {"a": ('{"k":"u64"}', '{"q":"u64"}'), "b": ('{"k":"i64"}', None)}
+    assert "shape" not in tiles.features(made).columns
+
+
+@pytest.mark.parametrize("name, encodings", [("add_features", 1), ("mvt_only_reader", 2), ("columnar_layers_are_skipped", 2)])
+def test_tiles_are_written_once(spark, name, encodings):
+    import io
+    from contextlib import redirect_stdout
+
+    from quarry.plans import registry
+
+    with redirect_stdout(io.StringIO()) as plan:
+        registry.queries()[name](spark, "/root/testdata/sf0.001").explain()
+    assert plan.getvalue().count("FlatMapGroupsInArrow") == encodings
