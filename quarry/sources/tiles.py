@@ -126,13 +126,17 @@ def _parse(tiles: DataFrame, schema: T.StructType, rows, key: str, content: str)
     return _batches(tiles, schema, lambda arrow, k, data: [pa.RecordBatch.from_pylist([{key: k, **r} for r in rows(codec.read_tile(data, set(), None, count=True))], schema=arrow)], key, content)
 
 
-def features(tiles: DataFrame, columns: list[str] | None = None, layers: list[str] | None = None, key: str = "tile_id", content: str = "content", rows_only: bool = False, only: int | None = None, missing: str = "error") -> DataFrame:
+def features(tiles: DataFrame, columns: list[str] | None = None, layers: list[str] | None = None, key: str = "tile_id", content: str = "content", rows_only: bool = False, only: int | None = None, missing: str = "error", values: str | None = None) -> DataFrame:
     """Features of a table of tiles (key, content); columns: those wanted (None for all); layers: their names (None: all).
 
     rows_only: a tile with anything but row-oriented layers is an error. only: the one feature of each layer that has this
-    index (from 0); a layer that has fewer is an error, or has none where missing is "skip".
+    index (from 0); a layer that has fewer is an error, or has none where missing is "skip". values: fields such as
+    "k bigint, name string": properties of these names as a struct of typed columns, without a JSON text between; null where a
+    feature has none, an error where a value is of another type.
     """
     schema = model.feature_schema(columns)
+    if values is not None:
+        schema = T.StructType([*schema, T.StructField("values", T.StructType.fromDDL(values))])
     named = set(layers) if layers is not None else None
     return _batches(tiles, schema, lambda arrow, k, data: bulk.batches(data, arrow, key, k, named, rows_only, only, missing == "skip"), key, content)
 
