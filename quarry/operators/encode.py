@@ -83,6 +83,38 @@ def encode_tiles(features: DataFrame, kind: str = "open", shapes: dict[str, tupl
     return _dealt(features.select(key, *names), key).groupBy(key).applyInArrow(write, out)
 
 
+def encode_vertices(vertices: DataFrame, kind: str | tuple[str, ...] = "open", order: Iterable[str] = (), lone: str = "keep", count: str | None = None, shapes: dict[str, tuple] | None = None, key: str = "tile_id", always: Iterable[str] = ()) -> DataFrame:
+    """(key, content): tiles of points and lines from a row for each vertex, with the bytes that encode_tiles gives for the
+    features that the vertices make. One shuffle, of flat rows: features are put together where their tile is written.
+
+    vertices has key, layer, fid, type (1, 4: a point by itself; 2, 5: a vertex of the line of all rows with the same layer,
+    fid and id), x, y, and of id, z, extent, properties (a struct of scalars; null: a feature hasn't it), m (the same of a
+    vertex; all null: it has none) and offset those there are. order: whole numbers by which a line's vertices are ordered;
+    what isn't of a vertex is taken from a line's first. lone: what becomes of lines of one vertex: keep, drop, or point. count: a
+    property of lines that gets their number of vertices. Several kinds: a tile of each, which the column kind names.
+    """
+    several = not isinstance(kind, str)
+    kinds, by, given, named = tuple(kind) if several else (kind,), list(order), shapes or {}, tuple(always)
+    if lone not in ("keep", "drop", "point"):
+        raise ValueError("lone is keep, drop or point")
+    plain = [c for c in ("layer", "fid", "type", "x", "y", "z", "id", "extent", "offset") if c in vertices.columns]
+    deep = [F.col(c)[f].alias(f"{c[0]}:{f}") for c in ("properties", "m") if c in vertices.columns for f in vertices.schema[c].dataType.names]
+    flat = vertices.select(key, *plain, *[F.col(c).alias(f"o:{c}") for c in by], *deep)
+    out = T.StructType([T.StructField(key, vertices.schema[key].dataType), *([T.StructField("kind", T.StringType())] if several else []), T.StructField("content", T.BinaryType())])
+
+    def write(table: pa.Table) -> pa.Table:
+        rows, made = table.drop_columns([key]), []
+        layers = {by_type: bulk.vertex_layers(rows, [f"o:{c}" for c in by], lone, count, by_type) for by_type in {k == "open" for k in kinds}}
+        for k in kinds:
+            if layers[k == "open"]:
+                made.append(bulk.write_layers(layers[k == "open"], k, given, named))
+        first = table.column(key).combine_chunks()[:1]
+        columns = {key: pa.concat_arrays([first] * len(made)) if made else first[:0]} | ({"kind": pa.array(kinds[: len(made)], pa.string())} if several else {})
+        return pa.table({**columns, "content": pa.array(made, pa.binary())})
+
+    return _dealt(flat, key).groupBy(key).applyInArrow(write, out)
+
+
 def _dealt(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
