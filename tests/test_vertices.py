@@ -59,3 +59,15 @@ def test_numbers_that_are_not_finite_are_errors():
     at = vertices.column_names.index("p:q")
     with pytest.raises(ValueError):
         bulk.vertex_layers(vertices.set_column(at, "p:q", pa.array([float("nan")] * vertices.num_rows)), ["o:pos"], "keep", None, True)
+
+
+@pytest.mark.parametrize("kind", ["mvt", "flat"])
+def test_a_layer_is_written_some_features_at_a_time(kind, monkeypatch):
+    features, vertices = both()
+    want, held = encode._tile(features, {}, kind), []
+    monkeypatch.setattr(bulk, "SLICE", 16)
+    messages = bulk.messages
+    monkeypatch.setattr(bulk, "messages", lambda tag, n, blocks: held.append(n if tag == 2 else 0) or messages(tag, n, blocks))
+    assert encode._tile(features, {}, kind) == want
+    assert bulk.write_layers(bulk.vertex_layers(vertices, ["o:pos"], "point", "n", False), kind, {}) == want
+    assert max(held) <= 16
