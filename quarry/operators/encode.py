@@ -62,14 +62,15 @@ def _layers(table: pa.Table, shapes: dict[str, tuple], always: Iterable[str] = (
     return [out[name] for name in sorted(out)]
 
 
-def encode_tiles(features: DataFrame, kind: str = "open", shapes: dict[str, tuple] | None = None, key: str = "tile_id", always: Iterable[str] = ()) -> DataFrame:
+def encode_tiles(features: DataFrame, kind: str = "open", shapes: dict[str, tuple] | None = None, key: str = "tile_id", always: Iterable[str] = (), dealt: bool = False) -> DataFrame:
     """(key, content): a tile for each value of ``key``. kind: open, mvt or flat.
 
     features has key, layer, fid (order within a layer), type, and of id, extent, properties (JSON), geometry, offsets,
     bbox, indices, tessellation those there are. shapes: by layer, a pair of shapes of properties and m-values; where none
     is given they are inferred from the tile's features. Layers are written in the order of their names; those named in
     ``always`` are in every tile. Tiles are dealt over all of spark.sql.shuffle.partitions: writing them takes time, not
-    bytes, so small partitions aren't put together.
+    bytes, so small partitions aren't put together. dealt: the features were made of rows that ``deal`` gave, so they are not
+    shuffled again.
     """
     names = [c for c in ("layer", "fid", "id", "type", "extent", "properties", "geometry", "offsets", "bbox", "indices", "tessellation") if c in features.columns]
     given, named = shapes or {}, tuple(always)
@@ -80,7 +81,8 @@ def encode_tiles(features: DataFrame, kind: str = "open", shapes: dict[str, tupl
         content = _tile(table.select(names), given, kind, named)
         return pa.table({key: table.column(key)[:1], "content": pa.array([content], pa.binary())})
 
-    return _dealt(features.select(key, *names), key).groupBy(key).applyInArrow(write, out)
+    made = features.select(key, *names)
+    return (made if dealt else _dealt(made, key)).groupBy(key).applyInArrow(write, out)
 
 
 def encode_vertices(vertices: DataFrame, kind: str | tuple[str, ...] = "open", order: Iterable[str] = (), lone: str = "keep", count: str | None = None, shapes: dict[str, tuple] | None = None, key: str = "tile_id", always: Iterable[str] = ()) -> DataFrame:
@@ -115,6 +117,12 @@ def encode_vertices(vertices: DataFrame, kind: str | tuple[str, ...] = "open", o
     return _dealt(flat, key).groupBy(key).applyInArrow(write, out)
 
 
+def deal(rows: DataFrame, key: str = "tile_id") -> DataFrame:
+    """Rows dealt and sorted by tile. Features that are made of them row by row, this column kept as it is, are so too: then
+    what they are made of is shuffled and sorted, not they themselves."""
+    return _dealt(rows, key).sortWithinPartitions(key)
+
+
 def _dealt(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 

@@ -179,3 +179,38 @@ def test_typed_values_of_nested_properties():
     got = [r["values"]["a"] for b in bulk.batches(encode._tile(odd, {}, "open"), schema, "tile_id", "t") for r in b.to_pylist()]
     want = [json.loads(r["properties"])["a"] for r in plain_rows(encode._tile(odd, {}, "open"))]
     assert got == want
+
+
+def test_boxes_without_a_step_for_each(monkeypatch):
+    boxes = [(-10.5, 2.0, 30.25, 40.0), (-10.5, 2.0, 30.25, 40.0, 1.0, 2.0), (0.0, -0.0, 0.0, 0.0), (-180.0, -90.0, 180.0, 90.0, -1.5, 0.1), (200.0, 95.0, -181.0, -91.0)]
+    plain = [codec.box_bytes(list(b)) for b in boxes]
+    odd = [[(1.0, 2.0, 3.0, 4.0, 5.0)], [(1.0, 2.0, 3.0, 4.0, float("inf"), float("nan"))], [(1e300, 2.0, 3.0, 4.0)]]
+    want = [b"".join(bytes((82, len(x))) + x for b in v for x in [codec.box_bytes(list(b))]) for v in odd]
+    assert [bulk.box_fields(v) for v in odd] == want
+    read = [(*codec.box_values(b), None, None)[:6] for b in plain]
+    for name in ("box_bytes", "box_values"):
+        monkeypatch.setattr(codec, name, lambda b: pytest.fail("a box by itself"))
+    data = bulk.box_fields(boxes)
+    assert data == b"".join(bytes((82, len(b))) + b for b in plain)
+    assert list(zip(*[a.to_pylist() for a in bulk.box_axes(bulk.runs.read(memoryview(data))[10])])) == read
+    assert bulk.box_fields([]) == b""
+
+
+def test_places_of_boxes():
+    values = [(1.0, 2.0, 3.0, 4.0, None, None), (0.0, 2.0, 3.0, 4.0, None, None), None, (-0.0, 2.0, 3.0, 4.0, None, None), (1.0, 2.0, 3.0, 4.0, 0.0, 0.0), (1.0, 2.0, 3.0, 4.0, None, None)]
+    for more in ([], [(1.0, 2.0, 3.0, 4.0, 0.0, None)], [(1.0, float("nan"), 3.0, 4.0, None, None)]):
+        rows = values + more
+        column = pa.array([v and dict(zip(bulk.BOX_NAMES, v)) for v in rows], SCHEMA.field("bbox").type)
+        found, known = {(1.0, 2.0, 3.0, 4.0, 0.0, 0.0): 0}, {(1.0, 2.0, 3.0, 4.0, 0.0, 0.0): 0}
+        got = bulk.box_places(column, column.is_valid().to_numpy(zero_copy_only=False), found)
+        assert got.tolist() == [known.setdefault(tuple([x for x in v if x is not None]), len(known)) for v in rows if v]
+        assert repr(list(found)) == repr(list(known))
+
+
+def test_pieces_of_several_layers_are_kept_once():
+    one, more = (pa.array(v, pa.large_binary()) for v in ([b"a", b"b" * 200, b""], [b"c", b"a"]))
+    first, both = bulk.Columns(), bulk.Columns()
+    assert first.piece_places(codec.POINTS, one).tolist() == both.piece_places(codec.POINTS, one).tolist() == [0, 1, 2]
+    assert both.piece_places(codec.POINTS, more).tolist() == [3, 0]
+    plain = lambda pieces: b"".join(bytes((codec.POINTS << 3 | 2,)) + bulk.varint(len(b)) + b for b in pieces)
+    assert first.write() == plain(one.to_pylist()) and both.write() == plain([*one.to_pylist(), b"c"])
